@@ -97,18 +97,17 @@ def score_frame(docs: DataFrame, features, weigh, schema: str = "doc_id long, sc
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """(a, b) of the probability 1 / (1 + exp(-(a m + b))), both classes weighed alike, by Newton steps."""
+    """(a, b) of the probability 1 / (1 + exp(-(a m + b))), by Newton steps; (1, 0) where one class is missing."""
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
     scale = max(1e-9, float(np.std(margin)))
-    m, w = margin / scale, np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    a, b = 1.0, 0.0
+    m, a, b = margin / scale, 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        r, v = w * (p - y), w * p * (1 - p) + 1e-9
+        r, v = p - y, p * (1 - p) + 1e-9
         g = np.array([(r * m).sum() + 1e-2 * a, r.sum()])
         h = np.array([[(v * m * m).sum() + 1e-2, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break

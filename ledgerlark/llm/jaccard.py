@@ -33,8 +33,8 @@ U = np.uint64
 
 
 def _fingerprint(s: np.ndarray) -> int:
-    m = tokens.mix(s)
-    return int(tokens.mix(np.array([m.sum(dtype=np.uint64) * U(3) ^ np.bitwise_xor.reduce(s) ^ U(len(s) * 0x9E3779B1)]))[0].astype(np.int64))
+    both = np.array([tokens.mix(s).sum(dtype=np.uint64)]) * U(3) ^ np.bitwise_xor.reduce(s) ^ U(len(s) * 0x9E3779B1)
+    return int(tokens.mix(both).view(np.int64)[0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:

@@ -8,8 +8,9 @@ the overlap is then counted fragment by fragment, and the partial counts are sum
 Nothing is capped or sampled:
 
 * Documents with equal sets form one class, and classes are compared, so copies cost no pairs.
-* Documents that share a fragment are first compared with the smallest of them. Those that turn out to be connected
-  need no comparison with each other; in a second round, members of different components are.
+* Each document is first compared with one of those it shares a fragment with, the smallest in most of its fragments.
+  Those that turn out to be connected need no comparison with each other; in two further rounds members of a fragment
+  that are still in different components are compared, first with the smallest member and then with all.
 * The number of fragments follows the size class of the smaller set (powers of two); a set also takes part in the class
   below when a partner may be there. A set sends only its smallest fragment keys, one more than can differ. Where a
   set has fewer non-empty fragments than can differ, it sends its empty fragments too, so no pair is missed.
@@ -37,24 +38,23 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(tokens.mix(both).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    """(batch, row, sorted n-gram hashes) for each row."""
-    for batch in batches:
-        for lo, hi, data, at in tokens.chunks(batch.column("text")):
-            h, _, _, bound = tokens.words(data, at)
-            for i in range(hi - lo):
-                yield batch, lo + i, tokens.shingles(h[bound[i] : bound[i + 1]], k)
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for _, _, data, at in tokens.chunks(column):
+        yield from tokens.shingle_sets(data, at, k)
 
 
 def set_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), cls (one value for equal sets)."""
+    """doc_id, print (of the text), n (set size), cls (one value for equal sets)."""
 
     def run(batches):
         for batch in batches:
-            rows = [(len(s), _fingerprint(s) if len(s) else 0) for _, _, s in _sets([batch], k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "n", "cls"])
+            sizes, classes = [], []
+            for s in _sets(batch.column("text"), k):
+                sizes.append(len(s))
+                classes.append(_fingerprint(s) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "print", "n", "cls"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cls long")
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, n long, cls long")
 
 
 def fragment_keys(s: np.ndarray, similarity: float) -> np.ndarray:
@@ -84,66 +84,63 @@ def _proposals(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             seen, keys, classes = set(), [], []
-            for _, _, s in _sets([batch], k):
+            for s in _sets(batch.column("text"), k):
                 if len(s) and (c := _fingerprint(s)) not in seen:
                     seen.add(c)
                     keys.append(fragment_keys(s, similarity))
                     classes.append(c)
-                    if sum(map(len, keys[-64:])) and len(keys) >= 512:
+                    if len(keys) >= 512:
                         yield _pairs(keys, classes)
                         keys, classes = [], []
             if keys:
                 yield _pairs(keys, classes)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, cls long")
+    return docs.select("text").mapInArrow(run, "key long, cls long")
 
 
 def _pairs(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), [len(x) for x in keys]))], ["key", "cls"])
 
 
-def _fragments(docs: DataFrame, k: int, parts: int) -> DataFrame:
-    """cls, part, grams: the n-gram sets of ``docs``, cut into ``parts`` ranges of the global order."""
+def _partial_overlaps(pairs: DataFrame, k: int, parts: int) -> DataFrame:
+    """a, b, part, o, na, nb: for each fragment of the global order the n-grams that both texts of a pair have there."""
 
     def run(batches):
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        edges = (np.arange(1, parts, dtype=np.uint64) * U(2**64 // parts)).astype(np.uint64)
         for batch in batches:
-            cls, part, grams = [], [], []
-            for _, _, s in _sets([batch], k):
-                if not len(s):
-                    continue
-                c, cut = _fingerprint(s), np.searchsorted(((s >> U(32)) * U(parts)) >> U(32), np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    cls.append(c)
-                    part.append(p)
-                    grams.append(s[cut[p] : cut[p + 1]].view(np.int64))
-                if len(cls) > 4096:
-                    yield _segments(cls, part, grams)
-                    cls, part, grams = [], [], []
-            if cls:
-                yield _segments(cls, part, grams)
-
-    return docs.select("text").mapInArrow(run, "cls long, part int, grams array<long>")
-
-
-def _segments(cls: list, part: list, grams: list) -> pa.RecordBatch:
-    bounds = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(part, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(grams)))], ["cls", "part", "grams"])
+            rows: dict[str, list] = {c: [] for c in ("o", "na", "nb")}
+            for a, text, t in zip(batch.column("a").to_pylist(), batch.column("text_a"), _sets(batch.column("text_b"), k), strict=True):
+                if last[0] != a:
+                    last = a, next(_sets(pa.array([text.as_py()], pa.string()), k))
+                s = last[1]
+                small, large = (s, t) if len(s) <= len(t) else (t, s)
+                at = np.searchsorted(large, small)
+                common = small[large[np.minimum(at, len(large) - 1)] == small]
+                rows["o"].append(np.diff(np.searchsorted(common, edges), prepend=0, append=len(common)))
+                rows["na"].append(len(s))
+                rows["nb"].append(len(t))
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(c).take(pa.array(np.repeat(np.arange(n), parts))) for c in ("a", "b")]
+            cols += [pa.array(np.tile(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(rows["o"]).astype(np.int64)), pa.array(np.repeat(rows["na"], parts).astype(np.int64)), pa.array(np.repeat(rows["nb"], parts).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "part", "o", "na", "nb"])
+
+    return pairs.mapInArrow(run, "a long, b long, part int, o long, na long, nb long")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, k: int, percent: int, parts: int) -> DataFrame:
     """Of ``pairs(a, b)`` of classes those that are similar: partial overlaps are counted by fragment and summed."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = sets.join(used, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    ids = one.select("doc_id").distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    seg = scratch.save(_fragments(text, k, parts).join(used, "cls", "left_semi").dropDuplicates(["cls", "part"]), f"{tag}_seg")
-    a = pairs.join(seg.select(F.col("cls").alias("a"), "part", F.col("grams").alias("ga")), "a")
-    both = a.join(seg.select(F.col("cls").alias("b"), "part", F.col("grams").alias("gb")), ["b", "part"])
-    overlap = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("part_overlap")).groupBy("a", "b").agg(F.sum("part_overlap").alias("o"))
-    size = one.select("cls", "n")
-    sized = overlap.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    out = scratch.save(sized.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), f"{tag}_links")
-    scratch.drop(f"{tag}_seg")
+    one = sets.join(used, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "print")).alias("r")).select("cls", "r.doc_id", "r.print")
+    both = [docs["doc_id"].eqNullSafe(one["doc_id"]), F.xxhash64("text") == one["print"]]
+    text = scratch.save(docs.join(one, both).select("cls", "text").dropDuplicates(["cls"]), f"{tag}_text")
+    b = pairs.join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = b.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    overlap = _partial_overlaps(rows, k, parts).groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    out = scratch.save(overlap.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), f"{tag}_links")
+    scratch.drop(f"{tag}_text")
     return out
 
 
@@ -154,27 +151,52 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     component_id is the smallest doc_id reachable by links. ``parts``: fragments of the verification.
     """
     scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.save(set_classes(docs, words), "sets")
     sent = _proposals(docs, words, percent / 100)
     shared = scratch.save(sent.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low"), "shared")
     members = scratch.save(sent.join(shared, "key").where("cls <> low").distinct(), "members")
-    star = scratch.save(members.select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), "star")
-    links = _verified(docs, sets, star, scratch, "first", words, percent, parts)
-    comp = scratch.save(connected_components(links, scratch, "cc_a"), "comp_a")
-    label = lambda df, col, out: df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-    known = scratch.save(label(label(members, "cls", "comp"), "low", "comp_low"), "known")
-    odd = known.where("comp <> comp_low")
-    if not odd.isEmpty():
-        everyone = known.select("key", "cls", "comp").unionAll(odd.select("key", F.col("low").alias("cls"), F.col("comp_low").alias("comp")).distinct())
-        cross = odd.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(everyone.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-        pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        more = _verified(docs, sets, scratch.save(pairs, "cross"), scratch, "second", words, percent, parts)
-        comp = scratch.save(connected_components(links.unionAll(more), scratch, "cc_b"), "comp_b")
+    scratch.drop("shared")
+    star = scratch.save(members.groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
+    # First each class with the one class it shares most fragments with, then, of those still apart, with the others.
+    links, comp, tested = None, None, None
+    for step in range(3):
+        if step and comp is None:
+            break
+        if step == 0:
+            pairs = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
+        elif step == 1:
+            pairs = _labelled(star, comp).where("comp <> comp_low")
+        else:
+            known = scratch.save(_labelled(members, comp), "known")
+            odd = known.where("comp <> comp_low")
+            everyone = known.select("key", "cls", "comp").unionAll(odd.select("key", F.col("low").alias("cls"), F.col("comp_low").alias("comp")).distinct())
+            cross = odd.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(everyone.select("key", F.col("cls").alias("low"), F.col("comp").alias("cy")), "key")
+            pairs = cross.where("cx <> cy").select("low", F.col("x").alias("cls"))
+        pairs = pairs.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs, f"pairs{step}")
+        if pairs.isEmpty():
+            continue
+        more = _verified(docs, sets, pairs, scratch, f"round{step}", words, percent, parts)
+        links, tested = (more, pairs) if links is None else (links.unionAll(more), tested.unionAll(pairs))
+        comp = scratch.save(connected_components(links, scratch, f"cc{step}_"), f"comp{step}")
     smallest = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
-    named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    if comp is None:
+        named = smallest.withColumn("comp", F.col("cls"))
+    else:
+        named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = named.groupBy("comp").agg(F.min("own").alias("component_id"))
     of_class = named.join(first, "comp").select("cls", "component_id")
     out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     result = scratch.save(out, "result")
-    scratch.drop("members", "known", "shared", "star", "cross", "sets", "comp_a", "comp_b")
+    scratch.drop("members", "known", "star", "sets", *(f"{x}{k}" for x in ("pairs", "comp") for k in range(3)))
     return result
+
+
+def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``pairs`` with the components of cls and low; a class without links is its own."""
+    for c, out in (("cls", "comp"), ("low", "comp_low")):
+        pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("comp").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+    return pairs

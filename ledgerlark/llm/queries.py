@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import table
 from .features import fold
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, listed
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
+
+
+def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_examples
+
+    trap = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    return digests(format_examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards, byte_size
 
@@ -38,6 +58,18 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 
+def op7_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import benchmark_matches
 
@@ -58,6 +90,75 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_hilbert_sharding, op4_quality_nbsvm, op5_ngram_jaccard, op6_entropy_mixing, op9_decontamination, op10_toxicity_ftrl, pipeline)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_boosting,
+        op2_prefix_targets,
+        op3_hilbert_sharding,
+        op4_quality_nbsvm,
+        op5_ngram_jaccard,
+        op6_entropy_mixing,
+        op7_embedding_pq,
+        op8_stupid_backoff,
+        op9_decontamination,
+        op10_toxicity_ftrl,
+        pipeline,
+    )
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+
+ORACLE: dict[str, str] = {
+    "op2_prefix_targets": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, row_number() OVER o AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum(length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + 1 + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1) OVER o AS upto
+  FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(max(n) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR pos = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id""",
+    "op5_ngram_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM reach r JOIN edges e ON e.u = r.v),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op7_embedding_pq": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(u, v) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.u, l.b FROM reach r JOIN links l ON l.a = r.v),
+c AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op8_stupid_backoff": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+t AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM w),
+g AS (SELECT *, lag(w, 1) OVER o AS p1, lag(w, 2) OVER o AS p2 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+c2 AS (SELECT p1, w, count(*) AS c FROM g WHERE p1 IS NOT NULL GROUP BY p1, w),
+c3 AS (SELECT p2, p1, w, count(*) AS c FROM g WHERE p2 IS NOT NULL GROUP BY p2, p1, w),
+total AS (SELECT count(*) AS n FROM t),
+s AS (SELECT g.doc_id, CASE
+    WHEN c3.c >= 2 THEN ln(c3.c / x2.c)
+    WHEN c2.c >= 2 THEN ln(c2.c / x1.c) + ln(0.4) * (least(g.i, 3) - 2)
+    ELSE ln(c1.c / n) + ln(0.4) * (least(g.i, 3) - 1) END AS l
+  FROM g CROSS JOIN total JOIN c1 ON c1.w = g.w LEFT JOIN c1 x1 ON x1.w = g.p1 LEFT JOIN c2 ON c2.p1 = g.p1 AND c2.w = g.w
+  LEFT JOIN c2 x2 ON x2.p1 = g.p2 AND x2.w = g.p1 LEFT JOIN c3 ON c3.p2 = g.p2 AND c3.p1 = g.p1 AND c3.w = g.w),
+d AS (SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(round(l * 1e6) AS BIGINT)) AS BIGINT) AS log_micros FROM s GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, log_micros, log_micros / n_words / 1e6 AS score
+FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""",
+}

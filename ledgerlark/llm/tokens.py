@@ -89,12 +89,26 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mix(h + size.astype(np.uint64)), first, end, np.searchsorted(first, at)
 
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of k words; fewer words make one run."""
-    if not len(h):
-        return h
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, U(min(len(h), k)))
-    for j in range(min(k, len(h))):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row the sorted distinct hashes of its runs of k words; a row with fewer words is one run."""
+    h, _, _, bound = words(data, at)
+    runs = _runs(h, k) if len(h) >= k else h[:0]
+    for lo, hi in zip(bound[:-1], bound[1:], strict=True):
+        if hi - lo >= k:
+            s = np.sort(runs[lo : hi - k + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
+        else:
+            yield _runs(h[lo:hi], hi - lo) if hi > lo else h[:0]
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    out = np.full(n, U(k))
+    for j in range(k):
+        out *= U(0x9E3779B97F4A7C15)
+        out += h[j : j + n]
+        out ^= out >> U(29)
+    return mix(out)

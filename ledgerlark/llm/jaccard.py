@@ -1,19 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams (their hashes) is cut into fragments, and a document's n-gram set into the parts that fall
-in each. Two sets of n and m n-grams with Jaccard similarity t differ in at most (n + m)(1 - t)/(1 + t) n-grams, so of
-more fragments than that, at least one is equal in both: equal fragments propose the pairs. For each proposed pair
-the overlap is then counted fragment by fragment, and the partial counts are summed.
+in each. Two sets of n and m n-grams with Jaccard similarity t differ in at most d = (n + m)(1 - t)/(1 + t) n-grams. A
+fragment that differs takes one of these, so a set with more than d strong fragments (of two n-grams or more) shares one
+with any partner: equal strong fragments propose the pairs. For each proposed pair the overlap is then counted
+fragment by fragment, and the partial counts are summed.
 
 Nothing is capped or sampled:
 
 * Documents with equal sets form one class, and classes are compared, so copies cost no pairs.
+* A set sends one fragment more than can differ, rare fragments first: those that ``HOT`` sets or more share (a passage
+  in many documents) go last, so they are sent only where a set has little else. Any order gives the same result.
 * Each document is first compared with one of those it shares a fragment with, the smallest in most of its fragments.
   Those that turn out to be connected need no comparison with each other; in two further rounds members of a fragment
   that are still in different components are compared, first with the smallest member and then with all.
 * The number of fragments follows the size class of the smaller set (powers of two); a set also takes part in the class
-  below when a partner may be there. A set sends only its smallest fragment keys, one more than can differ. Where a
-  set has fewer non-empty fragments than can differ, it sends its empty fragments too, so no pair is missed.
+  below when a partner may be there. A set with too few strong fragments sends its weak and its empty ones too.
 
 Null and empty texts have no n-grams and link with nothing. Rows with equal ids are handled as separate rows.
 """
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from . import tokens
 from .common import Scratch, connected_components
 
 U = np.uint64
+HOT, HOT_KEYS = 32, 1_000_000
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -44,50 +48,81 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def set_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, print (of the text), n (set size), cls (one value for equal sets)."""
+    """doc_id, print (of the text), n (set size), cls (one value for equal sets), counts (n-grams in each fragment)."""
 
     def run(batches):
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, counts = [], [], []
             for s in _sets(batch.column("text"), k):
                 sizes.append(len(s))
                 classes.append(_fingerprint(s) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "print", "n", "cls"])
+                counts.append(_fragment_counts(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "print", "n", "cls", "counts"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, n long, cls long")
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, n long, cls long, counts binary")
 
 
-def fragment_keys(s: np.ndarray, similarity: float) -> np.ndarray:
-    """The fragment keys that a set sends: for every size class it takes part in, the smallest keys of its fragments."""
+def _fragment_counts(s: np.ndarray) -> bytes:
+    """The n-grams in each of 16 to 8192 equal ranges of the order, about three in each, as 16-bit numbers."""
+    if not len(s):
+        return b""
+    bits = min(13, max(4, (len(s) // 3).bit_length()))
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype(np.uint16).tobytes()
+
+
+def _most_overlap(a: bytes, b: bytes) -> int:
+    """The sum over fragments of the smaller count: no overlap can be larger."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.minimum(x, y).sum()) if x.max() < 65535 and y.max() < 65535 else 1 << 62
+
+
+def fragment_keys(s: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(strong keys, weak keys, most) for every size class that a set takes part in; at most ``most`` fragments differ."""
     n, differ = len(s), (1 - similarity) / similarity
     most = int(differ * n + 1e-9)
     low = max(1, int(np.ceil(similarity * n - 1e-9)))
-    mixed, out = tokens.mix(s), []
+    mixed = tokens.mix(s)
     for size_class in range(low.bit_length() - 1, n.bit_length()):
-        count = int(np.ceil(1.08 * differ * 2 ** (size_class + 1))) + 1
+        count = int(np.ceil(2.8 * differ * 2**size_class)) + 1
         part = ((s >> U(32)) * U(count)) >> U(32)
         first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        total, tag = np.add.reduceat(mixed, first), U(size_class * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        keys = tokens.mix(total ^ tokens.mix(part[first] + tag))
-        if len(keys) <= most:
+        tag = U(size_class * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        keys = tokens.mix(np.add.reduceat(mixed, first) ^ tokens.mix(part[first] + tag))
+        strong = np.diff(first, append=n) > 1
+        if strong.sum() > most:
+            yield keys[strong], keys[:0], most
+        else:
             empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[first], assume_unique=True)
-            keys = np.concatenate((keys, tokens.mix(~tokens.mix(empty + tag))))
-        elif len(keys) > most + 1:
-            keys = np.partition(keys, most)[: most + 1]
-        out.append(keys)
+            yield keys[strong], np.concatenate((keys[~strong], tokens.mix(~tokens.mix(empty + tag)))), most
+
+
+def _chosen(s: np.ndarray, similarity: float, hot: np.ndarray | None) -> np.ndarray:
+    """All keys of a set, or with the sorted hot keys given those that it sends."""
+    out = []
+    for strong, weak, most in fragment_keys(s, similarity):
+        if hot is not None and len(strong) > most + 1:
+            at = np.minimum(np.searchsorted(hot, strong), max(0, len(hot) - 1))
+            rank = np.where(hot[at] == strong, 1, 0) if len(hot) else np.zeros(len(strong), int)
+            strong = strong[np.lexsort((strong, rank))[: most + 1]]
+        out += [strong, weak]
     return np.concatenate(out)
 
 
-def _proposals(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """key, cls: fragments that each class sends; copies in one batch send once."""
+def _proposals(docs: DataFrame, k: int, similarity: float, hot: Broadcast | None = None) -> DataFrame:
+    """key, cls: the fragments of each class, with ``hot`` those that it sends; copies in one batch send once."""
 
     def run(batches):
+        known = None if hot is None else hot.value
         for batch in batches:
             seen, keys, classes = set(), [], []
             for s in _sets(batch.column("text"), k):
                 if len(s) and (c := _fingerprint(s)) not in seen:
                     seen.add(c)
-                    keys.append(fragment_keys(s, similarity))
+                    keys.append(_chosen(s, similarity, known))
                     classes.append(c)
                     if len(keys) >= 512:
                         yield _pairs(keys, classes)
@@ -130,6 +165,22 @@ def _partial_overlaps(pairs: DataFrame, k: int, parts: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, part int, o long, na long, nb long")
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose set sizes, and then whose counts by fragment, allow the similarity: what is left out cannot link."""
+    size = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
+    counts = lambda c: classes.select(F.col("cls").alias(c), F.col("counts").alias(f"c{c}"))
+    near = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    rows = near.join(counts("a"), "a").join(counts("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            most = np.array([_most_overlap(x, y) for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * n))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, k: int, percent: int, parts: int) -> DataFrame:
     """Of ``pairs(a, b)`` of classes those that are similar: partial overlaps are counted by fragment and summed."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -153,9 +204,15 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.save(set_classes(docs, words), "sets")
-    sent = _proposals(docs, words, percent / 100)
-    shared = scratch.save(sent.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low"), "shared")
-    members = scratch.save(sent.join(shared, "key").where("cls <> low").distinct(), "members")
+    classes = scratch.save(sets.where("n > 0").select("cls", "n", "counts").dropDuplicates(["cls"]), "classes")
+    every = _proposals(docs, words, percent / 100)
+    counted = every.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n"))
+    shared = scratch.save(counted.where("low <> high").select("key", "low", "n"), "shared")
+    limit = max(HOT, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    keys = shared.where(F.col("n") >= limit).select("key").toPandas()["key"].to_numpy(np.int64)  # HOT_KEYS at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+    sent = _proposals(docs, words, percent / 100, hot)
+    members = scratch.save(sent.join(shared.drop("n"), "key").where("cls <> low").distinct(), "members")
     scratch.drop("shared")
     star = scratch.save(members.groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
     # First each class with the one class it shares most fragments with, then, of those still apart, with the others.
@@ -176,10 +233,10 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
         pairs = pairs.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{step}")
+        pairs = scratch.save(_plausible(pairs, classes, percent), f"pairs{step}")
         if pairs.isEmpty():
             continue
-        more = _verified(docs, sets, pairs, scratch, f"round{step}", words, percent, parts)
+        more = _verified(docs, sets.select("doc_id", "print", "cls"), pairs, scratch, f"round{step}", words, percent, parts)
         links, tested = (more, pairs) if links is None else (links.unionAll(more), tested.unionAll(pairs))
         comp = scratch.save(connected_components(links, scratch, f"cc{step}_"), f"comp{step}")
     smallest = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
@@ -191,7 +248,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     of_class = named.join(first, "comp").select("cls", "component_id")
     out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     result = scratch.save(out, "result")
-    scratch.drop("members", "known", "star", "sets", *(f"{x}{k}" for x in ("pairs", "comp") for k in range(3)))
+    scratch.drop("members", "known", "star", "sets", "classes", *(f"{x}{k}" for x in ("pairs", "comp") for k in range(3)))
     return result
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import queries_core, queries_planned
+
+QUERIES = {**queries_core.QUERIES, **queries_planned.QUERIES}
+ORACLE: dict[str, str] = {**queries_core.ORACLE, **queries_planned.ORACLE}

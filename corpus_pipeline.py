@@ -15,12 +15,12 @@ from ledgerlark.llm.decontamination import benchmark_matches
 from ledgerlark.llm.features import fold
 from ledgerlark.llm.jaccard import similarity_components
 from ledgerlark.llm.mixing import mix_expand
-from ledgerlark.llm.sharding import assign_shards
+from ledgerlark.llm.sharding import sharded
 from ledgerlark.llm.toxicity import THRESHOLD, toxicity_scores
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct(), F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(ids.select(F.col("doc_id").alias("_rejected_id")).where("_rejected_id is not null").distinct(), F.col("doc_id") == F.col("_rejected_id"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Assigns shards and slots in Hilbert order; the columns of ``docs`` with shard, slot and curve."""
-    return assign_shards(docs)
+    return sharded(docs)
 
 
 STAGES = [

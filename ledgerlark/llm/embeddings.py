@@ -123,7 +123,7 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
 
     def compare(key, xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if xs.empty or qs.empty:
-            return pd.DataFrame({"cls": [], "links": [], "other": []})
+            return pd.DataFrame({c: pd.array([], "Int64") for c in ("cls", "links", "other")})
         q, at = shared.value, int(key[1])
         x, y = _matrix(xs["x"], dim), _matrix(qs["x"], dim)
         codes, error = np.frombuffer(b"".join(xs["codes"]), np.uint8).reshape(len(x), -1), xs["error"].to_numpy()
@@ -148,8 +148,13 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
                 edges += [(cy[r], cx[mine[i]]) for i in first]
                 if len(roots) > 1:
                     group[np.isin(group, roots)] = roots[0]
-        sums = [(c, n, None) for c, n in [*zip(cx, for_x, strict=True), *zip(cy, for_y, strict=True)] if n]
-        return pd.DataFrame([*sums, *((a, None, b) for a, b in edges)], columns=["cls", "links", "other"]).astype("Int64")
+        counted = np.concatenate((for_x, for_y))
+        used = counted > 0
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        k, m = int(used.sum()), len(pairs)
+        whole = lambda a, b, known: pd.arrays.IntegerArray(np.concatenate((a, b)), ~np.repeat(known, (k, m)))
+        none_k, none_m = np.zeros(k, np.int64), np.zeros(m, np.int64)
+        return pd.DataFrame({"cls": np.concatenate((np.concatenate((cx, cy))[used], pairs[:, 0])), "links": whole(counted[used], none_m, (True, False)), "other": whole(none_k, pairs[:, 1], (False, True))})
 
     keys = ["label", "list", "ib", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "cls long, links long, other long")

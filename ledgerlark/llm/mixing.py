@@ -74,12 +74,15 @@ def _dual(histogram: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFra
     return state.select("source", "mean", "lam")
 
 
-def mix_copies(df: DataFrame) -> DataFrame:
-    """Adds size, source_size, target, rate and copies to the rows of ``df(doc_id, text, source, …)``."""
+def mix_copies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """row, size, source_size, target, rate, copies for every row of ``df(doc_id, text, source, …)``.
+
+    ``row`` is a struct of ``columns`` (all by default), so columns of any name can pass through.
+    """
     scratch = Scratch(df.sparkSession)
-    keep = [c for c in df.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    size = F.col("size") if "size" in df.columns else word_count(F.col("text"))
-    rows = df.select(*keep, size.alias("size"), (F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")) if "text" in df.columns else F.col("text_hash")), F.lit(1 << 48)) / float(1 << 48)).alias("_u"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    u = F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(1 << 48)) / float(1 << 48)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("_u"))
     slim = scratch.save(rows.select("source", "size", "_u"), "slim")
     histogram = scratch.save(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -118,10 +121,10 @@ def mix_copies(df: DataFrame) -> DataFrame:
     shift = scratch.save(state.select(F.col("source").alias("_s2"), F.col("cut").alias("_cut")).coalesce(1), "shift")
     out = rated(rows).join(shift, F.col("source").eqNullSafe(F.col("_s2")))
     extra = (F.col("rate") < CAP) & (F.col("_u") - (F.col("rate") - F.floor("rate")) < F.col("_cut"))
-    return out.withColumn("copies", F.floor("rate").cast("long") + extra.cast("long")).select(*keep, "size", "source_size", "target", "rate", "copies")
+    return out.withColumn("copies", F.floor("rate").cast("long") + extra.cast("long")).select("row", "size", "source_size", "target", "rate", "copies")
 
 
 def mix_expand(df: DataFrame) -> DataFrame:
     """The rows of the mix: every row of ``df`` as often as its copies, in the columns of ``df``."""
     taken = mix_copies(df).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*df.columns)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

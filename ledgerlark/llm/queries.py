@@ -30,11 +30,10 @@ def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import assign_shards, byte_size
+    from .sharding import assign_shards
 
-    docs = table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "lang", "source", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return assign_shards(slim).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    out = assign_shards(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +53,8 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_copies
 
-    mixed = mix_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+    mixed = mix_copies(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 
 def op7_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,35 +61,43 @@ def curve_position(df: DataFrame, lang: Column, source: Column, size: Column, ou
     return keyed.join(F.broadcast(cells), "_cell").drop("_cell").withColumnRenamed("_curve", out)
 
 
-def assign_shards(df: DataFrame, shards: int = 8, order: str = "_at") -> DataFrame:
-    """Adds ``shard`` and ``slot`` to the rows of ``df(doc_id, text, lang, source, …)`` in Hilbert order.
+def assign_shards(df: DataFrame, shards: int = 8, columns: list[str] | None = None) -> DataFrame:
+    """row, size, text_crc32, shard, slot, curve for the rows of ``df(doc_id, text, lang, source, …)`` in Hilbert order.
 
-    One range shuffle sorts the rows; the rows of each range are counted, and a row's place is its place in its range
-    after the rows of the ranges before. Only those counts, one for each range, reach the driver.
+    ``row`` is a struct of ``columns`` (all by default), so columns of any name can pass through; lang and source may be
+    missing. One range shuffle sorts the rows; the rows of each range are counted, and a row's place is its place in its
+    range after the rows of the ranges before. Only those counts, one for each range, reach the driver.
     """
     scratch = Scratch(df.sparkSession)
-    keep = [c for c in df.columns if c not in ("shard", "slot", order)]
-    size = F.col("size") if "size" in df.columns else byte_size(F.col("text"))
-    print_ = F.col("text_crc32") if "text_crc32" in df.columns else F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    lang = F.col("lang").cast("string") if "lang" in df.columns else F.lit(None).cast("string")
-    source = F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string")
-    placed = curve_position(df.select(*keep), lang, source, size, "_curve").withColumn("_print", print_)
-    keys = ["_curve", "doc_id", "_print"]
-    ranged = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(order, F.monotonically_increasing_id())
-    rows = scratch.save(ranged.drop("_print"), "ranged")
+    text = F.col("text").cast("string")
+    meta = lambda c: F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), "doc_id", meta("lang"), meta("source"), byte_size(text).alias("size"), crc)
+    placed = curve_position(rows, F.col("lang"), F.col("source"), F.col("size"), "curve").drop("lang", "source").withColumn("_tie", F.monotonically_increasing_id())
+    keys = ["curve", "doc_id", "text_crc32", "_tie"]
+    ranged = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.save(ranged.drop("doc_id", "_tie"), "ranged")
     width = 1 << 33
-    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(F.expr(f"{order} div {width}").alias("p")).agg(F.count("*").alias("n")).collect())
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(F.expr(f"_at div {width}").alias("p")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0
     for p, n in counts:
         before.append((p, total))
         total += n
     offsets = df.sparkSession.createDataFrame(before, "_p long, _before long")
-    rank = rows.withColumn("_p", F.expr(f"{order} div {width}")).join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_before") + F.col(order) % width)
+    rank = rows.withColumn("_p", F.expr(f"_at div {width}")).join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_before") + F.col("_at") % width)
     shard = F.expr(f"cast(_rank * {shards} div {max(total, 1)} as int)")
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
-    return rank.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).select(*keep, "shard", "slot", F.col("_curve").alias("curve"))
+    return rank.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).select("row", "size", "text_crc32", "shard", "slot", "curve")
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 8) -> None:
+def sharded(df: DataFrame, shards: int = 8) -> DataFrame:
+    """The columns of ``df`` with shard, slot and curve; columns of these names are replaced."""
+    out = assign_shards(df, shards, [c for c in df.columns if c not in ("shard", "slot", "curve")])
+    return out.select("row.*", "shard", "slot", "curve")
+
+
+def write_shards(df: DataFrame, path: str, shards: int = 8, rows_per_file: int = 1_000_000) -> None:
     """Writes the rows as Parquet, a folder for each shard, in curve order within its files."""
-    assign_shards(df, shards).repartition("shard", F.expr("slot div 1000000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = sharded(df, shards)
+    files = placed.repartition("shard", F.floor(F.col("slot") / rows_per_file)).sortWithinPartitions("shard", "slot")
+    files.write.partitionBy("shard").parquet(path)

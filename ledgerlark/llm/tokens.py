@@ -84,7 +84,8 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     rel = pos - np.repeat(first, size)
     value = BYTE[data[pos]] * _POW[0][rel & (_STEP - 1)]
     if size.max() > _STEP:
-        value *= mix((rel >> 12).astype(np.uint64) + U(1)) | U(1)
+        far = np.flatnonzero(rel >= _STEP)
+        value[far] *= mix((rel[far] >> 12).astype(np.uint64)) | U(1)
     h = np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1])))
     return mix(h + size.astype(np.uint64)), first, end, np.searchsorted(first, at)
 

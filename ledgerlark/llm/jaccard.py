@@ -11,9 +11,9 @@ Nothing is capped or sampled:
 * Documents with equal sets form one class, and classes are compared, so copies cost no pairs.
 * A set sends one fragment more than can differ, rare fragments first: those that ``HOT`` sets or more share (a passage
   in many documents) go last, so they are sent only where a set has little else. Any order gives the same result.
-* Each document is first compared with one of those it shares a fragment with, the smallest in most of its fragments.
-  Those that turn out to be connected need no comparison with each other; in two further rounds members of a fragment
-  that are still in different components are compared, first with the smallest member and then with all.
+* Each document is first compared with the centre of most of its fragments. Those that turn out to be connected need no
+  comparison with each other; in two further rounds members of a fragment that are still in different components are
+  compared, first with its centre and then with all. Pairs that sizes and counts by fragment rule out go no further.
 * The number of fragments follows the size class of the smaller set (powers of two); a set also takes part in the class
   below when a partner may be there. A set with too few strong fragments sends its weak and its empty ones too.
 
@@ -34,7 +34,7 @@ from . import tokens
 from .common import Scratch, connected_components
 
 U = np.uint64
-HOT, HOT_KEYS = 32, 1_000_000
+HOT, HOT_KEYS, BLOCK = 32, 1_000_000, 1024
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -105,9 +105,10 @@ def _chosen(s: np.ndarray, similarity: float, hot: np.ndarray | None) -> np.ndar
     out = []
     for strong, weak, most in fragment_keys(s, similarity):
         if hot is not None and len(strong) > most + 1:
-            at = np.minimum(np.searchsorted(hot, strong), max(0, len(hot) - 1))
-            rank = np.where(hot[at] == strong, 1, 0) if len(hot) else np.zeros(len(strong), int)
-            strong = strong[np.lexsort((strong, rank))[: most + 1]]
+            order = strong >> U(1)
+            if len(hot):
+                order |= (hot[np.minimum(np.searchsorted(hot, strong), len(hot) - 1)] == strong).astype(np.uint64) << U(63)
+            strong = strong[np.argpartition(order, most)[: most + 1]]
         out += [strong, weak]
     return np.concatenate(out)
 
@@ -195,6 +196,75 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scrat
     return out
 
 
+def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members of a fragment in different components, unless sizes or counts by fragment rule them out.
+
+    ``members(key, cls, comp)``. Members are compared in blocks of ``BLOCK``, each block with each, so a fragment that
+    very many share is spread over tasks; only pairs that may link leave a task.
+    """
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+    rows = members.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
+    known = spread.join(classes, "cls").select("key", "i", "j", "own", "cls", "comp", "n", "counts")
+    dealt = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            keys = np.stack([rest.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield _compared(rest.slice(0, cuts[-1]), np.concatenate(([0], cuts)), percent)
+                rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield _compared(rest, np.array([0, rest.num_rows]), percent)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(table: pa.Table, cuts: np.ndarray, percent: int) -> pa.RecordBatch:
+    other, cls, comp, n = (table.column(c).to_numpy() for c in ("own", "cls", "comp", "n"))
+    across = table.column("i").to_numpy() != table.column("j").to_numpy()
+    raw = table.column("counts").to_pylist()
+    found: list[np.ndarray] = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        order = lo + np.argsort(n[lo:hi], kind="stable")
+        sizes = n[order]
+        upto = np.searchsorted(sizes * percent, sizes * 100, "right")  # partners no smaller than the row that may link
+        widths = np.array([len(raw[k]) for k in order])
+        flat: dict[int, np.ndarray] = {}
+        for p in range(len(order) - 1):
+            k = order[p]
+            rival = np.arange(p + 1, upto[p])
+            keep = comp[order[rival]] != comp[k]
+            if across[k]:
+                keep &= other[order[rival]] != other[k]
+            rival = rival[keep]
+            if not len(rival):
+                continue
+            mine = np.frombuffer(raw[k], np.uint16)
+            for w in np.unique(widths[rival]):
+                if w not in flat:
+                    whose = np.flatnonzero(widths == w)
+                    flat[w] = whose, np.frombuffer(b"".join(raw[order[x]] for x in whose), np.uint16).reshape(len(whose), -1)
+                whose, counts = flat[w]
+                part = rival[widths[rival] == w]
+                theirs = counts[np.searchsorted(whose, part)]
+                own_counts = mine
+                if theirs.shape[1] > len(mine):
+                    theirs = theirs.reshape(len(part), len(mine), -1).sum(axis=2, dtype=np.uint16)
+                elif theirs.shape[1] < len(mine):
+                    own_counts = mine.reshape(theirs.shape[1], -1).sum(axis=1, dtype=np.uint16)
+                most = np.minimum(theirs, own_counts).sum(axis=1, dtype=np.int64)
+                may = (100 + percent) * most >= percent * (sizes[p] + sizes[part])
+                if may.any():
+                    found.append(np.stack([np.full(may.sum(), cls[k]), cls[order[part[may]]]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+
+
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, parts: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``; further columns are ignored.
 
@@ -212,28 +282,31 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     keys = shared.where(F.col("n") >= limit).select("key").toPandas()["key"].to_numpy(np.int64)  # HOT_KEYS at most
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
     sent = _proposals(docs, words, percent / 100, hot)
-    members = scratch.save(sent.join(shared.drop("n"), "key").where("cls <> low").distinct(), "members")
+    members = scratch.save(sent.join(shared.drop("low"), "key").distinct(), "members")
     scratch.drop("shared")
-    star = scratch.save(members.groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
-    # First each class with the one class it shares most fragments with, then, of those still apart, with the others.
+    # The centre of a fragment is the member whose fragments are shared most: of near copies, what they are copies of.
+    weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
+    centre = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("low"))
+    star = scratch.save(members.join(centre, "key").where("cls <> low").groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
+    # First each class with the one class it shares most fragments with; of those still apart, with the other centres;
+    # of those still apart, all with all.
     links, comp, tested = None, None, None
     for step in range(3):
         if step and comp is None:
             break
         if step == 0:
-            pairs = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
+            found = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
         elif step == 1:
-            pairs = _labelled(star, comp).where("comp <> comp_low")
+            found = _labelled(star, comp).where("comp <> comp_low")
+        if step < 2:
+            found = _plausible(found.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct(), classes, percent)
         else:
-            known = scratch.save(_labelled(members, comp), "known")
-            odd = known.where("comp <> comp_low")
-            everyone = known.select("key", "cls", "comp").unionAll(odd.select("key", F.col("low").alias("cls"), F.col("comp_low").alias("comp")).distinct())
-            cross = odd.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(everyone.select("key", F.col("cls").alias("low"), F.col("comp").alias("cy")), "key")
-            pairs = cross.where("cx <> cy").select("low", F.col("x").alias("cls"))
-        pairs = pairs.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct()
+            named = members.select("key", "cls").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+            known = scratch.save(named.withColumn("comp", F.coalesce("comp", "cls")), "known")
+            found = _apart(known, classes, percent)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(_plausible(pairs, classes, percent), f"pairs{step}")
+            found = found.join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.save(found, f"pairs{step}")
         if pairs.isEmpty():
             continue
         more = _verified(docs, sets.select("doc_id", "print", "cls"), pairs, scratch, f"round{step}", words, percent, parts)

@@ -32,7 +32,8 @@ def _features(data, at):
 def log_count_ratios(docs: DataFrame, labels: DataFrame, held_out: Column) -> np.ndarray:
     """r: log of the ratio of the classes' smoothed shares of documents with each feature, from all training rows."""
     known = labels.where(~held_out & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "y")
+    # Labels have no size bound: one way to join them at every size.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known.hint("shuffle_merge"), "doc_id").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, (1 << BITS) + 1), np.int64)

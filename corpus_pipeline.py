@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet in the
 shared scratch folder and reads it again as the next stage's ``docs``. All stages but the last return the columns of
-``docs``. Rows with a null doc_id pass the filters unless their text is a copy of another document's.
+``docs``. Rows with a null doc_id stay in the similarity stage, as do repeated rows of the id that stays.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import Scratch, table
-from ledgerlark.llm.decontamination import benchmark_matches
+from ledgerlark.llm.decontamination import without_matches
 from ledgerlark.llm.features import fold
 from ledgerlark.llm.jaccard import similarity_components
 from ledgerlark.llm.mixing import mix_expand
@@ -19,27 +19,24 @@ from ledgerlark.llm.sharding import sharded
 from ledgerlark.llm.toxicity import THRESHOLD, toxicity_scores
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_rejected_id")).where("_rejected_id is not null").distinct(), F.col("doc_id") == F.col("_rejected_id"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity score reaches the threshold."""
-    known = table(spark, sf_dir, "labels").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    scores = Scratch(spark).save(toxicity_scores(docs, known, fold(F.col("doc_id"), 3) == 1).where(F.col("score") >= THRESHOLD), "toxic")
-    return _without(docs, scores)
+    """Rejects documents whose toxicity score reaches the threshold, in the pass that scores them."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    known = table(spark, sf_dir, "labels").join(ids, "doc_id", "left_semi")
+    scored = toxicity_scores(docs, known, fold(F.col("doc_id"), 3) == 1, docs.columns, "__toxicity")
+    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
+    """Of each group of similar documents the one with the smallest doc_id stays; joined the same way at every size."""
     groups = similarity_components(docs)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__similar")).distinct()
+    return docs.join(others.hint("shuffle_merge"), F.col("doc_id") == F.col("__similar"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a stretch that matches a benchmark item."""
-    found = Scratch(spark).save(benchmark_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
-    return _without(docs, found)
+    return without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

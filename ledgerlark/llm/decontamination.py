@@ -180,38 +180,64 @@ def benchmark_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 _SCHEMA = "doc_id long, item_id long, distance int, words int, first_word int, end_word int"
 
 
+def without_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, in its columns, in which no stretch matches an item: one filter for each block of items."""
+    for block in item_blocks(items):
+        docs = _clean(docs, block)
+    return docs
+
+
+def _matches(items: _Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item_id, distance, first word, end word, words of the item): the best match of each row and item."""
+    for lo, hi, data, at in tokens.chunks(texts):
+        h, bound = word_hashes(data, at)
+        size = np.diff(bound)
+        each = -(-size // STRIDE)
+        doc = np.repeat(np.arange(hi - lo), each)
+        if not len(doc):
+            continue
+        start = bound[:-1][doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for win, k in sorted(items.candidates(h, start)):
+            d, item = int(doc[win]), items.words[k]
+            base, n, s = int(bound[d]), len(item), int(start[win])
+            slack = int((1 - SIMILARITY) * n)
+            if (had := best.get((d, k))) and (had[0] == 0 or had[1] <= s - base < had[2]):
+                continue
+            a, b = max(base, s - STRIDE - slack), min(int(bound[d + 1]), s + n + slack)
+            if np.isin(item, h[a:b]).sum() < n - slack:  # each word that is absent costs an edit
+                continue
+            dist, first, end = edit_match(item, h[a:b])
+            if dist <= slack and (had is None or dist < had[0]):
+                best[d, k] = dist, a - base + first, a - base + end
+        for (d, k), (dist, first, end) in best.items():
+            yield lo + d, items.ids[k], dist, first, end, len(items.words[k])
+
+
 def _search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
     shared, built = docs.sparkSession.sparkContext.broadcast(block), []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(_Items(shared.value))
-        items = built[0]
         for batch in batches:
-            ids, rows = batch.column("doc_id"), []
-            for lo, hi, data, at in tokens.chunks(batch.column("text")):
-                h, bound = word_hashes(data, at)
-                size = np.diff(bound)
-                each = -(-size // STRIDE)
-                doc = np.repeat(np.arange(hi - lo), each)
-                start = bound[:-1][doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each))
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for win, k in sorted(items.candidates(h, start)) if len(doc) else ():
-                    d, item = int(doc[win]), items.words[k]
-                    base, n = int(bound[d]), len(item)
-                    slack = int((1 - SIMILARITY) * n)
-                    s = int(start[win])
-                    if (had := best.get((d, k))) and (had[0] == 0 or had[1] <= s - base < had[2]):
-                        continue
-                    a, b = max(base, s - STRIDE - slack), min(int(bound[d + 1]), s + n + slack)
-                    if np.isin(item, h[a:b]).sum() < n - slack:  # each word that is absent costs an edit
-                        continue
-                    dist, first, end = edit_match(item, h[a:b])
-                    if dist <= slack and (had is None or dist < had[0]):
-                        best[d, k] = dist, a - base + first, a - base + end
-                rows += [(lo + d, items.ids[k], *v, len(items.words[k])) for (d, k), v in best.items()]
-            pick = pa.array([r[0] for r in rows], pa.int64())
-            cols = [ids.take(pick)] + [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int64()), (2, pa.int32()), (5, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "words", "first_word", "end_word"])
+            rows = list(_matches(built[0], batch.column("text")))
+            ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            cols = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int64()), (2, pa.int32()), (5, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "distance", "words", "first_word", "end_word"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+
+
+def _clean(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+    shared, built = docs.sparkSession.sparkContext.broadcast(block), []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(_Items(shared.value))
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in _matches(built[0], batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

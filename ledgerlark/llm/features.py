@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
 
@@ -82,8 +83,11 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
 
 
-def score_frame(docs: DataFrame, features, weigh, schema: str = "doc_id long, score double") -> DataFrame:
-    """Scores every row: ``features(bytes, offsets)`` yields index arrays, ``weigh(indices)`` gives a probability."""
+def score_frame(docs: DataFrame, features, weigh, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id by default) and the score of every row: ``features(bytes, offsets)`` yields index arrays, ``weigh(indices)`` a probability."""
+    if keep is None:
+        docs, keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +95,9 @@ def score_frame(docs: DataFrame, features, weigh, schema: str = "doc_id long, sc
             for lo, _, data, at in tokens.chunks(batch.column("text")):
                 for i, idx in enumerate(features(data, at)):
                     scores[lo + i] = weigh(idx)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:

@@ -74,8 +74,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarra
     return np.frombuffer(got[0]["i"], np.int32), np.frombuffer(got[0]["w"], np.float32), got[0]["b"]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, score for every row of ``docs(doc_id, text)``. ``held_out``: condition on labels.doc_id of rows never learnt from."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id by default) and the score, as ``name``, for every row of ``docs(doc_id, text)``.
+
+    ``held_out``: condition on labels.doc_id of rows never learnt from.
+    """
     sparse = fit(docs, labels, held_out)
     model, dense = docs.sparkSession.sparkContext.broadcast(sparse), {}
 
@@ -86,4 +89,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Dat
             dense["w"][i] = w
         return sigmoid(float(dense["w"][idx].sum()) + model.value[2])
 
-    return score_frame(docs, _features, weigh)
+    return score_frame(docs, _features, weigh, keep, name)

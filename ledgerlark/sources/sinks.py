@@ -14,7 +14,7 @@ def write_batch(tables: dict[str, DataFrame], base: str, batch_id: str) -> None:
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+        df.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
     spark.createDataFrame([(batch_id,)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/_published/batch_id={batch_id}")
 
 
@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The rows of a table's published batches."""
     published = spark.read.parquet(f"{base}/_published").select(F.col("batch").alias("_b")).distinct()
     rows = spark.read.option("mergeSchema", "true").parquet(f"{base}/{name}")
-    return rows.join(published, F.col("batch").cast("string") == F.col("_b"), "left_semi").drop("batch")
+    return rows.join(published, F.col("_batch") == F.col("_b"), "left_semi").drop("batch", "_batch")
 
 
 def store_files(files: DataFrame, base: str) -> None:

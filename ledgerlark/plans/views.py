@@ -158,7 +158,7 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line % 3 != 0, price).alias("unit_price"),
         total.alias("line_total"),
         rate.alias("tax_rate"),
-        ((line % 10) / 10).alias("confidence"),
+        ((line % 8) / 8).alias("confidence"),
     )
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", item.alias("item"))
     lines = table(spark, sf_dir, "lineitem").groupBy(k.alias("k")).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["item"]).alias("line_items"), F.sum(total).alias("s"))
@@ -209,7 +209,7 @@ SILVER_SQL = """li AS (SELECT l_orderkey AS k, l_linenumber AS n,
 si AS (SELECT k, i, n, l_partkey, q, r, p0 IS NULL AND q <> 0 AND t0 IS NOT NULL AS pd, t0 IS NULL AND p0 IS NOT NULL AND q IS NOT NULL AS td,
   CASE WHEN p0 IS NULL AND q <> 0 AND t0 IS NOT NULL THEN CAST(round(CAST(t0 AS DOUBLE) / CAST(q AS DOUBLE), 4) AS DECIMAL(18,4)) ELSE p0 END AS p,
   CASE WHEN t0 IS NULL AND p0 IS NOT NULL THEN CAST(round(q * p0, 2) AS DECIMAL(18,2)) ELSE t0 END AS t, t0 FROM li),
-sums AS (SELECT k, sum(t0) AS s0, CAST(sum(t) AS DECIMAL(18,2)) AS items_sum, count(*) AS n_items, count(DISTINCT r) AS n_rates, max(r) AS rate, avg((n % 10) / 10.0) AS item_conf FROM si GROUP BY k),
+sums AS (SELECT k, sum(t0) AS s0, CAST(sum(t) AS DECIMAL(18,2)) AS items_sum, count(*) AS n_items, count(DISTINCT r) AS n_rates, max(r) AS rate, avg((n % 8) / 8.0) AS item_conf FROM si GROUP BY k),
 h0 AS (SELECT o.*, s.*, s0 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS s FROM orders o LEFT JOIN sums s ON s.k = o.o_orderkey),
 h1 AS (SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(floor(s * 5) AS BIGINT) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) END AS tax, CASE WHEN o_orderkey % 6 = 0 THEN CAST(1.5 AS DECIMAL(18,2)) END AS discount FROM h0),
 sh AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(s AS DECIMAL(18,2)) END AS subtotal, tax, discount,

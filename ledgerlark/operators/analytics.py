@@ -180,3 +180,27 @@ def corrected(invoices: DataFrame, corrections: DataFrame, fields: tuple[str, ..
 
 def of_tenant(df: DataFrame, organization_id: str) -> DataFrame:
     return df.where(F.col("organization_id") == organization_id)
+
+
+def review_rate_by_week(documents: DataFrame) -> DataFrame:
+    """Share of finished documents sent to review, by week and source type."""
+    week = F.date_trunc("week", "created_at").cast("date").alias("week")
+    done = documents.where(F.col("status").isin("COMPLETED", "REVIEW_REQUIRED"))
+    return done.groupBy(week, "source_type").agg(F.count("*").alias("n"), (F.count_if(F.col("status") == "REVIEW_REQUIRED") / F.count("*")).alias("rate"))
+
+
+def vendor_cycle_time(documents: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Mean milliseconds from upload to the last change, by vendor."""
+    d = documents.select(F.col("id").alias("document_id"), (F.unix_micros("updated_at") - F.unix_micros("created_at")).alias("micros"))
+    return invoices.select("document_id", "vendor_name").join(d, "document_id").groupBy("vendor_name").agg((F.sum("micros") / F.count("micros") / 1000).alias("avg_ms"))
+
+
+def cached_prompts(invoices: DataFrame, cache: DataFrame, least: float = 0.85) -> DataFrame:
+    """Adds the cached prompt of each invoice's tax id, unless its success rate has fallen below ``least``."""
+    good = cache.where(F.col("success_rate") >= least).select(F.col("tax_id").alias("vendor_tax_id"), "prompt")
+    return invoices.join(good, "vendor_tax_id", "left")
+
+
+def blended_cost(share_small: Column, cost_small: Column, share_retried: Column, cost_large: Column) -> Column:
+    """Cost of an invoice when a share of the calls is repeated with the larger model."""
+    return share_small * cost_small + share_retried * cost_large

@@ -191,3 +191,22 @@ def blockers(checks: Column) -> Column:
     """Struct of the checks that need attention and the rest."""
     bad = lambda c: c["status"].isin("FAILED", "WARNING")
     return F.struct(F.filter(checks, bad).alias("blockers"), F.filter(checks, lambda c: ~bad(c)).alias("rest"))
+
+
+def detail_title(invoice_number: Column) -> Column:
+    return F.coalesce(F.nullif(invoice_number, F.lit("")), F.lit("(no invoice number)"))
+
+
+def unit_price_text(price: Column) -> Column:
+    """Two to four decimals, as needed."""
+    return F.coalesce(F.regexp_replace(F.format_number(price, 4), "(\\.[0-9]{2}[1-9]?)0+$", "$1"), F.lit("—"))
+
+
+def rate_text(rate: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(rate.cast("decimal(20,4)").cast("string"), "0+$", ""), "\\.$", "")
+    return F.when(rate.isNull(), "—").otherwise(F.concat(plain, F.lit("%")))
+
+
+def saved_flags(items_saved: Column, logs_saved: Column) -> Column:
+    """What the developer panel confirms as stored."""
+    return F.struct((items_saved > 0).alias("items"), (logs_saved > 0).alias("logs"))

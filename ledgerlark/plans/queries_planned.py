@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_text import prune
 from ..operators import analytics, exports, intake
 from . import views
-from .views import INVOICES_SQL, ITEMS_SQL, LOGS_SQL
+from .views import DOCUMENTS_SQL, INVOICES_SQL, ITEMS_SQL, LOGS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +176,19 @@ def daily_cost(spark, sf_dir):
     calls = views.logs(spark, sf_dir).where("stage = 'AI_STRUCTURING'")
     read = lambda p, k: F.get_json_object("payload", p).try_cast(k)
     return calls.groupBy(F.col("created_at").cast("date").alias("day")).agg(F.sum(read("$.total_tokens", "bigint")).alias("tokens"), F.round(F.sum(read("$.estimated_cost_usd", "double")), 9).alias("cost"))
+
+
+@query(f"""WITH {DOCUMENTS_SQL} SELECT CAST(date_trunc('week', created_at) AS DATE) AS week, source_type, CAST(count(*) AS BIGINT) AS n, round(count(*) FILTER (status = 'REVIEW_REQUIRED') / count(*), 9) AS rate
+FROM docs WHERE status IN ('COMPLETED', 'REVIEW_REQUIRED') GROUP BY 1, 2""")
+def review_rate_weekly(spark, sf_dir):
+    return analytics.review_rate_by_week(views.documents(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@query(f"WITH {DOCUMENTS_SQL}, {INVOICES_SQL} SELECT vendor_name, round(CAST(sum(ms) AS DOUBLE) * 1000 / count(*) / 1000, 6) AS avg_ms FROM inv JOIN docs ON docs.id = inv.document_id GROUP BY 1")
+def vendor_cycle_time(spark, sf_dir):
+    return analytics.vendor_cycle_time(views.documents(spark, sf_dir), views.invoices(spark, sf_dir)).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') LIKE '%7%' THEN '{\"k\": ' || json_extract_string(props, '$.k') || '}' END AS pruned FROM events")
+def json_prune(spark, sf_dir):
+    return views.table(spark, sf_dir, "events").select("event_id", prune(F.col("props"), "7").alias("pruned"))

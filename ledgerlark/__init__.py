@@ -1 +1,8 @@
 """Business-document analytics on Spark: normalisation, validation, routing, read models and exports."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -41,13 +41,17 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, centroids: np.ndarray, books: list[np.ndarray], cuts: np.ndarray):
+        self.centroids, self.books, self.cuts = centroids, books, cuts
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, lists: int) -> Quantiser:
         rng = np.random.default_rng(5)
         x = _unit(sample)
-        self.centroids = _kmeans(x, min(lists, len(x)), rng)
-        rest = x - self.centroids[self.nearest(x, 1)[:, 0]]
-        self.cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
-        self.books = [_kmeans(rest[:, a:b], min(CODES, len(x)), rng) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
+        coarse = cls(_kmeans(x, min(lists, len(x)), rng), [], cuts)
+        rest = x - coarse.centroids[coarse.nearest(x, 1)[:, 0]]
+        return cls(coarse.centroids, [_kmeans(rest[:, a:b], min(CODES, len(x)), rng) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
 
     def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
         score = x @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)
@@ -96,10 +100,11 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("cls"), "cls").select("v").limit(SAMPLE).collect()  # bounded
     lists = int(np.clip(total // LIST, 1, LISTS))
-    shared = spark.sparkContext.broadcast(Quantiser(np.array([r["v"] for r in sample], np.float64), lists))
+    fitted = Quantiser.fit(np.array([r["v"] for r in sample], np.float64), lists)
+    shared = spark.sparkContext.broadcast((fitted.centroids, fitted.books, fitted.cuts))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        q = Quantiser(*shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -124,7 +129,7 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
     def compare(key, xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if xs.empty or qs.empty:
             return pd.DataFrame({c: pd.array([], "Int64") for c in ("cls", "links", "other")})
-        q, at = shared.value, int(key[1])
+        q, at = Quantiser(*shared.value), int(key[1])
         x, y = _matrix(xs["x"], dim), _matrix(qs["x"], dim)
         codes, error = np.frombuffer(b"".join(xs["codes"]), np.uint8).reshape(len(x), -1), xs["error"].to_numpy()
         nx, ny, cx, cy, homes = xs["n"].to_numpy(), qs["n"].to_numpy(), xs["cls"].to_numpy(), qs["cls"].to_numpy(), qs["home"].to_numpy()

@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from . import tokens
 from .features import platt, score_frame, sigmoid, texts_of, training_ids, word_skipgrams

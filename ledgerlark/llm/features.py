@@ -83,6 +83,22 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
 
 
+def one_text(sample: DataFrame) -> DataFrame:
+    """doc_id, text, y: of rows with equal ids the one with the smallest text, null first."""
+    return sample.groupBy("doc_id").agg(F.min(F.struct("text")).alias("t"), F.min("y").alias("y")).select("doc_id", "t.text", "y")
+
+
+def indexed_rows(batches: Iterator[pa.RecordBatch], features) -> tuple[list[np.ndarray], np.ndarray]:
+    """(index arrays, labels) of a sample's rows, by doc_id. Texts are let go batch by batch."""
+    ids, y, rows = [], [], []
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        y += batch.column("y").to_pylist()
+        rows += [idx.astype(np.int32) for _, _, data, at in tokens.chunks(batch.column("text")) for idx in features(data, at)]
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    return [rows[k] for k in order], np.array(y, float)[order]
+
+
 def score_frame(docs: DataFrame, features, weigh, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """``keep`` (doc_id by default) and the score of every row: ``features(bytes, offsets)`` yields index arrays, ``weigh(indices)`` a probability."""
     if keep is None:

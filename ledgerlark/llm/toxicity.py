@@ -13,12 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from . import tokens
-from .features import platt, score_frame, sigmoid, texts_of, training_ids, word_skipgrams
+from .features import indexed_rows, one_text, platt, score_frame, sigmoid, texts_of, training_ids, word_skipgrams
 
 BITS, ORDER, SKIP, SAMPLE, EPOCHS = 20, 2, 2, 6000, 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 10.0, 1.0
@@ -53,21 +51,19 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarra
     """(indices, weights, intercept), with the calibration folded in."""
     ids = training_ids(labels, "toxic", held_out, SAMPLE)
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(frames, ignore_index=True) if (frames := list(frames)) else None
-        if pdf is None or pdf.empty:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = indexed_rows(batches, _features)
+        if not rows:
             return
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
-        column, y = pa.array(pdf["text"], pa.string()), pdf["y"].to_numpy().astype(float)
-        rows = [idx for _, _, data, at in tokens.chunks(column) for idx in _features(data, at)]
         test = np.arange(len(rows)) % 5 == 0
         train = np.flatnonzero(~test)
         w, b = ftrl([rows[i] for i in train], y[train])
         a, o = platt(np.array([w[rows[i]].sum() + b for i in np.flatnonzero(test)]), y[test])
         used = np.flatnonzero(w)
-        yield pd.DataFrame({"i": [used.astype(np.int32).tobytes()], "w": [(a * w[used]).astype(np.float32).tobytes()], "b": [a * b + o]})
+        model = [used.astype(np.int32).tobytes()], [(a * w[used]).astype(np.float32).tobytes()], [a * b + o]
+        yield pa.RecordBatch.from_arrays([pa.array(model[0], pa.binary()), pa.array(model[1], pa.binary()), pa.array(model[2], pa.float64())], ["i", "w", "b"])
 
-    got = texts_of(docs, ids).repartition(1).mapInPandas(solve, "i binary, w binary, b double").collect()  # one row of bounded size
+    got = one_text(texts_of(docs, ids)).repartition(1).mapInArrow(solve, "i binary, w binary, b double").collect()  # one row of bounded size
     if not got:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0
     return np.frombuffer(got[0]["i"], np.int32), np.frombuffer(got[0]["w"], np.float32), got[0]["b"]

@@ -68,14 +68,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_ids(labels: DataFrame, target: str, held_out: Column, rows: int) -> DataFrame:
-    """doc_id, y: at most ``rows`` labelled rows of each class outside the held-out fold, those of smallest hash.
+def training_ids(labels: DataFrame, target: str, held_out: Column, rows: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, y: at most ``rows`` labelled rows of each class outside the held-out fold, those of smallest hash; weights).
 
-    Rows with a null id or label are no examples; of rows with equal ids the smallest label counts.
+    Rows with a null id or label are no examples; of rows with equal ids the smallest label counts. The weight of a
+    class, 0 and 1, is how many labelled rows each of its sampled rows stands for.
     """
     one = labels.where(~held_out & F.col(target).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return one.where("y = 1").orderBy(*order).limit(rows).unionAll(one.where("y = 0").orderBy(*order).limit(rows))
+    ids = one.where("y = 1").orderBy(*order).limit(rows).unionAll(one.where("y = 0").orderBy(*order).limit(rows))
+    n = one.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    return ids, np.maximum(1.0, np.array(n, float) / rows)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,15 +119,20 @@ def score_frame(docs: DataFrame, features, weigh, keep: list[str] | None = None,
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """(a, b) of the probability 1 / (1 + exp(-(a m + b))), by Newton steps; (1, 0) where one class is missing."""
+def platt(margin: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """(a, b) of the probability 1 / (1 + exp(-(a m + b))), by Newton steps; (1, 0) where one class is missing.
+
+    ``weights`` of the classes 0 and 1 undo their sampling, so the probabilities are those of all labelled rows.
+    """
     if not len(y) or y.min() == y.max():
         return 1.0, 0.0
     scale = max(1e-9, float(np.std(margin)))
     m, a, b = margin / scale, 1.0, 0.0
+    each = weights[y.astype(int)]
+    each = each * (len(y) / each.sum())
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        r, v = p - y, p * (1 - p) + 1e-9
+        r, v = each * (p - y), each * p * (1 - p) + 1e-9
         g = np.array([(r * m).sum() + 1e-2 * a, r.sum()])
         h = np.array([[(v * m * m).sum() + 1e-2, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-6]])
         step = np.clip(np.linalg.solve(h, g), -2, 2)

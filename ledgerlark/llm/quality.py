@@ -3,7 +3,7 @@
 Features are indicators of hashed byte n-grams. Each is scaled by its class log-count ratio, counted over all labelled
 training rows as a grouped sum; a linear hinge-loss model over the scaled indicators is then fitted by dual coordinate
 descent on a bounded sample (``SAMPLE`` rows of each class), and margins are calibrated to probabilities on a part of
-the sample that the fit didn't see. The model is ``2 ** BITS`` weights, whatever the input, and is broadcast.
+the sample that the fit didn't see, its classes weighted as they occur in all training labels. The model is ``2 ** BITS`` weights, whatever the input, and is broadcast.
 
 Null and empty texts have no features and get the score of the intercept; with no labels of both classes every score
 is 0.5. Scores depend on the text only.
@@ -75,7 +75,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarray, float, float, float]:
     """(weights by feature, intercept, slope and offset of the calibration)."""
-    ids = training_ids(labels, "quality", held_out, SAMPLE)
+    ids, weights = training_ids(labels, "quality", held_out, SAMPLE)
     ratios = log_count_ratios(docs, labels, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarra
         each = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
         w, b = dual_coordinate_descent([rows[i] for i in train], 2.0 * y[train] - 1, r, C * each[train], EPOCHS)
         w = (w * r).astype(np.float32)
-        a, o = platt(np.array([_margin(rows[i], w, b, r) for i in np.flatnonzero(test)]), y[test].astype(float))
+        a, o = platt(np.array([_margin(rows[i], w, b, r) for i in np.flatnonzero(test)]), y[test].astype(float), weights)
         yield pd.DataFrame({"w": [w.tobytes()], "b": [b], "a": [a], "o": [o]})
 
     got = texts_of(docs, ids).repartition(1).mapInPandas(solve, "w binary, b double, a double, o double").collect()  # one row of fixed size

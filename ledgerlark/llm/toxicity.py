@@ -2,7 +2,8 @@
 
 The fit passes a bounded sample (``SAMPLE`` rows of each class) ``EPOCHS`` times; each coordinate has its own learning
 rate and L1 leaves most weights at zero, so the model is a short sorted list of indices and weights, at most
-``2 ** BITS`` of them, and is broadcast. Log-odds are calibrated on a part of the sample that the fit didn't see.
+``2 ** BITS`` of them, and is broadcast. Log-odds are calibrated on a part of the sample that the fit didn't see, its
+classes weighted as they occur in all training labels.
 
 Null and empty texts have no features and get the score of the intercept; with no labels of both classes every score
 is 0. Scores depend on the text only.
@@ -49,7 +50,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, intercept), with the calibration folded in."""
-    ids = training_ids(labels, "toxic", held_out, SAMPLE)
+    ids, weights = training_ids(labels, "toxic", held_out, SAMPLE)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = indexed_rows(batches, _features)
@@ -58,7 +59,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarra
         test = np.arange(len(rows)) % 5 == 0
         train = np.flatnonzero(~test)
         w, b = ftrl([rows[i] for i in train], y[train])
-        a, o = platt(np.array([w[rows[i]].sum() + b for i in np.flatnonzero(test)]), y[test])
+        a, o = platt(np.array([w[rows[i]].sum() + b for i in np.flatnonzero(test)]), y[test], weights)
         used = np.flatnonzero(w)
         model = [used.astype(np.int32).tobytes()], [(a * w[used]).astype(np.float32).tobytes()], [a * b + o]
         yield pa.RecordBatch.from_arrays([pa.array(model[0], pa.binary()), pa.array(model[1], pa.binary()), pa.array(model[2], pa.float64())], ["i", "w", "b"])

@@ -290,10 +290,9 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     star = scratch.save(members.join(centre, "key").where("cls <> low").groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
     # First each class with the one class it shares most fragments with; of those still apart, with the other centres;
     # of those still apart, all with all.
-    links, comp, tested = None, None, None
+    links, tested = None, None
+    comp = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
     for step in range(3):
-        if step and comp is None:
-            break
         if step == 0:
             found = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
         elif step == 1:
@@ -313,10 +312,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
         links, tested = (more, pairs) if links is None else (links.unionAll(more), tested.unionAll(pairs))
         comp = scratch.save(connected_components(links, scratch, f"cc{step}_"), f"comp{step}")
     smallest = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
-    if comp is None:
-        named = smallest.withColumn("comp", F.col("cls"))
-    else:
-        named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = named.groupBy("comp").agg(F.min("own").alias("component_id"))
     of_class = named.join(first, "comp").select("cls", "component_id")
     out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

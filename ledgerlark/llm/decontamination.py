@@ -1,14 +1,12 @@
 """Benchmark decontamination by edit distance.
 
-Texts are sequences of words (lower-cased, punctuation aside). The CGK embedding walks through a sequence: at every step
-it writes the current word, and a random bit chosen by step and word says whether to move on. Two sequences a few edits
-apart soon walk in step again, so edit distance becomes Hamming distance. Bit sampling then hashes a few steps of the
-walk; sequences that agree in one of ``WALKS * SAMPLES`` samples are candidates, and each candidate is verified by the
-exact edit distance between the item and its best-matching stretch of the document.
+Texts are sequences of words (lower-cased, punctuation aside). An item of n words may differ from a stretch of a
+document in d = n // 5 words. Cut into d + 1 pieces of three to five words, it keeps at least one piece whole in any such
+stretch, so looking up every run of a document's words among the pieces proposes every match: nothing is sampled and no
+match of an item is missed, whatever its length and the kind and place of its edits.
 
-Windows start at every ``STRIDE``-th word of each whole document. An item is embedded from each of its first ``STRIDE``
-words, so some window starts at the same word whatever the item's place. The windows have the size of the item: a
-class of items of similar length samples only steps that stay inside its shortest.
+A proposed place goes on only where the n words around it hold as many item trigrams as d edits leave, and then as many
+of the item's words; the rest are verified by the exact edit distance between the item and its best-matching stretch.
 
 Items reach the tasks as hash tables in blocks of at most ``BLOCK`` items, each block one pass over the documents, so a
 broadcast never exceeds a block. Of documents only those with a verified stretch are returned; null and empty texts
@@ -28,20 +26,8 @@ from . import tokens
 from .features import _WORD
 
 U = np.uint64
-STRIDE, WALKS, SAMPLES, WORDS, SHORTEST, BLOCK, SIMILARITY = 4, 3, 8, 4, 8, 20000, 0.8
-CLASSES = (8, 12, 18, 27, 40, 60, 90, 135, 200, 300)  # shortest item, in words, of each class of lengths
-TABLE_BITS = 20
-_rng = np.random.default_rng(20160619)
-_TURN = _rng.integers(1, 2**63, (WALKS, 4 * CLASSES[-1]), dtype=np.uint64) * U(2) + U(1)
-_KEY = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * U(2) + U(1)
-
-
-def _inside(n: int) -> int:
-    """Steps of the walk to sample from for items of n words: half of them move on, so it stays inside the item."""
-    return max(WORDS, int(1.5 * (n - STRIDE)))
-
-
-_STEPS = {(walk, c): np.sort(np.array([_rng.permutation(_inside(c))[:WORDS] for _ in range(SAMPLES)]), axis=1) for walk in range(WALKS) for c in CLASSES}
+SHORTEST, BLOCK, EDITS = 8, 20000, 5  # one edit for so many words of an item
+TABLE_BITS = 24
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,31 +36,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, bound
 
 
-def samples(h: np.ndarray, start: np.ndarray, walk: int, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, hashes [sample, window]) of the walks from ``start``; past the end of ``h`` the walk writes 0 and stays."""
-    classes = [c for c in CLASSES if c <= longest]
-    wanted = {int(s) for c in classes for s in _STEPS[walk, c].ravel()}
-    padded = np.append(h, U(0))
-    kept, place, turn = {}, start.astype(np.int64), np.empty(len(start), np.uint64)
-    for step in range(max(wanted) + 1):
-        now = padded.take(place)
-        if step in wanted:
-            kept[step] = now
-        np.multiply(now, _TURN[walk, step], out=turn)
-        np.right_shift(turn, U(63), out=turn)
-        place += turn.view(np.int64)
-    for c in classes:
-        out = []
-        for k, steps in enumerate(_STEPS[walk, c]):
-            x = kept[int(steps[0])] * _KEY[0]
-            for j, s in enumerate(steps[1:], 1):
-                x += kept[int(s)] * _KEY[j]
-            out.append((x ^ (x >> U(32))) * (tokens.BASE + U(2 * (k * 1009 + c * 7919 + walk))))
-        yield c, np.array(out)
-
-
-def _class_of(n: int) -> int:
-    return max(c for c in CLASSES if c <= n)
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words from each word, without those past the end."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for j in range(n):
+        out = out * tokens.BASE + h[j : len(h) - n + 1 + j]
+    return tokens.mix(out)
+
+
+def pieces(n: int) -> np.ndarray:
+    """Bounds of the pieces of an item of n words, one more than the edits that it may take."""
+    parts = n // EDITS + 1
+    return np.arange(parts + 1) * n // parts
 
 
 def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -98,40 +73,56 @@ def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class _Items:
-    """A block of items: their words, and a table from sample hashes to items."""
+    """A block of items: their words, their trigrams, and for each length of pieces a table from hashes to places."""
 
     def __init__(self, block: list[tuple[int, bytes]]):
         self.words = [np.frombuffer(b, np.uint64) for _, b in block]
         self.ids = [i for i, _ in block]
-        self.longest = max(len(w) for w in self.words)
-        keys, items = [], []
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.trigrams = self._table(np.concatenate([runs(w, 3) for w in self.words]))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, w in enumerate(self.words):
-            start = np.arange(min(STRIDE, len(w) - SHORTEST + 1))
-            for walk in range(WALKS):
-                for c, found in samples(w, start, walk, len(w)):
-                    if c == _class_of(len(w)):
-                        keys.append(found.ravel())
-                        items.append(np.full(found.size, k))
-        keys, items = np.concatenate(keys), np.concatenate(items)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.items = keys[order], items[order]
-        self.maybe = np.zeros(1 << TABLE_BITS, bool)
-        self.maybe[self.keys >> U(64 - TABLE_BITS)] = True
-
-    def candidates(self, h: np.ndarray, start: np.ndarray) -> set[tuple[int, int]]:
-        """(window, item) that agree in a sample."""
-        out: set[tuple[int, int]] = set()
-        for walk in range(WALKS):
-            for _, found in samples(h, start, walk, self.longest):
-                for x in found:
-                    win = np.flatnonzero(self.maybe[x >> U(64 - TABLE_BITS)])
-                    if not len(win):
-                        continue
-                    lo, hi = np.searchsorted(self.keys, x[win], "left"), np.searchsorted(self.keys, x[win], "right")
-                    for k in np.flatnonzero(hi > lo):
-                        out.update((int(win[k]), int(i)) for i in set(self.items[lo[k] : hi[k]]))
+            cut = pieces(len(w))
+            width = np.diff(cut)
+            for n in np.unique(width).tolist():
+                at = cut[:-1][width == n]
+                found.setdefault(n, []).append((runs(w, n)[at], np.full(len(at), k), at))
+        self.pieces = {}
+        for n, parts in found.items():
+            keys, items, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.pieces[n] = keys[order], items[order], at[order], self._table(keys)
+
+    @staticmethod
+    def _table(keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << TABLE_BITS, bool)
+        out[keys >> U(64 - TABLE_BITS)] = True
         return out
 
+    def candidates(self, h: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, word of ``h`` where the item would start), sorted, that trigrams don't rule out."""
+        known = np.zeros(len(h) + 1, np.int64)
+        three = runs(h, 3)
+        np.cumsum(self.trigrams[three >> U(64 - TABLE_BITS)], out=known[1 : len(three) + 1])
+        known[len(three) + 1 :] = known[len(three)]
+        out = [np.zeros((0, 3), np.int64)]
+        for n, (keys, items, at, maybe) in self.pieces.items():
+            x = runs(h, n)
+            place = np.flatnonzero(maybe[x >> U(64 - TABLE_BITS)])
+            lo, hi = np.searchsorted(keys, x[place], "left"), np.searchsorted(keys, x[place], "right")
+            times = hi - lo
+            for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(np.cumsum(times) >> 18)) + 1):  # bounded memory
+                if not len(part):
+                    continue
+                which = np.repeat(lo[part] - np.cumsum(times[part]) + times[part], times[part]) + np.arange(times[part].sum())
+                p, k = np.repeat(place[part], times[part]), items[which]
+                row = np.searchsorted(bound, p, "right") - 1
+                start, size, slack = p - at[which], self.size[k], self.size[k] // EDITS
+                a, b = np.maximum(bound[row], start - slack), np.minimum(bound[row + 1], start + size + slack)
+                ok = (p + n <= bound[row + 1]) & (b - a >= size - slack) & (known[np.maximum(b - 2, a)] - known[a] >= size - 2 - 3 * slack)
+                out.append(np.unique(np.stack([row[ok], k[ok], start[ok]], axis=1), axis=0))
+        return np.unique(np.concatenate(out), axis=0)
+
 
 def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Blocks of (item_id, word hashes) of at most ``BLOCK`` items of at least ``SHORTEST`` words, as a stream."""
@@ -168,7 +159,7 @@ def short_items(items: DataFrame) -> DataFrame:
 def benchmark_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, words, first_word, end_word: verified stretches of documents, the best for each item.
 
-    A stretch matches when its edit distance in words is at most ``1 - SIMILARITY`` of the item's length.
+    A stretch matches when its edit distance in words is at most a fifth of the item's length (``EDITS``).
     """
     out = None
     for block in item_blocks(items):
@@ -191,29 +182,39 @@ def _matches(items: _Items, texts: pa.Array) -> Iterator[tuple[int, int, int, in
     """(row, item_id, distance, first word, end word, words of the item): the best match of each row and item."""
     for lo, hi, data, at in tokens.chunks(texts):
         h, bound = word_hashes(data, at)
-        size = np.diff(bound)
-        each = -(-size // STRIDE)
-        doc = np.repeat(np.arange(hi - lo), each)
-        if not len(doc):
-            continue
-        start = bound[:-1][doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for win, k in sorted(items.candidates(h, start)):
-            d, item = int(doc[win]), items.words[k]
-            base, n, s = int(bound[d]), len(item), int(start[win])
-            slack = int((1 - SIMILARITY) * n)
-            if (had := best.get((d, k))) and (had[0] == 0 or had[1] <= s - base < had[2]):
-                continue
-            a, b = max(base, s - STRIDE - slack), min(int(bound[d + 1]), s + n + slack)
-            if np.isin(item, h[a:b]).sum() < n - slack:  # each word that is absent costs an edit
+        for d, k, a, b in _stretches(items, h, bound):
+            base, slack = int(bound[d]), int(items.size[k]) // EDITS
+            if (had := best.get((d, k))) and had[0] == 0:
                 continue
-            dist, first, end = edit_match(item, h[a:b])
+            dist, first, end = edit_match(items.words[k], h[a:b])
             if dist <= slack and (had is None or dist < had[0]):
                 best[d, k] = dist, a - base + first, a - base + end
         for (d, k), (dist, first, end) in best.items():
             yield lo + d, items.ids[k], dist, first, end, len(items.words[k])
 
 
+def _stretches(items: _Items, h: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first word, end word) to verify: candidates' surroundings, those that overlap as one."""
+    last: tuple[int, int, int, int] | None = None
+    for d, k, s in items.candidates(h, bound).tolist():
+        item, n = items.words[k], int(items.size[k])
+        slack = n // EDITS
+        a, b = max(int(bound[d]), s - slack), min(int(bound[d + 1]), s + n + slack)
+        if last and last[:2] == (d, k) and b <= last[3]:
+            continue
+        if np.isin(item, h[a:b]).sum() < n - slack:  # each word that is absent costs an edit
+            continue
+        if last and last[:2] == (d, k) and a <= last[3]:
+            last = d, k, last[2], b
+            continue
+        if last:
+            yield last
+        last = d, k, a, b
+    if last:
+        yield last
+
+
 def _search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
     shared, built = docs.sparkSession.sparkContext.broadcast(block), []
 

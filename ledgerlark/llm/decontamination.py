@@ -1,7 +1,7 @@
 """Benchmark decontamination by edit distance.
 
 Texts are sequences of words (lower-cased, punctuation aside). An item of n words may differ from a stretch of a
-document in d = n // 5 words. Cut into d + 1 pieces of three to five words, it keeps at least one piece whole in any such
+document in d = n // 5 words. Cut into d + 1 pieces of two to five words, it keeps at least one piece whole in any such
 stretch, so looking up every run of a document's words among the pieces proposes every match: nothing is sampled and no
 match of an item is missed, whatever its length and the kind and place of its edits.
 
@@ -10,7 +10,8 @@ of the item's words; the rest are verified by the exact edit distance between th
 
 Items reach the tasks as hash tables in blocks of at most ``BLOCK`` items, each block one pass over the documents, so a
 broadcast never exceeds a block. Of documents only those with a verified stretch are returned; null and empty texts
-match nothing, nor do items shorter than ``SHORTEST`` words, which are reported by ``short_items``.
+match nothing, nor do items shorter than ``SHORTEST`` words, which are reported by ``short_items``: with no edit
+allowed and so few words, clean texts hold them by chance.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from . import tokens
 from .features import _WORD
 
 U = np.uint64
-SHORTEST, BLOCK, EDITS = 8, 20000, 5  # one edit for so many words of an item
+SHORTEST, BLOCK, EDITS = 5, 20000, 5  # one edit for so many words of an item
 TABLE_BITS = 24
 
 

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet in the
 shared scratch folder and reads it again as the next stage's ``docs``. All stages but the last return the columns of
-``docs``. Rows with a null doc_id stay in the similarity stage, as do repeated rows of the id that stays.
+``docs``. The similarity stage knows rows by doc_id, which may be null, and text: of repeated rows one stays.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import Scratch, table
 from ledgerlark.llm.decontamination import without_matches
 from ledgerlark.llm.features import fold
-from ledgerlark.llm.jaccard import similarity_components
+from ledgerlark.llm.jaccard import similar_rows
 from ledgerlark.llm.mixing import mix_expand
 from ledgerlark.llm.sharding import sharded
 from ledgerlark.llm.toxicity import THRESHOLD, toxicity_scores
@@ -28,10 +28,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays; joined the same way at every size."""
-    groups = similarity_components(docs)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__similar")).distinct()
-    return docs.join(others.hint("shuffle_merge"), F.col("doc_id") == F.col("__similar"), "left_anti")
+    """Of each group of similar rows the one with the smallest doc_id stays, null last; joined the same way at every size.
+
+    Rows are told apart by doc_id and text, so another text with the id of a similar row stays. Rows equal in both count
+    as one: of these the smallest in all columns stays.
+    """
+    groups = similar_rows(docs).select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("print").alias("__print"), "comp")
+    own = [F.col(c) for c in ("__none", "__id", "__print")]
+    linked = groups.where("comp is not null").groupBy("comp").agg(F.min(F.struct(*own)).alias("row")).select("row.*")
+    kept = linked.unionAll(groups.where("comp is null").select(*own)).distinct()
+    long = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), long.isNull().alias("__none"), F.coalesce(long, F.lit(0)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__print"))
+    rows = keyed.join(kept.hint("shuffle_merge"), ["__none", "__id", "__print"], "left_semi")
+    one = rows.groupBy("__none", "__id", "__print", F.col("__row.text").isNull().alias("__empty")).agg(F.min("__row").alias("__row"))
+    return one.select("__row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,6 +271,14 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     Rows link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` / 100;
     component_id is the smallest doc_id reachable by links. ``parts``: fragments of the verification.
     """
+    return similar_rows(docs, words, percent, parts).select("doc_id", "n_shingles", "component_id")
+
+
+def similar_rows(docs: DataFrame, words: int = 5, percent: int = 80, parts: int = 8) -> DataFrame:
+    """The columns of ``similarity_components``, print (of the text) and comp: one value for each component.
+
+    Components of different texts with one smallest doc_id differ in comp; it is null for rows that link with nothing.
+    """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.save(set_classes(docs, words), "sets")
@@ -314,8 +322,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, pa
     smallest = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
     named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = named.groupBy("comp").agg(F.min("own").alias("component_id"))
-    of_class = named.join(first, "comp").select("cls", "component_id")
-    out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = named.join(first, "comp").select("cls", "comp", "component_id")
+    out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "print", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
     result = scratch.save(out, "result")
     scratch.drop("members", "known", "star", "sets", "classes", *(f"{x}{k}" for x in ("pairs", "comp") for k in range(3)))
     return result

@@ -51,6 +51,18 @@ def test_stages(spark, tmp_path):
     assert {"shard", "slot", "curve"} <= set(frames[5].columns)
 
 
+def test_similar_rows_are_told_apart_by_id_and_text(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (5, a + " more"), (5, b), (7, b + " more"), (None, c), (None, c), (None, d), (2, d), (9, None), (9, None), (9, ""), (8, "")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, lang string")
+    out = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (2, d), (9, None), (9, ""), (8, "")], key=str)
+
+
 def test_empty_corpus(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -442,7 +442,7 @@ def extraction_route(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN value >= 60000 THEN printf('%.1f min', value / 60000) WHEN value >= 1000 THEN printf('%.1f s', value / 1000) ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || ' ms' END AS duration,
   CASE WHEN event_id >= 1000 THEN printf('%.1fk', event_id / 1000.0) ELSE CAST(event_id AS VARCHAR) END AS tokens FROM events WHERE event_id < 1000000""")
 def display_formats(spark, sf_dir):
-    return views.table(spark, sf_dir, "events").where("event_id < 1000000").select("event_id", text.duration(F.col("value")).alias("duration"), text.tokens(F.col("event_id")).alias("tokens"))
+    return views.table(spark, sf_dir, "events").select("event_id", text.duration(F.col("value")).alias("duration"), text.tokens(F.col("event_id")).alias("tokens"))
 
 
 @query("SELECT CAST(1 AS INTEGER) AS alive")

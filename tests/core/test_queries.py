@@ -53,3 +53,9 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_display_formats_keep_every_event(spark, tmp_path):
+    spark.createDataFrame([(999, 5.0), (1000000, 5.0), (2500000, 61000.0)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["duration"], r["tokens"]) for r in entry.queries()["display_formats"](spark, str(tmp_path)).collect()}
+    assert got == {999: ("5 ms", "999"), 1000000: ("5 ms", "1.00M"), 2500000: ("1.0 min", "2.50M")}

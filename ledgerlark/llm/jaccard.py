@@ -1,23 +1,23 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams (their hashes) is cut into fragments, and a document's n-gram set into the parts that fall
-in each. Two sets of n and m n-grams with Jaccard similarity t differ in at most d = (n + m)(1 - t)/(1 + t) n-grams. A
-fragment that differs takes one of these, so a set with more than d strong fragments (of two n-grams or more) shares one
-with any partner: equal strong fragments propose the pairs. For each proposed pair the overlap is then counted
-fragment by fragment, and the partial counts are summed.
+The n-grams of all documents have one global order: by hash, those that ``HOT`` documents or more hold (passages and lines
+in many documents) after all others. Two sets of at least t similarity share an n-gram among the first n - ceil(t n) + 1
+of each in any such order, so these few are sent, and sets that share a sent n-gram are candidates. As frequent n-grams
+come last, a set sends them only where at least the share t of it is frequent.
+
+For candidates that go on, the order is cut into ``parts`` fragments; the overlap of a pair is counted in each fragment
+separately, and the partial counts are summed per pair and compared with the set sizes.
 
 Nothing is capped or sampled:
 
 * Documents with equal sets form one class, and classes are compared, so copies cost no pairs.
-* A set sends one fragment more than can differ, rare fragments first: those that ``HOT`` sets or more share (a passage
-  in many documents) go last, so they are sent only where a set has little else. Any order gives the same result.
-* Each document is first compared with the centre of most of its fragments. Those that turn out to be connected need no
-  comparison with each other; in two further rounds members of a fragment that are still in different components are
-  compared, first with its centre and then with all. Pairs that sizes and counts by fragment rule out go no further.
-* The number of fragments follows the size class of the smaller set (powers of two); a set also takes part in the class
-  below when a partner may be there. A set with too few strong fragments sends its weak and its empty ones too.
-
-Null and empty texts have no n-grams and link with nothing. Rows with equal ids are handled as separate rows.
+* First each class is compared with the centre that it shares most sent n-grams with. Members of an n-gram that are then in
+  one component need no comparison with each other.
+* Of the members that are still apart, those with a partner that sizes and counts by bucket don't rule out are compared in
+  blocks. A block gives a spanning forest of what it links, so its rows grow with its members, not with their square.
+
+Null and empty texts have no n-grams and link with nothing. Rows with equal ids are handled as separate rows. N-grams and
+sets are told apart by 64-bit hashes: two n-grams with one hash would count as the same.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def set_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, print (of the text), n (set size), cls (one value for equal sets), counts (n-grams in each fragment)."""
+    """doc_id, print (of the text), n (set size), cls (one value for equal sets), counts (n-grams in each bucket)."""
 
     def run(batches):
         for batch in batches:
@@ -56,14 +56,14 @@ def set_classes(docs: DataFrame, k: int) -> DataFrame:
             for s in _sets(batch.column("text"), k):
                 sizes.append(len(s))
                 classes.append(_fingerprint(s) if len(s) else 0)
-                counts.append(_fragment_counts(s))
+                counts.append(_bucket_counts(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "print", "n", "cls", "counts"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, print long, n long, cls long, counts binary")
 
 
-def _fragment_counts(s: np.ndarray) -> bytes:
-    """The n-grams in each of 16 to 8192 equal ranges of the order, about three in each, as 16-bit numbers."""
+def _bucket_counts(s: np.ndarray) -> bytes:
+    """The n-grams in each of 16 to 8192 equal ranges of the hashes, about three in each, as 16-bit numbers."""
     if not len(s):
         return b""
     bits = min(13, max(4, (len(s) // 3).bit_length()))
@@ -71,7 +71,7 @@ def _fragment_counts(s: np.ndarray) -> bytes:
 
 
 def _most_overlap(a: bytes, b: bytes) -> int:
-    """The sum over fragments of the smaller count: no overlap can be larger."""
+    """The sum over buckets of the smaller count: no overlap can be larger."""
     x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
     if len(x) > len(y):
         x, y = y, x
@@ -80,94 +80,91 @@ def _most_overlap(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum()) if x.max() < 65535 and y.max() < 65535 else 1 << 62
 
 
-def fragment_keys(s: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(strong keys, weak keys, most) for every size class that a set takes part in; at most ``most`` fragments differ."""
-    n, differ = len(s), (1 - similarity) / similarity
-    most = int(differ * n + 1e-9)
-    low = max(1, int(np.ceil(similarity * n - 1e-9)))
-    mixed = tokens.mix(s)
-    for size_class in range(low.bit_length() - 1, n.bit_length()):
-        count = int(np.ceil(2.8 * differ * 2**size_class)) + 1
-        part = ((s >> U(32)) * U(count)) >> U(32)
-        first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        tag = U(size_class * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        keys = tokens.mix(np.add.reduceat(mixed, first) ^ tokens.mix(part[first] + tag))
-        strong = np.diff(first, append=n) > 1
-        if strong.sum() > most:
-            yield keys[strong], keys[:0], most
-        else:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), part[first], assume_unique=True)
-            yield keys[strong], np.concatenate((keys[~strong], tokens.mix(~tokens.mix(empty + tag)))), most
-
-
-def _chosen(s: np.ndarray, similarity: float, hot: np.ndarray | None) -> np.ndarray:
-    """All keys of a set, or with the sorted hot keys given those that it sends."""
-    out = []
-    for strong, weak, most in fragment_keys(s, similarity):
-        if hot is not None and len(strong) > most + 1:
-            order = strong >> U(1)
-            if len(hot):
-                order |= (hot[np.minimum(np.searchsorted(hot, strong), len(hot) - 1)] == strong).astype(np.uint64) << U(63)
-            strong = strong[np.argpartition(order, most)[: most + 1]]
-        out += [strong, weak]
-    return np.concatenate(out)
-
-
-def _proposals(docs: DataFrame, k: int, similarity: float, hot: Broadcast | None = None) -> DataFrame:
-    """key, cls: the fragments of each class, with ``hot`` those that it sends; copies in one batch send once."""
+def sent_ngrams(s: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
+    """The first n-grams of a sorted set in the global order, one more than a similar set may lack; ``hot`` is sorted.
+
+    A set so small that one n-gram more or less makes it unlike links with no other set and sends nothing.
+    """
+    n = len(s)
+    if 100 * n < percent * (n + 1):
+        return s[:0]
+    first = n + 1 + (-percent * n) // 100
+    if not len(hot):
+        return s[:first]
+    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+    return np.concatenate((s[~late], s[late]))[:first]
+
+
+def _one_of_each(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) of the sets of a batch; copies in one batch count once."""
+    seen = {0}
+    for s in _sets(column, k):
+        c = _fingerprint(s) if len(s) else 0
+        if c not in seen:
+            seen.add(c)
+            yield c, s
+
+
+def ngram_counts(docs: DataFrame, k: int) -> DataFrame:
+    """key, n: every n-gram with the number of batch-wise distinct sets that hold it."""
 
     def run(batches):
-        known = None if hot is None else hot.value
         for batch in batches:
-            seen, keys, classes = set(), [], []
-            for s in _sets(batch.column("text"), k):
-                if len(s) and (c := _fingerprint(s)) not in seen:
-                    seen.add(c)
-                    keys.append(_chosen(s, similarity, known))
-                    classes.append(c)
-                    if len(keys) >= 512:
-                        yield _pairs(keys, classes)
-                        keys, classes = [], []
-            if keys:
-                yield _pairs(keys, classes)
+            held: list[np.ndarray] = []
+            size = 0
+            for _, s in _one_of_each(batch.column("text"), k):
+                held.append(s)
+                size += len(s)
+                if size > 1 << 21:
+                    yield counted(held)
+                    held, size = [], 0
+            if held:
+                yield counted(held)
 
-    return docs.select("text").mapInArrow(run, "key long, cls long")
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
+    rows = docs.select("text").mapInArrow(run, "key long, n int")
+    return rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
-def _pairs(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), [len(x) for x in keys]))], ["key", "cls"])
 
-
-def _partial_overlaps(pairs: DataFrame, k: int, parts: int) -> DataFrame:
-    """a, b, part, o, na, nb: for each fragment of the global order the n-grams that both texts of a pair have there."""
+def _sent(docs: DataFrame, k: int, percent: int, hot: Broadcast) -> DataFrame:
+    """key, cls: the n-grams that each class sends."""
 
     def run(batches):
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        edges = (np.arange(1, parts, dtype=np.uint64) * U(2**64 // parts)).astype(np.uint64)
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("o", "na", "nb")}
-            for a, text, t in zip(batch.column("a").to_pylist(), batch.column("text_a"), _sets(batch.column("text_b"), k), strict=True):
-                if last[0] != a:
-                    last = a, next(_sets(pa.array([text.as_py()], pa.string()), k))
-                s = last[1]
-                small, large = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(large, small)
-                common = small[large[np.minimum(at, len(large) - 1)] == small]
-                rows["o"].append(np.diff(np.searchsorted(common, edges), prepend=0, append=len(common)))
-                rows["na"].append(len(s))
-                rows["nb"].append(len(t))
-            n = batch.num_rows
-            if not n:
-                continue
-            cols = [batch.column(c).take(pa.array(np.repeat(np.arange(n), parts))) for c in ("a", "b")]
-            cols += [pa.array(np.tile(np.arange(parts, dtype=np.int32), n)), pa.array(np.concatenate(rows["o"]).astype(np.int64)), pa.array(np.repeat(rows["na"], parts).astype(np.int64)), pa.array(np.repeat(rows["nb"], parts).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "part", "o", "na", "nb"])
+            keys, classes = [], []
+            for c, s in _one_of_each(batch.column("text"), k):
+                keys.append(sent_ngrams(s, percent, hot.value))
+                classes.append(c)
+                if len(keys) >= 512:
+                    yield pairs(keys, classes)
+                    keys, classes = [], []
+            if keys:
+                yield pairs(keys, classes)
 
-    return pairs.mapInArrow(run, "a long, b long, part int, o long, na long, nb long")
+    def pairs(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), [len(x) for x in keys]))], ["key", "cls"])
+
+    return docs.select("text").mapInArrow(run, "key long, cls long")
+
+
+def _members(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """key, cls, n: the sent n-grams that n classes share, n at least 2."""
+    frequent = scratch.save(ngram_counts(docs, k).where(F.col("n") >= HOT), "frequent")
+    limit = max(HOT, (frequent.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    keys = frequent.where(F.col("n") >= limit).select("key").toPandas()["key"].to_numpy(np.int64)  # HOT_KEYS at most
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+    dealt = _sent(docs, k, percent, hot).repartition("key").distinct()
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.save(dealt.join(shared, "key"), "members")
+    scratch.drop("frequent")
+    return members
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes, and then whose counts by fragment, allow the similarity: what is left out cannot link."""
+    """Pairs whose set sizes, and then whose counts by bucket, allow the similarity: what is left out cannot link."""
     size = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
     counts = lambda c: classes.select(F.col("cls").alias(c), F.col("counts").alias(f"c{c}"))
     near = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -182,31 +179,39 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, k: int, percent: int, parts: int) -> DataFrame:
-    """Of ``pairs(a, b)`` of classes those that are similar: partial overlaps are counted by fragment and summed."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _fragments(docs: DataFrame, sets: DataFrame, used: DataFrame, k: int, parts: int) -> DataFrame:
+    """cls, parts: for each of the classes ``used(cls)`` its n-grams, cut where the global order of hashes is cut."""
     one = sets.join(used, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "print")).alias("r")).select("cls", "r.doc_id", "r.print")
     both = [docs["doc_id"].eqNullSafe(one["doc_id"]), F.xxhash64("text") == one["print"]]
-    text = scratch.save(docs.join(one, both).select("cls", "text").dropDuplicates(["cls"]), f"{tag}_text")
-    b = pairs.join(text.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = b.join(text.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    overlap = _partial_overlaps(rows, k, parts).groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    out = scratch.save(overlap.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"), f"{tag}_links")
-    scratch.drop(f"{tag}_text")
-    return out
+    text = docs.join(one, both).select("cls", "text").dropDuplicates(["cls"])
+    edges = (np.arange(1, parts, dtype=np.uint64) * U(2**64 // parts)).astype(np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            cut = [[x.tobytes() for x in np.split(s, np.searchsorted(s, edges))] for s in _sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(cut, pa.list_(pa.binary()))], ["cls", "parts"])
 
+    return text.mapInArrow(run, "cls long, parts array<binary>")
 
-def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members of a fragment in different components, unless sizes or counts by fragment rule them out.
 
-    ``members(key, cls, comp)``. Members are compared in blocks of ``BLOCK``, each block with each, so a fragment that
-    very many share is spread over tasks; only pairs that may link leave a task.
-    """
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
-    rows = members.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
-    known = spread.join(classes, "cls").select("key", "i", "j", "own", "cls", "comp", "n", "counts")
-    dealt = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _verified(fragments: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` of classes those that are similar: overlaps are counted by fragment and summed per pair."""
+    cut = lambda c: fragments.select(F.col("cls").alias(c), F.posexplode("parts").alias("part", f"p{c}"))
+    rows = pairs.join(cut("a"), "a").join(cut("b"), ["b", "part"]).select("a", "b", "part", "pa", "pb")
+
+    def run(batches):
+        for batch in batches:
+            both = zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)
+            o = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "part")), pa.array(o, pa.int64())], ["a", "b", "part", "o"])
+
+    overlap = rows.mapInArrow(run, "a long, b long, part int, o long").groupBy("a", "b").agg(F.sum("o").alias("o"))
+    size = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
+    return overlap.join(size("a"), "a").join(size("b"), "b").where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
+
+
+def _by_group(dealt: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare(table, cuts)`` on runs of whole groups (key, i, j), which ``dealt`` holds sorted in its partitions."""
 
     def run(batches):
         rest: pa.Table | None = None
@@ -216,60 +221,111 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keys = np.stack([rest.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             if len(cuts):
-                yield _compared(rest.slice(0, cuts[-1]), np.concatenate(([0], cuts)), percent)
+                yield compare(rest.slice(0, cuts[-1]), np.concatenate(([0], cuts)))
                 rest = rest.slice(cuts[-1])
         if rest is not None and rest.num_rows:
-            yield _compared(rest, np.array([0, rest.num_rows]), percent)
+            yield compare(rest, np.array([0, rest.num_rows]))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, i, j, own, cls, comp: members with a partner in another component that may link by sizes and bucket counts.
+
+    ``members(key, cls, comp)``. N-grams with the same members count once. Members are compared in blocks of ``BLOCK``,
+    each block with each, so an n-gram that very many share is spread over tasks.
+    """
+    sums = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum")]
+    mixed = members.groupBy("key").agg(*sums).where("lo <> hi").groupBy("m", "sum").agg(F.min("key").alias("key"))
+    rows = members.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
+    known = spread.join(classes, "cls").select("key", "i", "j", "own", "cls", "comp", "n", "counts")
+    dealt = known.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _by_group(dealt, lambda table, cuts: _with_partner(table, cuts, percent), "key long, i int, j int, own int, cls long, comp long")
+
+
+class _Group:
+    """The members of one group by size: rows of the table, sizes, components, and the rivals that a member may link with."""
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def __init__(self, table: pa.Table, lo: int, hi: int, percent: int):
+        part = table.slice(lo, hi - lo)
+        n = part.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        self.rows, self.size = lo + order, n[order]
+        self.own, self.cls, self.comp = (part.column(c).to_numpy()[order].copy() for c in ("own", "cls", "comp"))
+        self.across = part.column("i")[0].as_py() != part.column("j")[0].as_py()
+        self.upto = np.searchsorted(self.size * percent, self.size * 100, "right")  # partners no smaller than the member
 
+    def rivals(self, p: int) -> np.ndarray:
+        r = np.arange(p + 1, self.upto[p])
+        keep = self.comp[r] != self.comp[p]
+        if self.across:
+            keep &= self.own[r] != self.own[p]
+        return r[keep]
 
-def _compared(table: pa.Table, cuts: np.ndarray, percent: int) -> pa.RecordBatch:
-    other, cls, comp, n = (table.column(c).to_numpy() for c in ("own", "cls", "comp", "n"))
-    across = table.column("i").to_numpy() != table.column("j").to_numpy()
+
+def _with_partner(table: pa.Table, cuts: np.ndarray, percent: int) -> pa.RecordBatch:
     raw = table.column("counts").to_pylist()
-    found: list[np.ndarray] = []
+    hit = np.zeros(table.num_rows, bool)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        order = lo + np.argsort(n[lo:hi], kind="stable")
-        sizes = n[order]
-        upto = np.searchsorted(sizes * percent, sizes * 100, "right")  # partners no smaller than the row that may link
-        widths = np.array([len(raw[k]) for k in order])
-        flat: dict[int, np.ndarray] = {}
-        for p in range(len(order) - 1):
-            k = order[p]
-            rival = np.arange(p + 1, upto[p])
-            keep = comp[order[rival]] != comp[k]
-            if across[k]:
-                keep &= other[order[rival]] != other[k]
-            rival = rival[keep]
-            if not len(rival):
-                continue
-            mine = np.frombuffer(raw[k], np.uint16)
+        g = _Group(table, lo, hi, percent)
+        widths = np.array([len(raw[k]) for k in g.rows])
+        flat: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for p in range(len(g.rows) - 1):
+            rival = g.rivals(p)
+            mine = np.frombuffer(raw[g.rows[p]], np.uint16)
             for w in np.unique(widths[rival]):
                 if w not in flat:
                     whose = np.flatnonzero(widths == w)
-                    flat[w] = whose, np.frombuffer(b"".join(raw[order[x]] for x in whose), np.uint16).reshape(len(whose), -1)
+                    flat[w] = whose, np.frombuffer(b"".join(raw[g.rows[x]] for x in whose), np.uint16).reshape(len(whose), -1)
                 whose, counts = flat[w]
                 part = rival[widths[rival] == w]
-                theirs = counts[np.searchsorted(whose, part)]
-                own_counts = mine
+                theirs, own = counts[np.searchsorted(whose, part)], mine
                 if theirs.shape[1] > len(mine):
-                    theirs = theirs.reshape(len(part), len(mine), -1).sum(axis=2, dtype=np.uint16)
+                    theirs = theirs.reshape(len(part), len(mine), -1).sum(axis=2, dtype=np.int64)
                 elif theirs.shape[1] < len(mine):
-                    own_counts = mine.reshape(theirs.shape[1], -1).sum(axis=1, dtype=np.uint16)
-                most = np.minimum(theirs, own_counts).sum(axis=1, dtype=np.int64)
-                may = (100 + percent) * most >= percent * (sizes[p] + sizes[part])
-                if may.any():
-                    found.append(np.stack([np.full(may.sum(), cls[k]), cls[order[part[may]]]]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+                    own = mine.reshape(theirs.shape[1], -1).sum(axis=1, dtype=np.int64)
+                most = np.minimum(theirs, own).sum(axis=1, dtype=np.int64)
+                full = (theirs.max(axis=1) >= 65535) | (own.max() >= 65535)
+                may = part[full | ((100 + percent) * most >= percent * (g.size[p] + g.size[part]))]
+                if len(may):
+                    hit[g.rows[p]] = hit[g.rows[may]] = True
+    names = ["key", "i", "j", "own", "cls", "comp"]
+    return pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[hit]) for c in names], names)
+
+
+def _forest(table: pa.Table, cuts: np.ndarray, percent: int) -> pa.RecordBatch:
+    """a, b: links of whole sets that join the components of each group, no more than it has components."""
+    found: list[tuple[int, int]] = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        g = _Group(table, lo, hi, percent)
+        sets = [np.frombuffer(b"".join(table.column("parts")[int(k)].as_py()), np.uint64) for k in g.rows]
+        grams, at = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(g.size) - g.size
+        mark = np.zeros(len(grams), bool)
+        for p in range(len(g.rows) - 1):
+            rival = g.rivals(p)
+            if not len(rival):
+                continue
+            mine = at[begin[p] : begin[p] + g.size[p]]
+            mark[mine] = True
+            size = g.size[rival]
+            first = np.cumsum(size) - size
+            overlap = np.add.reduceat(mark[at[np.repeat(begin[rival] - first, size) + np.arange(size.sum())]], first, dtype=np.int64)
+            mark[mine] = False
+            near = rival[100 * overlap >= percent * (g.size[p] + size - overlap)]
+            comps, one = np.unique(g.comp[near], return_index=True)
+            found += [(g.cls[p], g.cls[near[k]]) for k in one]
+            g.comp[np.isin(g.comp, comps)] = g.comp[p]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, parts: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs(doc_id, text)``; further columns are ignored.
 
     Rows link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` / 100;
-    component_id is the smallest doc_id reachable by links. ``parts``: fragments of the verification.
+    component_id is the smallest doc_id reachable by links. ``parts``: fragments that overlaps are counted in.
     """
     return similar_rows(docs, words, percent, parts).select("doc_id", "n_shingles", "component_id")
 
@@ -283,54 +339,35 @@ def similar_rows(docs: DataFrame, words: int = 5, percent: int = 80, parts: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.save(set_classes(docs, words), "sets")
     classes = scratch.save(sets.where("n > 0").select("cls", "n", "counts").dropDuplicates(["cls"]), "classes")
-    every = _proposals(docs, words, percent / 100)
-    counted = every.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("n"))
-    shared = scratch.save(counted.where("low <> high").select("key", "low", "n"), "shared")
-    limit = max(HOT, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    keys = shared.where(F.col("n") >= limit).select("key").toPandas()["key"].to_numpy(np.int64)  # HOT_KEYS at most
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
-    sent = _proposals(docs, words, percent / 100, hot)
-    members = scratch.save(sent.join(shared.drop("low"), "key").distinct(), "members")
-    scratch.drop("shared")
-    # The centre of a fragment is the member whose fragments are shared most: of near copies, what they are copies of.
+    reps = sets.select("doc_id", "print", "cls")
+    members = _members(docs, words, percent, scratch)
+    # The centre of an n-gram is the member whose n-grams are shared most: of near copies, what they are copies of.
     weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
     centre = members.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", "cls")).getField("cls").alias("low"))
-    star = scratch.save(members.join(centre, "key").where("cls <> low").groupBy("low", "cls").agg(F.count("*").alias("n")), "star")
-    # First each class with the one class it shares most fragments with; of those still apart, with the other centres;
-    # of those still apart, all with all.
-    links, tested = None, None
-    comp = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
-    for step in range(3):
-        if step == 0:
-            found = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
-        elif step == 1:
-            found = _labelled(star, comp).where("comp <> comp_low")
-        if step < 2:
-            found = _plausible(found.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct(), classes, percent)
-        else:
-            named = members.select("key", "cls").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left")
-            known = scratch.save(named.withColumn("comp", F.coalesce("comp", "cls")), "known")
-            found = _apart(known, classes, percent)
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(found, f"pairs{step}")
-        if pairs.isEmpty():
-            continue
-        more = _verified(docs, sets.select("doc_id", "print", "cls"), pairs, scratch, f"round{step}", words, percent, parts)
-        links, tested = (more, pairs) if links is None else (links.unionAll(more), tested.unionAll(pairs))
-        comp = scratch.save(connected_components(links, scratch, f"cc{step}_"), f"comp{step}")
+    star = members.join(centre, "key").where("cls <> low").groupBy("low", "cls").agg(F.count("*").alias("n"))
+    nearest = star.groupBy("cls").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
+    pairs = nearest.select(F.least("low", "cls").alias("a"), F.greatest("low", "cls").alias("b")).distinct()
+    pairs = scratch.save(_plausible(pairs, classes, percent), "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    cut = scratch.save(_fragments(docs, reps, used, words, parts), "cut")
+    links = scratch.save(_verified(cut, classes, pairs, percent), "links")
+    comp = scratch.save(connected_components(links, scratch, "cc_"), "comp")
+    # What is still apart, all with all.
+    named = members.select("key", "cls").join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left")
+    known = scratch.save(named.withColumn("comp", F.coalesce("comp", "cls")), "known")
+    apart = scratch.save(_apart(known, classes, percent), "apart")
+    if not apart.isEmpty():
+        rest = scratch.save(_fragments(docs, reps, apart.select("cls").distinct(), words, parts), "rest")
+        whole = apart.join(rest, "cls").join(classes.select("cls", "n"), "cls")
+        dealt = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = scratch.save(_by_group(dealt, lambda table, cuts: _forest(table, cuts, percent), "a long, b long").distinct(), "more")
+        links = links.unionAll(scratch.save(_verified(rest, classes, more, percent), "forest"))
+        comp = scratch.save(connected_components(links, scratch, "cd_"), "all")
     smallest = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"))
     named = smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     first = named.groupBy("comp").agg(F.min("own").alias("component_id"))
     of_class = named.join(first, "comp").select("cls", "comp", "component_id")
     out = sets.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "print", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
     result = scratch.save(out, "result")
-    scratch.drop("members", "known", "star", "sets", "classes", *(f"{x}{k}" for x in ("pairs", "comp") for k in range(3)))
+    scratch.drop("members", "known", "sets", "classes", "pairs", "cut", "links", "comp", "apart", "rest", "more", "forest", "all")
     return result
-
-
-def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """``pairs`` with the components of cls and low; a class without links is its own."""
-    for c, out in (("cls", "comp"), ("low", "comp_low")):
-        pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("comp").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    return pairs

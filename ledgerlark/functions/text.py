@@ -83,17 +83,29 @@ def money(c: Column, currency: Column | None = None) -> Column:
     return F.coalesce(shown, F.lit("—"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many decimals (one or two), rounded by its exact binary value, ties away from zero."""
+    size = F.abs(x.cast("double"))
+    whole, one = F.floor(size), F.lit(2**60).cast("decimal(20,0)")
+    part = ((size - whole) * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)")
+    units = F.call_function("div", part * F.lit(10**digits).cast("decimal(4,0)") + F.lit(2**59).cast("decimal(20,0)"), one)
+    total, unit = whole.cast("bigint") * 10**digits + units, F.lit(10**digits).cast("bigint")
+    shown = F.format_string(f"%d.%0{digits}d", F.call_function("div", total, unit), total % unit)
+    shown = F.when(size < 1e15, shown).otherwise(F.format_string(f"%.{digits}f", size))
+    return F.when(x < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
+
+
 def percent(c: Column, digits: int = 1) -> Column:
-    return F.when(c.isNull(), F.lit("—")).otherwise(F.format_string(f"%.{digits}f%%", c * 100))
+    return F.when(c.isNull(), F.lit("—")).otherwise(F.concat(fixed(c * 100, digits), F.lit("%")))
 
 
 def duration(ms: Column) -> Column:
-    shown = F.when(ms >= 60000, F.format_string("%.1f min", ms / 60000)).when(ms >= 1000, F.format_string("%.1f s", ms / 1000))
+    shown = F.when(ms >= 60000, F.concat(fixed(ms / 60000, 1), F.lit(" min"))).when(ms >= 1000, F.concat(fixed(ms / 1000, 1), F.lit(" s")))
     return F.when(ms.isNull(), "—").otherwise(F.coalesce(shown, F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms"))))
 
 
 def tokens(n: Column) -> Column:
-    return F.when(n >= 1000000, F.format_string("%.2fM", n / 1000000)).when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    return F.when(n >= 1000000, F.concat(fixed(n / 1000000, 2), F.lit("M"))).when(n >= 1000, F.concat(fixed(n / 1000, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def day(c: Column) -> Column:

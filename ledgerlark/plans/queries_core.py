@@ -439,8 +439,13 @@ def extraction_route(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", ocr.route(kind, F.col("html").rlike(">[^<]*[A-Za-z]")).alias("route"))
 
 
-@query("""SELECT event_id, CASE WHEN value >= 60000 THEN printf('%.1f min', value / 60000) WHEN value >= 1000 THEN printf('%.1f s', value / 1000) ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || ' ms' END AS duration,
-  CASE WHEN event_id >= 1000 THEN printf('%.1fk', event_id / 1000.0) ELSE CAST(event_id AS VARCHAR) END AS tokens FROM events WHERE event_id < 1000000""")
+def _fixed(x: str, digits: int) -> str:
+    """SQL for text.fixed: printf is exact but for ties, which it rounds to even; they are moved up a little."""
+    return f"printf('%.{digits}f', {x} + CASE WHEN {x} * {4 * digits} = floor({x} * {4 * digits}) THEN {0.1 ** (digits + 1):.{digits + 1}f} ELSE 0 END)"
+
+
+@query(f"""SELECT event_id, CASE WHEN value >= 60000 THEN {_fixed("(value / 60000)", 1)} || ' min' WHEN value >= 1000 THEN {_fixed("(value / 1000)", 1)} || ' s' ELSE CAST(CAST(floor(value + 0.5) AS BIGINT) AS VARCHAR) || ' ms' END AS duration,
+  CASE WHEN event_id >= 1000000 THEN {_fixed("(event_id / 1000000)", 2)} || 'M' WHEN event_id >= 1000 THEN {_fixed("(event_id / 1000)", 1)} || 'k' ELSE CAST(event_id AS VARCHAR) END AS tokens FROM events""")
 def display_formats(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select("event_id", text.duration(F.col("value")).alias("duration"), text.tokens(F.col("event_id")).alias("tokens"))
 

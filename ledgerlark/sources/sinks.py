@@ -25,6 +25,16 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return rows.join(published, F.col("_batch") == F.col("_b"), "left_semi").drop("batch", "_batch")
 
 
+def read_latest(spark: SparkSession, base: str, name: str, before: str | None = None) -> DataFrame | None:
+    """The rows of a table in its last published batch, or the last before the given one; None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_published")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    batches = spark.read.parquet(f"{base}/_published")
+    last = (batches if before is None else batches.where(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+    return None if last is None else spark.read.parquet(f"{base}/{name}/batch={last}").drop("_batch")
+
+
 def store_files(files: DataFrame, base: str) -> None:
     """Raw contents by organisation, year and month."""
     dated = files.withColumn("year", F.date_format("created_at", "yyyy")).withColumn("month", F.date_format("created_at", "MM"))

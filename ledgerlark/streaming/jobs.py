@@ -12,7 +12,7 @@ from ..operators.analytics import rate_by_window
 from ..plans.pipeline import process
 from ..schemas import EXTRACTED
 from ..settings import Settings
-from ..sources.sinks import write_batch
+from ..sources.sinks import read_latest, write_batch
 
 
 def landing(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -24,13 +24,15 @@ def run_intake(stream: DataFrame, base: str, checkpoint: str, settings: Settings
     """Processes each micro-batch with the batch pipeline and publishes its tables under the batch's number.
 
     Hashes are remembered for ever in the stored table, not in streaming state, which would grow without bound: each
-    batch is compared with ``stored()`` and with itself. A batch that runs again replaces its own files.
+    batch is compared with ``stored()`` and with itself. Each batch publishes the whole vendor dimension, merged into that
+    of the batch before it. A batch that runs again replaces its own files.
     """
     from ..operators.intake import first_by_hash
 
     def handle(batch: DataFrame, number: int) -> None:
         fresh = first_by_hash(batch, stored()).where("duplicate_of is null").drop("duplicate_of")
-        tables = process(fresh, settings)
+        before = read_latest(batch.sparkSession, base, "vendors", f"{number:012d}")
+        tables = process(fresh, settings, before)
         tables["hashes"] = fresh.select(F.col("document_id").alias("id"), "file_hash")
         write_batch(tables, base, f"{number:012d}")
 

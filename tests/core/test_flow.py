@@ -234,3 +234,24 @@ def test_corrections(spark):
     fix = spark.createDataFrame([("1", True, "A2")], "id string, approved boolean, vendor_name string")
     got = {r["id"]: (r["vendor_name"], r["status"]) for r in analytics.corrected(inv, fix, ("vendor_name",)).collect()}
     assert got == {"1": ("A2", "VALIDATED"), "2": ("B", "REVIEW_REQUIRED")}
+
+
+def test_fixed_rounds_by_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [0.0, 0.25, 0.05, 0.15, 0.35, 1.005, 1.25, 1.35, 2.675, 8.345, 10.25, 99.95, 999.95, 1.45, 1234567.125, 0.125, 0.375, -0.25, -0.04, 1e9 + 0.05]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.fixed(F.col("v"), 1).alias("one"), text.fixed(F.col("v"), 2).alias("two")).collect()
+    exact = lambda v, q: ("-" if v < 0 else "") + str(abs(Decimal(v)).quantize(Decimal(q), ROUND_HALF_UP))
+    assert [(r["one"], r["two"]) for r in rows] == [(exact(v, "0.1"), exact(v, "0.01")) for v in values]
+
+
+def test_stream_keeps_known_vendors(spark, tmp_path):
+    """A vendor of an earlier micro-batch keeps its id and contacts and isn't created again."""
+    for k, phone in enumerate(("1", None, "3")):
+        row = invoice(vendor={"name": "Acme", "tax_id": "T1", "phone": phone}) | {"document_id": f"d{k}", "ord": k}
+        spark.createDataFrame([row], SCHEMA).withColumn("file_hash", F.lit(f"h{k}")).coalesce(1).write.mode("append").json(str(tmp_path / "landing"))
+        jobs.run_intake(jobs.landing(spark, str(tmp_path / "landing")), str(tmp_path / "gold"), str(tmp_path / "ck")).awaitTermination(120)
+    got = [sinks.read_latest(spark, str(tmp_path / "gold"), "vendors", before).collect() for before in (f"{1:012d}", f"{2:012d}", None)]
+    assert [(len(v), v[0]["created"], v[0]["phone"]) for v in got] == [(1, True, "1"), (1, False, "1"), (1, False, "1")]
+    assert len({v[0]["id"] for v in got}) == 1
+    assert sinks.read_latest(spark, str(tmp_path / "none"), "vendors") is None

@@ -19,15 +19,17 @@ class Scratch:
     """Parquet tables in the folder that ``spark.checkpoint.dir`` names, so that any executor can read them again.
 
     ``save`` runs the plan once, cuts its lineage and frees its shuffle files; ``drop`` removes a table that no later
-    plan reads. Where the setting is unset (tests on one machine) a temporary folder stands in for it.
+    plan reads, and what is left goes when the driver's file system is closed. Where the setting is unset, the warehouse
+    stands in for it, and in local mode a temporary folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
+        if not root and spark.conf.get("spark.master", "").split("[")[0] == "local":
             root = tempfile.mkdtemp(prefix="ledgerlark-")
-            spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        elif not root:
+            root = spark.conf.get("spark.sql.warehouse.dir")
         self.root = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +40,8 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        whole = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        whole.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(whole)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -133,8 +133,7 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
         x, y = _matrix(xs["x"], dim), _matrix(qs["x"], dim)
         codes, error = np.frombuffer(b"".join(xs["codes"]), np.uint8).reshape(len(x), -1), xs["error"].to_numpy()
         nx, ny, cx, cy, homes = xs["n"].to_numpy(), qs["n"].to_numpy(), xs["cls"].to_numpy(), qs["cls"].to_numpy(), qs["home"].to_numpy()
-        probed = [set(p) for p in xs["probes"]]
-        back = {h: np.array([h in p for p in probed]) for h in set(homes)}  # whether x probes the list h as well
+        probes = np.array(xs["probes"].tolist(), np.int32).reshape(len(x), -1)
         for_x, for_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
         group = np.arange(len(x))
         edges: list[tuple[int, int]] = []
@@ -145,7 +144,7 @@ def _links(classes: DataFrame, dim: int, total: int, threshold: float, scratch:
             near = (exact >= threshold) & (cx[cols] != cy[lo + rows])
             rows, cols = rows[near] + lo, cols[near]
             np.add.at(for_y, rows, nx[cols])
-            twice = np.array([back[homes[r]][c] for r, c in zip(rows, cols, strict=True)], bool)
+            twice = (probes[cols] == homes[rows][:, None]).any(axis=1)  # x probes the list of y as well
             np.add.at(for_x, cols[~twice], ny[rows[~twice]])
             for r in np.unique(rows):
                 mine = cols[rows == r]

@@ -5,8 +5,8 @@ each partition its distinct n-grams with their counts in the block, so that a fr
 one an occurrence. A partition adds up the counts of all blocks and answers each block with the totals of what it asked
 for; a block joins them to the n-grams of its documents and sums the scores of each document.
 
-A word's score is the logarithm of c(n-gram) / c(context) for the longest n-gram up to ``ORDER`` seen ``MIN_COUNT``
-times, less ln(1 / ALPHA) for each order given up; of single words c(word) / c(all words), without minimum. Scores are
+A word's score is the logarithm of c(n-gram) / c(context) for the longest n-gram up to ``ORDER`` seen ``min_count``
+times (1 takes every n-gram; by default 2, as a text in the corpus has seen its own n-grams once), less ln(1 / ALPHA) for each order given up; of single words c(word) / c(all words), without minimum. Scores are
 rounded to a millionth before they are summed, so sums do not depend on the order.
 
 Words are runs of bytes other than ASCII white space, A-Z as a-z. Documents without words have no score (null). Rows
@@ -56,7 +56,7 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, n, inverse
 
 
-def _totals(docs: DataFrame, orders: tuple[int, ...], bits: int, scratch: Scratch) -> DataFrame:
+def _totals(docs: DataFrame, orders: tuple[int, ...], bits: int, min_count: int, scratch: Scratch) -> DataFrame:
     """block, ord, part, totals: for the distinct n-grams of a block in a partition, in hash order, their corpus counts."""
 
     def ask(table: pa.Table) -> pa.Table:
@@ -82,7 +82,7 @@ def _totals(docs: DataFrame, orders: tuple[int, ...], bits: int, scratch: Scratc
         _, inverse = np.unique(h.view(np.uint64).ravel(), return_inverse=True)
         total = np.bincount(inverse, weights=np.frombuffer(b"".join(counts), np.uint32))[inverse].astype(np.int64)
         if table.column("ord")[0].as_py() > 1:
-            total[total < MIN_COUNT] = 0
+            total[total < min_count] = 0
         cut = np.cumsum([0] + [len(c) // 4 for c in counts])
         answers = [total[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         return pa.table({"block": table.column("block"), "ord": table.column("ord"), "part": table.column("part"), "totals": pa.chunked_array([pa.array(answers, pa.binary())])})
@@ -92,7 +92,7 @@ def _totals(docs: DataFrame, orders: tuple[int, ...], bits: int, scratch: Scratc
     return scratch.save(answered, f"totals{orders[0]}")
 
 
-def backoff_scores(docs: DataFrame) -> DataFrame:
+def backoff_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_micros, score for every row of ``docs(doc_id, text)``.
 
     log_micros: sum of the words' log scores in millionths; score: their mean.
@@ -103,8 +103,8 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-size // BLOCK_BYTES))
     bits = int(np.ceil(np.log2(max(4, size / PART_BYTES))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    first = _totals(dealt, tuple(range(1, ORDER)), bits, scratch) if ORDER > 1 else None
-    last = _totals(dealt, (ORDER,), bits, scratch)
+    first = _totals(dealt, tuple(range(1, ORDER)), bits, min_count, scratch) if ORDER > 1 else None
+    last = _totals(dealt, (ORDER,), bits, min_count, scratch)
     answers = last if first is None else first.unionAll(last)
     words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")))).first()[0] or 0
     every = spark.sparkContext.broadcast(float(max(1, words)))

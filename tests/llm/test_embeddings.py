@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerlark.llm import embeddings
 
@@ -50,5 +51,27 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert sum(r[1] for r in got) >= 0.95 * sum(r[1] for r in expected)
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """8 of 200 lists are probed; queries are the ids divisible by 20, against all vectors of one large and two small labels."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(embeddings, "LIST", 250)
+    loose = rng.normal(size=(38000, 32))
+    centres = rng.normal(size=(3000, 32))
+    near = np.repeat(centres, 4, axis=0) + rng.normal(size=(12000, 32)) * rng.uniform(0.1, 0.28, size=(12000, 1))
+    v = np.concatenate((loose, near))[rng.permutation(50000)]
+    label = np.where(np.arange(50000) % 10 < 8, 0, np.arange(50000) % 10 - 7)
+    table = pa.table({"vec_id": np.arange(50000), "embedding": pa.array(list(v), pa.list_(pa.float64())), "label": label})
+    got = embeddings.near_duplicates(spark.createDataFrame(table)).where("vec_id % 20 = 0").toPandas().set_index("vec_id")["n_links"]
+    x = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    q = np.arange(0, 50000, 20)
+    linked = (x[q] @ x.T >= 0.93) & (label[q][:, None] == label[None])
+    true = linked.sum(axis=1) - 1
+    found = got.loc[q].to_numpy()
+    assert true.sum() > 500 and (found <= true).all()
+    recall = found.sum() / true.sum()
+    print(f"recall {recall:.4f} of {true.sum()} links")
+    assert recall >= 0.9
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -17,14 +17,25 @@ def clamp(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
+def bound(x: Column, f) -> Column:
+    """``f(x)`` with x computed once, however often f takes it; keeps expressions small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def round4(x: Column) -> Column:
-    """Half-even rounding of a double in [0, 1] to four places by its exact binary value."""
-    scaled = (x * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
-    one, half = F.lit(2**60).cast("decimal(20,0)"), F.lit(2**59).cast("decimal(20,0)")
-    rest = scaled % one
-    k = F.floor((scaled - rest) / one).cast("bigint")
-    up = (rest > half) | ((rest == half) & (k % 2 == 1))
-    return (k + up.cast("int")) / F.lit(10000.0)
+    """Half-even rounding of a double in [0, 1] to four places by its exact binary value.
+
+    x is the sum of its leading 27 bits and a rest; both times 10000 are exact in doubles, and so is the sign of the
+    difference between what is left after whole units and one half.
+    """
+
+    def of(v: Column) -> Column:
+        lead = F.floor(v * float(2**27)) / float(2**27)
+        k = F.floor(lead * 10000)
+        over = (lead * 10000 - k - 0.5) + (v - lead) * 10000
+        return bound(F.struct(k.alias("k"), over.alias("over")), lambda r: (r["k"] + ((r["over"] > 0) | ((r["over"] == 0) & (r["k"] % 2 == 1))).cast("int")) / F.lit(10000.0))
+
+    return bound(x, of)
 
 
 def within(a: Column, b: Column, tolerance: Column) -> Column:

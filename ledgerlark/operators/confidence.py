@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import WEIGHTS
-from ..functions.numbers import clamp, round4
+from ..functions.numbers import bound, clamp, round4
 
 
 def composite(ocr: Column, ai: Column, validation: Column) -> Column:
@@ -14,13 +14,21 @@ def composite(ocr: Column, ai: Column, validation: Column) -> Column:
 
     NaN components count as missing. Sums run in the order ocr, ai, validation.
     """
-    parts = {"ocr": F.when(~F.isnan(ocr), ocr), "ai": F.when(~F.isnan(ai), ai), "validation": F.when(~F.isnan(validation), validation)}
-    share = {k: F.when(v.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, v in parts.items()}
-    total = share["ocr"] + share["ai"] + share["validation"]
-    terms = [F.coalesce(F.lit(WEIGHTS[k]) * clamp(v), F.lit(0.0)) for k, v in parts.items()]
-    score = F.when(total > 0, (terms[0] + terms[1] + terms[2]) / F.nullif(total, F.lit(0.0))).otherwise(0.0)
-    return F.struct(
-        round4(clamp(score)).alias("composite"),
-        *[round4(clamp(v)).alias(k) for k, v in parts.items()],
-        F.struct(*[round4(F.coalesce(s / F.nullif(total, F.lit(0.0)), F.lit(0.0))).alias(k) for k, s in share.items()]).alias("weights"),
-    )
+    known = lambda v: F.when(~F.isnan(v), v)
+    parts = F.struct(known(ocr).alias("ocr"), known(ai).alias("ai"), known(validation).alias("validation"))
+
+    def weighed(p: Column) -> Column:
+        share = [F.when(p[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()]
+        terms = [F.coalesce(F.lit(w) * clamp(p[k]), F.lit(0.0)) for k, w in WEIGHTS.items()]
+        values = {"sum": terms[0] + terms[1] + terms[2], "total": share[0] + share[1] + share[2]}
+        return F.struct(*[c.alias(n) for n, c in values.items()], *[c.alias(f"w_{k}") for k, c in zip(WEIGHTS, share, strict=True)], *[clamp(p[k]).alias(k) for k in WEIGHTS])
+
+    def scored(v: Column) -> Column:
+        share = lambda c: v[c] / F.nullif(v["total"], F.lit(0.0))
+        return F.struct(
+            round4(clamp(F.coalesce(share("sum"), F.lit(0.0)))).alias("composite"),
+            *[round4(v[k]).alias(k) for k in WEIGHTS],
+            F.struct(*[round4(F.coalesce(share(f"w_{k}"), F.lit(0.0))).alias(k) for k in WEIGHTS]).alias("weights"),
+        )
+
+    return bound(bound(parts, weighed), scored)

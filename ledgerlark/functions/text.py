@@ -83,12 +83,15 @@ def money(c: Column, currency: Column | None = None) -> Column:
     return F.coalesce(shown, F.lit("—"))
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """A double with so many decimals (one or two), rounded by its exact binary value, ties away from zero."""
+def fixed(x: Column, digits: int, even: bool = False) -> Column:
+    """A double with so many decimals (one or two), rounded by its exact binary value, ties away from zero or to even."""
     size = F.abs(x.cast("double"))
     whole, one = F.floor(size), F.lit(2**60).cast("decimal(20,0)")
     part = ((size - whole) * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)")
-    units = F.call_function("div", part * F.lit(10**digits).cast("decimal(4,0)") + F.lit(2**59).cast("decimal(20,0)"), one)
+    scaled, half = part * F.lit(10**digits).cast("decimal(4,0)"), F.lit(2**59).cast("decimal(20,0)")
+    units = F.call_function("div", scaled + half, one)
+    if even:
+        units = units - F.when((scaled % one == half) & (units % 2 == 1), 1).otherwise(0)
     total, unit = whole.cast("bigint") * 10**digits + units, F.lit(10**digits).cast("bigint")
     shown = F.format_string(f"%d.%0{digits}d", F.call_function("div", total, unit), total % unit)
     shown = F.when(size < 1e15, shown).otherwise(F.format_string(f"%.{digits}f", size))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..constants import CHARS_PER_TOKEN, TEXT_BUDGET_TOKENS
+
 
 def monthly(invoices: DataFrame, by: str, amount: str = "grand_total", date: str = "invoice_date") -> DataFrame:
     """Spend and number of invoices by month and ``by``."""
@@ -108,21 +110,15 @@ def due_by_week(invoices: DataFrame) -> DataFrame:
 def convert(invoices: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds amount_base: grand_total by the latest rate of its currency at or before the invoice date.
 
-    As-of join by union and one window: the last known rate is carried over each currency's rows in order of date; a
-    hot currency is cut by month, and each month starts from the last rate before it.
+    The last known rate is carried over the days of each currency that have a rate or an invoice, one row a day, so a
+    currency with a third of all invoices costs the window no more than another; invoices then join by currency and day.
     """
-    months = rates.select("currency", F.date_trunc("month", "day").cast("date").alias("month"), "day", "rate")
-    last = months.groupBy("currency", "month").agg(F.max_by("rate", "day").alias("closing"))
-    span = W.partitionBy("currency").orderBy("month")
-    spread = invoices.select("currency", F.date_trunc("month", "invoice_date").cast("date").alias("month")).unionAll(last.select("currency", "month")).distinct()
-    opening = spread.join(last, ["currency", "month"], "left").withColumn("opening", F.last("closing", True).over(span.rowsBetween(W.unboundedPreceding, -1))).select("currency", "month", "opening")
-    rows = invoices.withColumn("month", F.date_trunc("month", "invoice_date").cast("date")).withColumn("_r", F.lit(None).cast("double")).withColumn("_d", F.col("invoice_date")).withColumn("_k", F.lit(1))
-    quotes = months.select("currency", "month", F.col("rate").alias("_r"), F.col("day").alias("_d"), F.lit(0).alias("_k"))
-    both = rows.unionByName(quotes, allowMissingColumns=True)
-    w = W.partitionBy("currency", "month").orderBy("_d", "_k").rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("_seen", F.last("_r", True).over(w)).where("_k = 1")
-    rated = seen.join(opening, ["currency", "month"], "left").withColumn("amount_base", F.col("grand_total").cast("double") * F.coalesce("_seen", "opening"))
-    return rated.drop("month", "_r", "_d", "_k", "_seen", "opening")
+    quotes = rates.groupBy("currency", "day").agg(F.max("rate").alias("rate"))
+    asked = invoices.select("currency", F.col("invoice_date").alias("day")).distinct()
+    carried = F.last("rate", True).over(W.partitionBy("currency").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+    daily = asked.join(quotes, ["currency", "day"], "full").select("currency", F.col("day").alias("invoice_date"), carried.alias("_rate"))
+    rated = invoices.join(daily, ["currency", "invoice_date"], "left").withColumn("amount_base", F.col("grand_total").cast("double") * F.col("_rate"))
+    return rated.select(*invoices.columns, "amount_base")
 
 
 def tax_number_valid(country: Column, number: Column) -> Column:
@@ -152,6 +148,12 @@ def compacted(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
+def through_last(pages: Column, wanted) -> Column:
+    """An array up to the last page that ``wanted`` holds for; all of it where that holds for none."""
+    after = F.array_position(F.reverse(F.transform(pages, wanted)), F.lit(True)).cast("int")
+    return F.when(after > 0, F.slice(pages, F.lit(1), F.size(pages) - after + 1)).otherwise(pages)
+
+
 def masked_contact(text: Column) -> Column:
     """Mail addresses and phone numbers masked."""
     mail = F.regexp_replace(text, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+", "[email]")
@@ -204,3 +206,38 @@ def cached_prompts(invoices: DataFrame, cache: DataFrame, least: float = 0.85) -
 def blended_cost(share_small: Column, cost_small: Column, share_retried: Column, cost_large: Column) -> Column:
     """Cost of an invoice when a share of the calls is repeated with the larger model."""
     return share_small * cost_small + share_retried * cost_large
+
+
+def between(lines: DataFrame, start: str, end: str, time: str = "day") -> DataFrame:
+    """Rows from the first day up to, without, the last."""
+    return lines.where((F.col(time) >= F.lit(start).cast("date")) & (F.col(time) < F.lit(end).cast("date")))
+
+
+def top_products(lines: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
+    """What was bought most in a span."""
+    return between(lines, start, end).groupBy("product").agg(F.sum("quantity").alias("quantity")).orderBy(F.desc("quantity"), "product").limit(n)
+
+
+def largest_vendor(lines: DataFrame, start: str, end: str) -> DataFrame:
+    """The vendor with the highest spend in a span."""
+    return between(lines, start, end).groupBy("vendor").agg(F.sum("amount").alias("spend"), F.count("*").alias("lines")).orderBy(F.desc("spend"), "vendor").limit(1)
+
+
+def quantity_by_vendor(lines: DataFrame, start: str, end: str) -> DataFrame:
+    return between(lines, start, end).groupBy("vendor").agg(F.sum("quantity").alias("quantity"))
+
+
+def largest_increases(lines: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
+    """Products whose price rose most from the first to the last day of a span."""
+    change = price_change(between(lines, start, end)).select("product", (F.col("last_price") / F.nullif("first_price", F.lit(0.0)) - 1).alias("increase"))
+    return change.orderBy(F.desc("increase"), "product").limit(n)
+
+
+def rate_by_day(rows: DataFrame, time: str, good: Column) -> DataFrame:
+    return rows.groupBy(F.col(time).cast("date").alias("day")).agg(F.count("*").alias("n"), (F.count_if(good) / F.count("*")).alias("rate"))
+
+
+def long_share(documents: DataFrame, budget: int = TEXT_BUDGET_TOKENS) -> DataFrame:
+    """Share of documents whose text exceeds the budget of tokens."""
+    over = F.ceil(F.length("text") / CHARS_PER_TOKEN) > budget
+    return documents.agg(F.count("*").alias("n"), (F.count_if(over) / F.count("*")).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EXPORT_VERSION
-from ..functions.text import file_stem
+from ..functions.text import file_stem, fixed
 
 # Headers of the CSV export and formats.
 CSV_HEADERS = ("Description", "Quantity", "Unit Price", "Line Total", "Tax Rate (%)", "UPC")
@@ -50,7 +50,8 @@ def export_payload() -> Column:
         _vendor("name", "vendor_name").alias("name"), _vendor("tax_id", "vendor_tax_id").alias("tax_id"), _vendor("address", "vendor_address").alias("address"), _vendor("phone", None).alias("phone"), _vendor("email", None).alias("email")
     )
     validation = F.struct("status", (F.col("status") == "REVIEW_REQUIRED").alias("review_required"), num("composite_confidence", "composite_confidence"))
-    made = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("processed_at")
+    whole = F.unix_micros("created_at") % 1000000 == 0
+    made = F.when(whole, F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")).alias("processed_at")
     processing = F.struct("filename", "source_type", "extraction_model", made)
     return F.struct(F.lit(EXPORT_VERSION).alias("schema_version"), F.col("id").alias("invoice_id"), "document_id", header.alias("invoice"), vendor.alias("vendor"), _positions().alias("line_items"), validation.alias("validation"), processing.alias("processing"))
 
@@ -76,7 +77,7 @@ def export_text() -> Column:
     )
     one = lambda i: F.concat_ws("\n", F.concat(i["position"].cast("string"), F.lit(".")), block("Description", _shown(i["description"])), block("Quantity", _amount(i["quantity"])), block("Unit Price", _amount(i["unit_price"])), block("Line Total", _amount(i["line_total"])))
     total = F.trim(F.concat(_amount(F.col("grand_total")), F.lit(" "), F.coalesce("currency", F.lit(""))))
-    sure = F.when(F.col("composite_confidence").isNull(), "—").otherwise(F.format_string("%.1f%%", F.col("composite_confidence").cast("double") * 100))
+    sure = F.when(F.col("composite_confidence").isNull(), "—").otherwise(F.concat(fixed(F.col("composite_confidence").cast("double") * 100, 1, True), F.lit("%")))
     tail = F.concat_ws(
         "\n",
         F.lit(f"{RULE}\n\nTotals\n"),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import MAX_BYTES, MIME_TYPES, MIN_BYTES
-from ..functions.text import mime_base
+from ..functions.text import fixed, mime_base
 
 
 def gate_error(content_type: Column, size: Column) -> Column:
@@ -21,7 +21,7 @@ def gate_error(content_type: Column, size: Column) -> Column:
 
 def gate_message(size: Column) -> Column:
     small = F.format_string(f"File is too small (%d bytes). Minimum is {MIN_BYTES} bytes.", size)
-    large = F.format_string(f"File size %.1f MB exceeds the {MAX_BYTES // 1024**2} MB limit.", size / 1024**2)
+    large = F.concat(F.lit("File size "), fixed(size / 1024**2, 1, True), F.lit(f" MB exceeds the {MAX_BYTES // 1024**2} MB limit."))
     return F.when(size < MIN_BYTES, small).when(size > MAX_BYTES, large)
 
 

@@ -408,12 +408,54 @@ def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detail(spark, sf_dir).join(docs, "document_id")
 
 
-@query()
+_EXPORTED = f"""WITH {DOCUMENTS_SQL}, {INVOICES_SQL}, {ITEMS_SQL}, {VENDORS_SQL}, ln AS (SELECT invoice_id, list({{'position': sort_order + 1, 'description': description, 'quantity': l_quantity,
+  'unit_price': CAST(l_partkey % 1000 AS DOUBLE), 'line_total': l_extendedprice, 'tax_rate': CAST(tax_rate AS DOUBLE), 'sku_upc': product_sku}} ORDER BY sort_order) AS items FROM it GROUP BY 1),
+ex AS (SELECT inv.id, document_id, invoice_number, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(due_date AS VARCHAR) AS due_date, currency, CAST(tax_amount AS DOUBLE) AS tax, CAST(grand_total AS DOUBLE) AS total, inv.status,
+  CAST(composite_confidence AS DOUBLE) AS conf, docs.filename, docs.source_type, inv.created_at, coalesce(items, []) AS items, coalesce(ven.name, vendor_name) AS vendor,
+  CASE WHEN ven.id IS NULL THEN vendor_tax_id ELSE ven.tax_id END AS tax_id, ven.address FROM inv JOIN docs ON docs.id = inv.document_id LEFT JOIN ven ON ven.id = inv.vendor_id LEFT JOIN ln ON ln.invoice_id = inv.id)"""
+
+
+# Spark writes numbers below a thousandth with an exponent.
+@query(rf"""{_EXPORTED} SELECT id, regexp_replace(CAST(to_json({{'schema_version': '1.0', 'invoice_id': id, 'document_id': document_id,
+  'invoice': {{'invoice_number': invoice_number, 'invoice_date': invoice_date, 'due_date': due_date, 'currency': currency, 'totals': {{'subtotal': NULL::DOUBLE, 'tax': tax, 'discount': 0::DOUBLE, 'grand_total': total}}}},
+  'vendor': {{'name': vendor, 'tax_id': tax_id, 'address': address, 'phone': NULL::VARCHAR, 'email': NULL::VARCHAR}}, 'line_items': items,
+  'validation': {{'status': status, 'review_required': status = 'REVIEW_REQUIRED', 'composite_confidence': conf}},
+  'processing': {{'filename': filename, 'source_type': source_type, 'extraction_model': 'gpt-4o-mini', 'processed_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00')}}}}) AS VARCHAR),
+  '"composite_confidence":0\.000([1-9])}}', '"composite_confidence":\1.0E-4}}') AS json FROM ex""")
 def export_json(spark, sf_dir):
     return _export_rows(spark, sf_dir).select("id", exports.export_json().alias("json"))
 
 
-@query()
+def _block(label: str, value: str) -> str:
+    return f"'{label}:' || chr(10) || coalesce({value}, '—') || chr(10) || chr(10)"
+
+
+def _grouped(value: str) -> str:
+    return f"format('{{:,.2f}}', {value})"
+
+
+_RULE = "repeat('-', 48) || chr(10) || chr(10)"
+_ITEM_TEXT = " || ".join(["x.position || '.' || chr(10)", _block("Description", "x.description"), _block("Quantity", _grouped("x.quantity")), _block("Unit Price", _grouped("x.unit_price")), _block("Line Total", _grouped("x.line_total"))])
+_TEXT = " || ".join(
+    [
+        "'Vendor' || chr(10) || '------' || chr(10) || coalesce(vendor, '—') || chr(10) || chr(10)",
+        *(_block(label, c) for label, c in (("Invoice Number", "invoice_number"), ("Invoice Date", "invoice_date"), ("Due Date", "due_date"), ("Currency", "currency"))),
+        f"{_RULE} || 'Items' || chr(10) || chr(10)",
+        f"array_to_string(list_transform(items, lambda x: {_ITEM_TEXT}), '')",
+        f"{_RULE} || 'Totals' || chr(10) || chr(10)",
+        _block("Subtotal", "NULL"),
+        _block("Tax", _grouped("tax")),
+        _block("Discount", "'0.00'"),
+        _block("Grand Total", _grouped("total") + " || ' ' || currency"),
+        _RULE,
+        _block("Validation Status", "status"),
+        _block("Confidence", "printf('%.1f', conf * 100) || '%'"),
+        "'Review Required:' || chr(10) || CASE WHEN status = 'REVIEW_REQUIRED' THEN 'Yes' ELSE 'No' END || chr(10)",
+    ]
+)
+
+
+@query(f"{_EXPORTED} SELECT id, {_TEXT} AS txt FROM ex")
 def export_text(spark, sf_dir):
     return _export_rows(spark, sf_dir).select("id", exports.export_text().alias("txt"))
 

@@ -20,15 +20,19 @@ def intake_batch(uploads: DataFrame, stored: DataFrame | None = None) -> tuple[D
     return accepted, bad.unionByName(again)
 
 
-def process(extracted: DataFrame, settings: Settings | None = None, stored_vendors: DataFrame | None = None) -> dict[str, DataFrame]:
+def process(extracted: DataFrame, settings: Settings | None = None, stored_vendors: DataFrame | None = None, saved: str | None = None) -> dict[str, DataFrame]:
     """Gold frames of a batch of extracted records (document_id, ord, ocr_confidence and the bronze columns).
 
     Rows whose values don't fit the stored columns leave nothing but a failed status and a failure log, and create no
-    vendor. Nothing is collected; the vendor key is the only shuffle besides the writes.
+    vendor. Nothing is collected; the vendor key is the only shuffle besides the writes. Every frame returned reads the
+    validated rows: with ``saved``, a shared folder, they are written there once and not computed for each frame anew.
     """
     s = settings or Settings()
     silver = validate(normalize_invoices(extracted, ("document_id", "ord", "ocr_confidence")), s.tolerance, s.review_threshold)
     silver = silver.withColumn("persistable", persistence.persistable())
+    if saved:
+        silver.write.mode("overwrite").parquet(saved)
+        silver = silver.sparkSession.read.schema(silver.schema).parquet(saved)
     good, bad = silver.where("persistable"), silver.where("not persistable")
     keyed = vendors.new_vendor_rows(good)
     status = good.select("document_id", persistence.final_status(F.col("decision")).alias("status"))

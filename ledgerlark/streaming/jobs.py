@@ -32,7 +32,7 @@ def run_intake(stream: DataFrame, base: str, checkpoint: str, settings: Settings
     def handle(batch: DataFrame, number: int) -> None:
         fresh = first_by_hash(batch, stored()).where("duplicate_of is null").drop("duplicate_of")
         before = read_latest(batch.sparkSession, base, "vendors", f"{number:012d}")
-        tables = process(fresh, settings, before)
+        tables = process(fresh, settings, before, f"{base}/_validated/batch={number:012d}")
         tables["hashes"] = fresh.select(F.col("document_id").alias("id"), "file_hash")
         write_batch(tables, base, f"{number:012d}")
 

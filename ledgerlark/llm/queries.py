@@ -83,6 +83,14 @@ def op10_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_spans
+
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    return out.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +110,7 @@ QUERIES = {
         op8_stupid_backoff,
         op9_decontamination,
         op10_toxicity_ftrl,
+        op11_bucket_pointer_dedup,
         pipeline,
     )
 }
@@ -160,4 +169,21 @@ s AS (SELECT g.doc_id, CASE
 d AS (SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(round(l * 1e6) AS BIGINT)) AS BIGINT) AS log_micros FROM s GROUP BY doc_id)
 SELECT documents.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, log_micros, log_micros / n_words / 1e6 AS score
 FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id""",
+    "op11_bucket_pointer_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, unnest(range(0, len(h) // 2 - 49, 256)) AS b, h FROM d),
+b AS (SELECT r, doc_id, b, substring(h, 2 * b + 1, 610) AS h FROM c),
+g AS (SELECT r, doc_id, b, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM b),
+w AS (SELECT r, doc_id, b + i AS i, substring(h, 2 * i + 1, 100) AS s FROM g),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.r, w.i, coalesce(w.i - lag(w.i) OVER (PARTITION BY w.r ORDER BY w.i) > 50, true) AS new
+  FROM w JOIN m USING (s) WHERE m.least < coalesce(w.doc_id, 9223372036854775807)),
+run AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, k, min(i) AS lo, max(i) + 50 AS hi FROM run GROUP BY r, k),
+piece AS (SELECT r, k, hi, hi - lo AS n, substring(h, 2 * coalesce(lag(hi) OVER o, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER o, 0))) AS p
+  FROM span JOIN d USING (r) WINDOW o AS (PARTITION BY r ORDER BY k)),
+kept AS (SELECT r, sum(n) AS n_removed, count(*) AS n_spans, max(hi) AS hi, string_agg(p, '' ORDER BY k) AS p FROM piece GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(p, '') || substring(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
 }

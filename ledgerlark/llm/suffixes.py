@@ -11,7 +11,11 @@ identifiers of buckets at later offsets, which are built from the q-gram identif
 2. ``run``: what is left by all bytes that the anchor's strings cover. Every row but the one with the smallest doc_id of
    a bucket loses the whole run.
 3. ``mixed``: of these smallest rows, only q-gram buckets that still hold different runs stay open.
-4. ``string``: their single strings; rows lose those that a row with a smaller doc_id has.
+4. ``piece``: open runs are cut where the offset of the anchor is a multiple of ``PIECE``. Pieces are refined like runs;
+   with them ``core``, what all strings of a piece have in common: only cores with different pieces stay open.
+5. ``string``: their single strings; rows lose those that a row with a smaller doc_id has.
+
+The row with the smallest doc_id of all that have a string stays open in every step, so the last one knows it.
 
 Texts are dealt into blocks. In each step a block sends every range of identifiers the distinct ones that it has, packed
 into a binary row with the smallest doc_id for each; a range sorts what all blocks sent and answers each block with a
@@ -38,9 +42,9 @@ from . import tokens
 from .common import Scratch
 
 U = np.uint64
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, PIECE = 50, 16, 8
 BLOCK_BYTES = (4_000_000, 64_000_000)
-STEPS = ("gram", "run", "mixed", "string")
+STEPS = (("gram",), ("run",), ("mixed",), ("piece", "core"), ("string",))
 _SPAN, _LAST = 1 << 18, np.iinfo(np.int64).max
 _SALT = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _ASKED = "kind string, block long, part int, high binary, low binary, least binary, most binary"
@@ -101,36 +105,50 @@ class Block:
             out[:, salt] = x
         return out
 
-    def advance(self, answers: dict[str, np.ndarray]) -> dict | None:
-        """What to ask in the first step without answer; None after the last. Afterwards ``starts`` has the strings that go."""
+    def advance(self, answers: dict[str, np.ndarray]) -> dict[str, dict]:
+        """What to ask in the first step without answer, by kind; nothing after the last. Afterwards ``starts`` has the strings that go."""
         self.keys, inverse = np.unique(self.key, return_inverse=True)
         if "gram" not in answers:
-            return {"high": self.keys}
+            return {"gram": {"high": self.keys}}
         low, high = _extremes(inverse, self.owner, len(self.keys))
         open_ = np.flatnonzero((answers["gram"] | (low != high))[inverse])
-        place, first, last, owner, inverse = self.place[open_], self.first[open_], self.last[open_], self.owner[open_], inverse[open_]
+        place, first, last, owner, inverse = (x[open_] for x in (self.place, self.first, self.last, self.owner, inverse))
         ids, run = _unique_pairs(self.string_ids(first, last - first + self.length, place - first))
         least, _ = _extremes(run, owner, len(ids))
         if "run" not in answers:
-            return {"high": ids[:, 0], "low": ids[:, 1], "least": least}
+            return {"run": {"high": ids[:, 0], "low": ids[:, 1], "least": least}}
         gone = answers["run"][run] | (owner > least[run])
         self.starts = [_ranges(first[gone], last[gone])]
         kept = np.flatnonzero(~gone)
         bucket, inverse = np.unique(inverse[kept], return_inverse=True)
-        code = ids[run[kept], 0].view(np.int64)
-        small, large = _extremes(inverse, code, len(bucket))
+        small, large = _extremes(inverse, ids[run[kept], 0].view(np.int64), len(bucket))
         if "mixed" not in answers:
-            return {"high": self.keys[bucket], "least": small, "most": large}
+            return {"mixed": {"high": self.keys[bucket], "least": small, "most": large}}
         open_ = kept[(answers["mixed"] | (small != large))[inverse]]
-        start = _ranges(first[open_], last[open_])
-        times = last[open_] - first[open_] + 1
-        ids, string = _unique_pairs(self.string_ids(start, np.full(len(start), self.length), np.repeat(place[open_], times) - start))
+        near, far = place[open_] - last[open_], place[open_] - first[open_]
+        piece = _ranges(near // PIECE, far // PIECE) * PIECE
+        times = far // PIECE - near // PIECE + 1
+        place, owner = np.repeat(place[open_], times), np.repeat(owner[open_], times)
+        first = place - np.minimum(np.repeat(far, times), piece + PIECE - 1)
+        last = place - np.maximum(np.repeat(near, times), piece)
+        ids, run = _unique_pairs(self.string_ids(first, last - first + self.length, place - first))
+        least, _ = _extremes(run, owner, len(ids))
+        size = np.full(len(place), self.length - PIECE + 1)
+        core, inverse = np.unique(self.string_ids(place - piece, size, piece)[:, 0], return_inverse=True)
+        small, large = _extremes(inverse, ids[run, 0].view(np.int64), len(core))
+        if "piece" not in answers:
+            return {"piece": {"high": ids[:, 0], "low": ids[:, 1], "least": least}, "core": {"high": core, "least": small, "most": large}}
+        gone = answers["piece"][run] | (owner > least[run])
+        self.starts.append(_ranges(first[gone], last[gone]))
+        open_ = np.flatnonzero(~gone & (answers["core"] | (small != large))[inverse])
+        start, times = _ranges(first[open_], last[open_]), last[open_] - first[open_] + 1
+        ids, run = _unique_pairs(self.string_ids(start, np.full(len(start), self.length), np.repeat(place[open_], times) - start))
         owner = np.repeat(owner[open_], times)
-        least, _ = _extremes(string, owner, len(ids))
+        least, _ = _extremes(run, owner, len(ids))
         if "string" not in answers:
-            return {"high": ids[:, 0], "low": ids[:, 1], "least": least}
-        self.starts.append(start[answers["string"][string] | (owner > least[string])])
-        return None
+            return {"string": {"high": ids[:, 0], "low": ids[:, 1], "least": least}}
+        self.starts.append(start[answers["string"][run] | (owner > least[run])])
+        return {}
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """(first, end) of the maximal runs of bytes that go, within their texts, in order."""
@@ -164,13 +182,14 @@ def _unique_pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[new], inverse
 
 
-def _packed(kind: str, block: int, ask: dict, bits: int) -> Iterator[dict]:
-    """A row for each range of identifiers that a block asks about."""
-    part = (ask["high"] >> U(64 - bits)).astype(np.int64)
-    cut = np.searchsorted(part, np.arange((1 << bits) + 1))
-    for p in np.flatnonzero(np.diff(cut)):
-        own = slice(cut[p], cut[p + 1])
-        yield {"kind": kind, "block": block, "part": int(p)} | {c: ask[c][own].tobytes() for c in ("high", "low", "least", "most") if c in ask}
+def _packed(block: int, asked: dict[str, dict], bits: int) -> Iterator[dict]:
+    """A row for each kind and range of identifiers that a block asks about."""
+    for kind, ask in asked.items():
+        part = (ask["high"] >> U(64 - bits)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange((1 << bits) + 1))
+        for p in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[p], cut[p + 1])
+            yield {"kind": kind, "block": block, "part": int(p)} | {c: ask[c][own].tobytes() for c in ("high", "low", "least", "most") if c in ask}
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -183,7 +202,7 @@ def _answer(table: pa.Table) -> pa.Table:
     sizes = np.array([len(x) // 8 for x in table.column("high").to_pylist()])
     ids = np.zeros((sizes.sum(), 2), np.uint64)
     ids[:, 0] = words("high", np.uint64)
-    if kind in ("run", "string"):
+    if kind in ("run", "piece", "string"):
         ids[:, 1] = words("low", np.uint64)
     unique, group = _unique_pairs(ids)
     if kind == "gram":
@@ -191,7 +210,7 @@ def _answer(table: pa.Table) -> pa.Table:
     else:
         least = words("least", np.int64)
         small, large = _extremes(group, least, len(unique))
-        if kind == "mixed":
+        if kind in ("mixed", "core"):
             large = np.maximum(large, _extremes(group, words("most", np.int64), len(unique))[1])
             yes = (small != large)[group]
         else:
@@ -202,9 +221,9 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _answers(table: pa.Table) -> dict[str, np.ndarray]:
-    """The bits of each step in the order of the block's identifiers; a step before the last that asked nothing has none."""
+    """The bits of each kind in the order of the block's identifiers; a kind that asked nothing has none."""
     rows = sorted(zip(table.column("kind").to_pylist(), table.column("part").to_pylist(), table.column("bits").to_pylist(), strict=True), key=lambda r: r[:2])
-    out = {k: [np.zeros(0, bool)] for k in STEPS}
+    out = {k: [np.zeros(0, bool)] for step in STEPS for k in step}
     for kind, _, bits in rows:
         out[kind].append(np.unpackbits(np.frombuffer(bits[:-8], np.uint8), count=int.from_bytes(bits[-8:], "little")).astype(bool))
     return {k: np.concatenate(v) for k, v in out.items()}
@@ -219,12 +238,12 @@ def _block(table: pa.Table, length: int) -> tuple[Block, pa.Table]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end in bytes: what goes), kept (binary: all other bytes) for every row of ``docs``.
 
-    ``length`` of at least 16 bytes. Blocks hold about ``block_bytes`` of texts, and at least one text; by default their
+    ``length`` of at least 24 bytes. Blocks hold about ``block_bytes`` of texts, and at least one text; by default their
     size grows with the square root of the corpus within ``BLOCK_BYTES``, so that the rows that blocks send to ranges
     stay large. A range gets the identifiers of about four blocks' bytes.
     """
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} at least")
+    if length < GRAM + PIECE:
+        raise ValueError(f"length must be {GRAM + PIECE} at least")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,15 +264,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int | Non
             seq += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(order), batch.column("doc_id"), batch.column("text")], ["block", "seq", "doc_id", "text"])
 
-    def ask(name: str):
+    shape = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "least", "most"))])
+
+    def ask(step: int):
+        known = [k for kinds in STEPS[:step] for k in kinds]
+
         def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-            empty = pa.Table.from_pylist([], pa.schema([(c, pa.binary() if c not in ("kind", "block", "part") else {"kind": pa.string(), "block": pa.int64(), "part": pa.int32()}[c]) for c in ("kind", "block", "part", "high", "low", "least", "most")]))
-            if not table.num_rows:
-                return empty
-            own, _ = _block(table, length)
-            known = _answers(answers)
-            asked = own.advance({k: known[k] for k in STEPS[: STEPS.index(name)]})
-            return pa.Table.from_pylist(list(_packed(name, table.column("block")[0].as_py(), asked, bits)), empty.schema)
+            own, table = _block(table, length)
+            every = _answers(answers)
+            asked = own.advance({k: every[k] for k in known})
+            return pa.Table.from_pylist(list(_packed(table.column("block")[0].as_py(), asked, bits)), shape)
 
         return run
 
@@ -274,9 +294,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int | Non
 
     dealt = scratch.save(rows.mapInArrow(deal, "block long, seq long, doc_id long, text string"), "dealt")
     given = docs.sparkSession.createDataFrame([], _BITS)
-    for k, name in enumerate(STEPS):
-        asked = scratch.save(dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(ask(name), _ASKED), f"asked{k}")
-        bit = scratch.save(asked.groupBy("part").applyInArrow(_answer, _BITS), f"bits{k}")
-        scratch.drop(f"asked{k}")
-        given = bit if k == 0 else given.unionAll(bit)
+    for step in range(len(STEPS)):
+        asked = dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(ask(step), _ASKED)
+        bit = scratch.save(asked.groupBy("kind", "part").applyInArrow(_answer, _BITS), f"bits{step}")
+        given = given.unionAll(bit) if step else bit
     return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

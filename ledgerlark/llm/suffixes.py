@@ -91,7 +91,7 @@ class Block:
         new = np.flatnonzero(np.concatenate(([True], every[0, 1:] != every[0, :-1]))) if every.shape[1] else np.zeros(0, np.int64)
         self.place, self.first = every[0, new], every[1, new]
         self.last = every[2, np.append(new[1:], every.shape[1]) - 1] if len(new) else new
-        self.key = self.gram(self.place)
+        self.key = tokens.mix(self.gram(self.place) + _SALT[1])  # anchors have small hashes: spread them over the ranges
         self.owner = self.ids[np.searchsorted(self.at, self.place, "right") - 1] if len(new) else new
 
     def string_ids(self, start: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:

@@ -14,13 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .features import byte_ngrams, platt, score_frame, sigmoid, texts_of, training_ids
+from .features import byte_ngrams, indexed_rows, one_text, platt, score_frame, sigmoid, texts_of, training_ids
 
 BITS, GRAM, SAMPLE, EPOCHS, C = 18, 3, 4000, 8, 1.0
 
@@ -73,29 +72,27 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarray, float, float, float]:
-    """(weights by feature, intercept, slope and offset of the calibration)."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """(weights by feature, log-count ratios, intercept, slope and offset of the calibration)."""
     ids, weights = training_ids(labels, "quality", held_out, SAMPLE)
     ratios = log_count_ratios(docs, labels, held_out)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(frames, ignore_index=True) if (frames := list(frames)) else None
-        if pdf is None or pdf.empty:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = indexed_rows(batches, _features)
+        if not rows:
             return
         r = shared.value
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="first").drop_duplicates("doc_id")
-        column, y = pa.array(pdf["text"], pa.string()), pdf["y"].to_numpy()
-        rows = [idx for _, _, data, at in tokens.chunks(column) for idx in _features(data, at)]
         test = np.arange(len(rows)) % 5 == 0
         train = np.flatnonzero(~test)
         each = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
         w, b = dual_coordinate_descent([rows[i] for i in train], 2.0 * y[train] - 1, r, C * each[train], EPOCHS)
         w = (w * r).astype(np.float32)
-        a, o = platt(np.array([_margin(rows[i], w, b, r) for i in np.flatnonzero(test)]), y[test].astype(float), weights)
-        yield pd.DataFrame({"w": [w.tobytes()], "b": [b], "a": [a], "o": [o]})
+        a, o = platt(np.array([_margin(rows[i], w, b, r) for i in np.flatnonzero(test)]), y[test], weights)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), *(pa.array([float(v)]) for v in (b, a, o))], ["w", "b", "a", "o"])
 
-    got = texts_of(docs, ids).repartition(1).mapInPandas(solve, "w binary, b double, a double, o double").collect()  # one row of fixed size
+    # One text an id before the one task, which keeps feature indices only; it returns one row of fixed size.
+    got = one_text(texts_of(docs, ids)).repartition(1).mapInArrow(solve, "w binary, b double, a double, o double").collect()
     shared.unpersist()
     if not got:
         return np.zeros(1 << BITS, np.float32), ratios, 0.0, 1.0, 0.0

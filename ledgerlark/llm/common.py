@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns named by place, and the new names: names with dots or quotes don't resolve in Arrow stages."""
+    names = {c: f"_{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Parquet tables in the folder that ``spark.checkpoint.dir`` names, so that any executor can read them again.
 

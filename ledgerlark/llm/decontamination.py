@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import positional
 from .features import _WORD
 
 U = np.uint64
@@ -290,13 +291,15 @@ def _search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
 
 def _clean(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
     shared, built = docs.sparkSession.sparkContext.broadcast(block), []
+    plain, at = positional(docs)
+    text = at["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
             built.append(_Items(shared.value))
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[r[0] for r in _matches(built[0], batch.column("text"))]] = False
+            keep[[r[0] for r in _matches(built[0], batch.column(text))]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .common import positional
 
 U = np.uint64
 
@@ -106,17 +107,19 @@ def score_frame(docs: DataFrame, features, weigh, keep: list[str] | None = None,
     """``keep`` (doc_id by default) and the score of every row: ``features(bytes, offsets)`` yields index arrays, ``weigh(indices)`` a probability."""
     if keep is None:
         docs, keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id"]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    plain, at = positional(docs)
+    kept, text = [at[c] for c in keep], at["text"]
+    schema = T.StructType([*(plain.schema[c] for c in kept), T.StructField("_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for lo, _, data, at in tokens.chunks(batch.column("text")):
-                for i, idx in enumerate(features(data, at)):
+            for lo, _, data, offsets in tokens.chunks(batch.column(text)):
+                for i, idx in enumerate(features(data, offsets)):
                     scores[lo + i] = weigh(idx)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], [*kept, "_score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return plain.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema).toDF(*keep, name)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 60) -> tuple[float, float]:

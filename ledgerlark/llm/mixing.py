@@ -6,9 +6,11 @@ minimise sum(r ln r - r + 1) subject to sum(size r) = target and r <= CAP. The s
 r = min(CAP, exp(lambda * size / mean size)), and Newton steps on the convex dual, all sources at once as one grouped
 aggregation a step, find each lambda. Rates are then rounded into whole copies: each takes floor(r), and one more where
 a hash of the row lies below the fraction plus a shift; the shift is chosen for each source so that its words come
-within one document of its target.
+within one document of its target. Where it would fall between rows of one hash, as rows equal in id and text have,
+they are numbered and the first of them take the copy.
 
 Null text has no words. A null source is a source of its own, last in order. Rows with equal ids are separate rows.
+Which of rows equal in id and text take one more copy is not defined beyond their number.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted
 
-WEIGHTS, CAP, STEPS, BINS, ROUNDS = (5, 2, 1), 3, 40, 4096, 3
+WEIGHTS, CAP, STEPS, BIN_BITS, ROUNDS = (5, 2, 1), 3, 40, 12, 3
+KEY_BITS = 48
 
 
 def word_count(text: Column) -> Column:
@@ -82,7 +85,7 @@ def mix_copies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     u = F.pmod(F.xxhash64(F.col("doc_id"), text), F.lit(1 << 48)) / float(1 << 48)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("_u"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in columns or df.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("_u"))
     slim = scratch.save(rows.select("source", "size", "_u"), "slim")
     histogram = scratch.save(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -96,32 +99,72 @@ def mix_copies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         out = d.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         return out.withColumn("rate", F.when(full, F.lit(float(CAP))).otherwise(F.exp(F.least(x, F.lit(2.0)))))
 
-    # The key below which a row takes one more copy: hash minus fraction, in [-1, 1). Rows at the cap take none.
-    spare = rated(slim).where(f"rate < {CAP}").where("size > 0").withColumn("key", F.col("_u") - (F.col("rate") - F.floor("rate")))
+    def keyed(d: DataFrame) -> DataFrame:
+        """Adds key, the hash less the fraction as a whole number: rows below the shift take one more copy."""
+        fraction = F.col("rate") - F.floor("rate")
+        return rated(d).withColumn("key", F.floor((F.col("_u") - fraction + 1) * float(1 << KEY_BITS - 1)).cast("long"))
+
+    spare = keyed(slim).where(f"rate < {CAP} and size > 0")  # rows at the cap take no more
     spare = scratch.save(spare.select("source", "key", "size"), "spare")
     base = rated(slim).groupBy("source").agg(F.sum(F.floor("rate").cast("long") * F.col("size")).alias("base"))
-    state = targets.join(base.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("target") - F.coalesce("base", F.lit(0))).alias("need"), F.lit(-1.0).alias("cut"), F.lit(2.0).alias("span"))
+    state = targets.join(base.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("target") - F.coalesce("base", F.lit(0))).alias("need"), F.lit(0).cast("long").alias("cut"))
     for step in range(ROUNDS):
+        width = 1 << KEY_BITS - BIN_BITS * (step + 1)
         state = scratch.save(state.coalesce(1), f"shift{step}")
-        inside = spare.withColumnRenamed("source", "_s").join(state, F.col("source").eqNullSafe(F.col("_s"))).where("key >= cut and key < cut + span")
-        bins = inside.groupBy("source", F.least(F.lit(BINS - 1), F.floor((F.col("key") - F.col("cut")) / F.col("span") * BINS)).alias("bin")).agg(F.sum("size").alias("words"))
-        upto = W.partitionBy("source").orderBy("bin")
-        below = bins.withColumn("sum", F.sum("words").over(upto)).join(state.select(F.col("source").alias("_s"), "need"), F.col("source").eqNullSafe(F.col("_s")))
-        last = step == ROUNDS - 1
-        fits = (F.col("sum") - F.col("words") / 2 <= F.col("need")) if last else (F.col("sum") <= F.col("need"))
-        got = below.where(fits).groupBy("source").agg(F.max("sum").alias("got"), F.max("bin").alias("top")).withColumnRenamed("source", "_s")
-        narrow = F.col("span") / BINS
-        state = state.join(got, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), (F.col("cut") + (F.coalesce("top", F.lit(-1)) + 1) * narrow).alias("cut"), narrow.alias("span"))
-        if not last:  # the bin that crosses need not be the next one
-            nxt = below.where(~fits).groupBy("source").agg(F.min("bin").alias("next")).withColumnRenamed("source", "_s")
-            before = scratch.save(state.coalesce(1), f"mid{step}")
-            old = df.sparkSession.read.parquet(f"{scratch.root}/shift{step}").select(F.col("source").alias("_o"), F.col("cut").alias("cut0"), F.col("span").alias("span0"))
-            state = before.join(nxt, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").join(old, F.col("source").eqNullSafe(F.col("_o")))
-            state = state.select("source", "need", F.when(F.col("next").isNull(), F.lit(2.0)).otherwise(F.col("cut0") + F.col("next") * F.col("span0") / BINS).alias("cut"), "span")
-    shift = scratch.save(state.select(F.col("source").alias("_s2"), F.col("cut").alias("_cut")).coalesce(1), "shift")
-    out = rated(rows).join(shift, F.col("source").eqNullSafe(F.col("_s2")))
-    extra = (F.col("rate") < CAP) & (F.col("_u") - (F.col("rate") - F.floor("rate")) < F.col("_cut"))
-    return out.withColumn("copies", F.floor("rate").cast("long") + extra.cast("long")).select("row", "size", "source_size", "target", "rate", "copies")
+        state = _narrowed(spare, state, width)
+    shift = scratch.save(state.withColumnRenamed("source", "_s").coalesce(1), "shift")
+    shared = scratch.save(_shares(spare, shift, width), "shared")
+    full, cut = F.col("_m") == F.col("_n"), (F.col("_m") > 0) & (F.col("_m") < F.col("_n"))
+    out = keyed(rows).join(shift.select("_s", "cut"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    out = out.join(shared.withColumnsRenamed({"source": "_s", "key": "_k", "size": "_z"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("size") == F.col("_z")), "left")
+    may = (F.col("rate") < CAP) & (F.col("size") > 0)
+    more = may & ((F.col("key") < F.col("cut")) | F.coalesce(full, F.lit(False)))
+    parts = ["row", "size", "source_size", "target", "rate"]
+    whole = F.floor("rate").cast("long")
+    if shared.where(cut).isEmpty():
+        return out.select(*parts, (whole + more.cast("long")).alias("copies"))
+    tied = may & F.coalesce(cut, F.lit(False))
+    ties = scratch.save(out.where(tied).select(*parts, "source", "key", "_m", F.monotonically_increasing_id().alias("_at")), "ties")
+    return out.where(~tied).select(*parts, (whole + more.cast("long")).alias("copies")).unionAll(_numbered(ties).select(*parts, (whole + (F.col("_number") <= F.col("_m")).cast("long")).alias("copies")))
+
+
+def _narrowed(spare: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """source, need, cut: the words still needed, and the bin of keys, ``width`` wide, in which the next row is too much.
+
+    Where all rows fit, the cut lies beyond all keys.
+    """
+    inside = spare.withColumnRenamed("source", "_s").join(state, F.col("source").eqNullSafe(F.col("_s"))).where(f"key >= cut and key < cut + {width << BIN_BITS}L")
+    bins = inside.groupBy("source", "need", F.expr(f"(key - cut) div {width}L").alias("bin")).agg(F.sum("size").alias("words"))
+    below = bins.withColumn("sum", F.sum("words").over(W.partitionBy("source").orderBy("bin")))
+    fits = F.col("sum") <= F.col("need")
+    got = below.groupBy(F.col("source").alias("_s")).agg(F.max(F.when(fits, F.col("sum"))).alias("got"), F.min(F.when(~fits, F.col("bin"))).alias("next"))
+    joined = state.join(got, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return joined.select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), F.coalesce(F.col("cut") + F.col("next") * width, F.lit(1 << KEY_BITS + 1)).alias("cut"))
+
+
+def _shares(spare: DataFrame, shift: DataFrame, width: int) -> DataFrame:
+    """source, key, size, _n, _m: of the _n rows with a key in the last bin, _m take one more copy, to the nearest row."""
+    inside = spare.join(shift, F.col("source").eqNullSafe(F.col("_s"))).where(f"key >= cut and key < cut + {width}L")
+    ties = inside.groupBy("source", "need", "key", "size").agg(F.count("*").alias("_n"))
+    order = W.partitionBy("source").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("need") - F.coalesce(F.sum(F.col("_n") * F.col("size")).over(order), F.lit(0))
+    m = F.greatest(F.lit(0), F.least("_n", F.floor(left / F.col("size") + 0.5)))
+    return ties.select("source", "key", "size", "_n", m.cast("long").alias("_m"))
+
+
+def _numbered(ties: DataFrame) -> DataFrame:
+    """Adds _number, from 1, to the rows of a source and key: their place in their part after the rows of parts before.
+
+    A window holds a part's rows, or a row a part, so a tie of a third of all rows isn't brought together.
+    """
+    parted = ties.withColumn("_part", F.shiftright("_at", 33))
+    counts = parted.groupBy("source", "key", "_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.partitionBy("source", "key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.col("_part").alias("_p"), before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("source", "key", "_part").orderBy("_at"))
+    numbered = parted.withColumn("_own", own)
+    joined = numbered.join(placed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_number", F.col("_before") + F.col("_own"))
 
 
 def mix_expand(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted
 
 BITS = 4
 
@@ -72,7 +72,7 @@ def assign_shards(df: DataFrame, shards: int = 8, columns: list[str] | None = No
     text = F.col("text").cast("string")
     meta = lambda c: F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c)
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("row"), "doc_id", meta("lang"), meta("source"), byte_size(text).alias("size"), crc)
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in columns or df.columns]).alias("row"), "doc_id", meta("lang"), meta("source"), byte_size(text).alias("size"), crc)
     placed = curve_position(rows, F.col("lang"), F.col("source"), F.col("size"), "curve").drop("lang", "source").withColumn("_tie", F.monotonically_increasing_id())
     keys = ["curve", "doc_id", "text_crc32", "_tie"]
     ranged = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())

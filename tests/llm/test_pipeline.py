@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlark.llm import queries
 
@@ -63,10 +65,27 @@ def test_similar_rows_are_told_apart_by_id_and_text(spark):
     assert got == sorted([(1, a), (5, b), (None, c), (2, d), (9, None), (9, ""), (8, "")], key=str)
 
 
+def test_columns_of_any_name_and_type(spark, tmp_path):
+    """Names with dots and quotes, names that stages use inside, and columns that have no order."""
+    docs, labels, bench = planted()
+    write(spark, str(tmp_path), docs, labels, bench)
+    names = ["a.b", "q`t", "toxicity", "toxicity_", "__row", "__id", "row", "copies", "comp", "_0", "score"]
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("a map", F.create_map(F.lit("k"), F.col("doc_id")))
+    frame = frame.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) for n in names}).withColumn("list", F.array(F.lit(None).cast("binary")))
+    frame.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/wide/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/wide")
+    assert out.columns == [*(c for c in frame.columns if c != "curve"), "shard", "slot", "curve"]
+    rows = out.collect()
+    assert len({r["doc_id"] for r in rows}) > 100
+    assert all(r[n] == f"{n}{r['doc_id'] or 0}" for r in rows for n in names) and all(r["a map"] == {"k": r["doc_id"]} for r in rows)
+
+
 def test_empty_corpus(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_queries_are_registered():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]

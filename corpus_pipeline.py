@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet in the
 shared scratch folder and reads it again as the next stage's ``docs``. All stages but the last return the columns of
-``docs``. The similarity stage knows rows by doc_id, which may be null, and text: of repeated rows one stays.
+``docs``. The similarity stage knows rows by doc_id, which may be null, and text: of repeated rows one stays. Other columns
+may have any name and type.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import Scratch, table
+from ledgerlark.llm.common import Scratch, quoted, table
 from ledgerlark.llm.decontamination import without_matches
 from ledgerlark.llm.features import fold
 from ledgerlark.llm.jaccard import similar_rows
@@ -23,24 +24,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches the threshold, in the pass that scores them."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = table(spark, sf_dir, "labels").join(ids, "doc_id", "left_semi")
-    scored = toxicity_scores(docs, known, fold(F.col("doc_id"), 3) == 1, docs.columns, "__toxicity")
-    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity_scores(docs, known, fold(F.col("doc_id"), 3) == 1, docs.columns, name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar rows the one with the smallest doc_id stays, null last; joined the same way at every size.
 
     Rows are told apart by doc_id and text, so another text with the id of a similar row stays. Rows equal in both count
-    as one: of these the smallest in all columns stays.
+    as one: of these the one with the smallest JSON of all columns stays.
     """
     groups = similar_rows(docs).select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("print").alias("__print"), "comp")
     own = [F.col(c) for c in ("__none", "__id", "__print")]
     linked = groups.where("comp is not null").groupBy("comp").agg(F.min(F.struct(*own)).alias("row")).select("row.*")
     kept = linked.unionAll(groups.where("comp is null").select(*own)).distinct()
     long = F.col("doc_id").cast("long")
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), long.isNull().alias("__none"), F.coalesce(long, F.lit(0)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__print"))
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), long.isNull().alias("__none"), F.coalesce(long, F.lit(0)).alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__print"))
     rows = keyed.join(kept.hint("shuffle_merge"), ["__none", "__id", "__print"], "left_semi")
-    one = rows.groupBy("__none", "__id", "__print", F.col("__row.text").isNull().alias("__empty")).agg(F.min("__row").alias("__row"))
+    one = rows.groupBy("__none", "__id", "__print", F.col("__row.text").isNull().alias("__empty")).agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     return one.select("__row.*")
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,59 +67,6 @@ def rate_by_window(logs: DataFrame, bad: Column, width: str = "1 hour", limit: f
     return grouped.select(F.col("window.start").alias("start"), "n", "bad", rate.alias("rate"), (rate > limit).alias("alert"))
 
 
-def nearest_products(items: DataFrame, products: DataFrame, least: float = 0.92, block_bytes: int = 32 << 20) -> DataFrame:
-    """The product most like each item by cosine, where at least ``least``: item_id, product_id, cosine.
-
-    ``items(item_id, v)``, ``products(product_id, v)``; of equal products the smallest id wins. Vectors that are null,
-    zero, not finite or of another length match nothing. The catalogue goes to the tasks in blocks of about
-    ``block_bytes``, one pass over the items for each, and a batch of items meets a block in one matrix product: items
-    are not shuffled, only what they match is.
-    """
-    spark, kinds = items.sparkSession, {**dict(items.dtypes), **dict(products.dtypes)}
-    catalogue = products.where("size(v) > 0").select("product_id", F.col("v").cast("array<double>").alias("v")).distinct()
-    size = catalogue.agg(F.sum(F.size("v") * 8).alias("bytes")).first()["bytes"] or 0
-    blocks = 1 + size // block_bytes
-    schema = f"item_id {kinds['item_id']}, product_id {kinds['product_id']}, cosine double"
-    queries = items.where("size(v) > 0").select("item_id", F.col("v").cast("array<double>").alias("v"))
-    found = spark.createDataFrame([], schema)
-    for k in range(blocks):
-        block = catalogue.where(F.pmod(F.xxhash64("product_id", "v"), F.lit(blocks)) == k).orderBy("product_id").toPandas()
-        found = found.unionAll(queries.mapInPandas(_most_like(spark.sparkContext.broadcast(_unit_blocks(block)), least), schema))
-    best = found.groupBy("item_id").agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "product_id")).alias("b"))
-    return best.select("item_id", "b.product_id", (-F.col("b.neg")).alias("cosine"))
-
-
-def _unit_blocks(block: pd.DataFrame) -> dict:
-    """Ids and unit rows of the vectors of each length that have a direction."""
-    return {n: _unit_rows(rows["product_id"].to_numpy(), list(rows["v"])) for n, rows in block.groupby(block["v"].map(len))}
-
-
-def _unit_rows(ids: np.ndarray, vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.array([np.asarray(v, dtype=float) for v in vectors])
-    with np.errstate(all="ignore"):
-        unit = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    good = np.isfinite(unit).all(axis=1)
-    return ids[good], unit[good]
-
-
-def _most_like(sent, least: float, rows_at_once: int = 256):
-    """A function over batches of items that yields the best match of each in the block sent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        for pdf in batches:
-            for n, rows in pdf.groupby(pdf["v"].map(len)):
-                ids, unit = _unit_rows(rows["item_id"].to_numpy(), list(rows["v"]))
-                products, matrix = known.get(n, (np.array([]), None))
-                for at in range(0, len(ids) if len(products) else 0, rows_at_once):
-                    cosine = unit[at : at + rows_at_once] @ matrix.T
-                    best = cosine.argmax(axis=1)
-                    value = cosine[np.arange(len(best)), best]
-                    yield pd.DataFrame({"item_id": ids[at : at + rows_at_once], "product_id": products[best], "cosine": value})[value >= least]
-
-    return run
-
-
 def three_way_match(orders: DataFrame, receipts: DataFrame, invoiced: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Order, goods receipt and invoice by number and product: quantities and amounts agree within the tolerance or not."""
     key = ["po_number", "product"]

@@ -223,12 +223,6 @@ def test_stream_alerts(spark, tmp_path):
     assert {(r["n"], r["bad"], r["alert"]) for r in spark.table("alerts").collect()} == {(2, 1, True), (1, 0, False)}
 
 
-def test_nearest_products(spark):
-    items = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.1]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 0.0])], "item_id long, v array<double>")
-    products = spark.createDataFrame([(10, [2.0, 0.1, 0.0, 0.2]), (11, [1.0, 0.0, 0.0, 0.1]), (12, [0.5, 0.5, 0.0, 0.0])], "product_id long, v array<double>")
-    assert [(r["item_id"], r["product_id"]) for r in analytics.nearest_products(items, products).collect()] == [(1, 11)]
-
-
 def test_corrections(spark):
     inv = spark.createDataFrame([("1", "A", "REVIEW_REQUIRED"), ("2", "B", "REVIEW_REQUIRED")], "id string, vendor_name string, status string")
     fix = spark.createDataFrame([("1", True, "A2")], "id string, approved boolean, vendor_name string")
@@ -255,25 +249,3 @@ def test_stream_keeps_known_vendors(spark, tmp_path):
     assert [(len(v), v[0]["created"], v[0]["phone"]) for v in got] == [(1, True, "1"), (1, False, "1"), (1, False, "1")]
     assert len({v[0]["id"] for v in got}) == 1
     assert sinks.read_latest(spark, str(tmp_path / "none"), "vendors") is None
-
-
-def test_nearest_products_by_blocks(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(40, 16))
-    items = [(i, (base[i % 40] + rng.normal(size=16) * rng.uniform(0.05, 0.6)).tolist()) for i in range(120)]
-    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0] * 3)]
-    products = [(i, v.tolist()) for i, v in enumerate(base)] + [(77, base[5].tolist()), *odd]
-    schema = lambda k: f"{k} long, v array<double>"
-    i, p = spark.createDataFrame(items + odd[:4], schema("item_id")), spark.createDataFrame(products, schema("product_id"))
-    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
-    expected = {}
-    for n, v in items:
-        cosine = unit @ (np.array(v) / np.linalg.norm(v))
-        if cosine.max() >= 0.92:
-            expected[n] = int(cosine.argmax())
-    assert 20 < len(expected) < 120
-    for size in (32 << 20, 1024):
-        assert {r["item_id"]: r["product_id"] for r in analytics.nearest_products(i, p, 0.92, size).collect()} == expected
-    assert analytics.nearest_products(i, p.limit(0)).count() == 0

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.analytics import rate_by_window
+from ..operators.vendors import CONTACT
 from ..plans.pipeline import process
 from ..schemas import EXTRACTED
 from ..settings import Settings
 from ..sources.sinks import read_latest, write_batch
+from ..sources.versioned import VersionedTable
 
 
 def landing(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -20,21 +22,43 @@ def landing(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFram
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def run_intake(stream: DataFrame, base: str, checkpoint: str, settings: Settings | None = None, stored: Callable[[], DataFrame | None] = lambda: None) -> StreamingQuery:
+def vendors_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, {"vendor_key": "string"}, {c: "string" for c in ("id", "name", "tax_id", *CONTACT)})
+
+
+def _merge_vendors(dimension: VersionedTable, touched: DataFrame, number: int) -> None:
+    """Appends what a batch adds to the dimension: whole rows of new vendors, contacts of known ones."""
+    rows = touched.withColumn("seq", F.lit(number))
+    dimension.append(rows.where("created"), f"{number:012d}-new", ["id", "name", "tax_id", *CONTACT])
+    dimension.append(rows.where("not created"), f"{number:012d}-known", CONTACT)
+
+
+def run_intake(stream: DataFrame, base: str, checkpoint: str, settings: Settings | None = None, stored: Callable[[], DataFrame | None] = lambda: None, dimension: VersionedTable | None = None, compact_every: int = 50) -> StreamingQuery:
     """Processes each micro-batch with the batch pipeline and publishes its tables under the batch's number.
 
     Hashes are remembered for ever in the stored table, not in streaming state, which would grow without bound: each
-    batch is compared with ``stored()`` and with itself. Each batch publishes the whole vendor dimension, merged into that
-    of the batch before it. A batch that runs again replaces its own files.
+    batch is compared with ``stored()`` and with itself. With a ``dimension`` (``vendors_table``) a batch reads the
+    vendors' snapshot and publishes only the vendors that it names; each ``compact_every`` batches changes are folded in.
+    Without one it publishes the whole vendor dimension, merged into that of the batch before it. A batch that runs
+    again replaces its own files and changes.
     """
     from ..operators.intake import first_by_hash
 
     def handle(batch: DataFrame, number: int) -> None:
         fresh = first_by_hash(batch, stored()).where("duplicate_of is null").drop("duplicate_of")
-        before = read_latest(batch.sparkSession, base, "vendors", f"{number:012d}")
+        if dimension is None:
+            before = read_latest(batch.sparkSession, base, "vendors", f"{number:012d}")
+        else:  # a vendor that an earlier run of this batch made is new again
+            before = dimension.read(history=True).where(F.col("id_seq") < number)
         tables = process(fresh, settings, before, f"{base}/_validated/batch={number:012d}")
+        if dimension is not None:
+            tables["vendors"] = tables["vendors"].where("invoices > 0")
         tables["hashes"] = fresh.select(F.col("document_id").alias("id"), "file_hash")
         write_batch(tables, base, f"{number:012d}")
+        if dimension is not None:
+            _merge_vendors(dimension, batch.sparkSession.read.parquet(f"{base}/vendors/batch={number:012d}"), number)
+            if number % compact_every == compact_every - 1:
+                dimension.compact()
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

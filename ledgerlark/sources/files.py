@@ -86,7 +86,7 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Product catalogue CSV with a header; the embedding is a JSON array."""
-    rows = spark.read.schema(CATALOGUE).option("header", True).csv(path)
+    rows = spark.read.schema(CATALOGUE).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return rows.withColumn("embedding", F.from_json("embedding", "array<float>"))
 
 

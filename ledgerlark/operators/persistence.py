@@ -76,7 +76,7 @@ def item_rows(validated: DataFrame) -> DataFrame:
     )
 
 
-def log_rows(df: DataFrame, stage: str, payload: Column, message: Column | str, status: Column | str = "SUCCESS", at: Column | None = None) -> DataFrame:
+def log_rows(df: DataFrame, stage: str, payload: Column, message: Column | str, status: Column | str = "SUCCESS", at: Column | None = None, duration: Column | None = None) -> DataFrame:
     """Stage log rows; ids follow from document and stage, so a repeated batch writes the same rows."""
     col = lambda v: F.lit(v) if isinstance(v, str) else v
     document = F.col("document_id").cast("string")
@@ -87,7 +87,7 @@ def log_rows(df: DataFrame, stage: str, payload: Column, message: Column | str,
         col(status).alias("status"),
         col(message).alias("message"),
         payload.alias("payload"),
-        F.lit(None).cast("int").alias("duration_ms"),
+        (duration if duration is not None else F.lit(None)).cast("int").alias("duration_ms"),
         (at if at is not None else F.current_timestamp()).alias("created_at"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import REVIEW_THRESHOLD, TOLERANCE
-from ..functions.numbers import within
+from ..functions.numbers import bound, within
 from ..functions.text import known_currency
 from ..schemas import CHECK
 from .confidence import composite
@@ -82,15 +82,20 @@ def _tolerance(tolerance: str) -> Column:
 def line_math_checks(tolerance: str = TOLERANCE) -> Column:
     def of(i: Column) -> Column:
         at = F.concat(F.lit("line_items["), i["sort_order"].cast("string"), F.lit("]"))
-        expected = F.bround(i["quantity"] * i["unit_price"], 2)
+        known, expected, ok = _line_math(i, tolerance)
         unknown = check("LINE_ITEM_MATH", "WARNING", at, "Item is missing quantity, unit price, or line total; math not verifiable.")
         bad = check("LINE_ITEM_MATH", "FAILED", F.concat(at, F.lit(".line_total")), "quantity × unit_price does not match the printed line total.", expected, i["line_total"])
-        known = i["quantity"].isNotNull() & i["unit_price"].isNotNull() & i["line_total"].isNotNull()
-        return F.when(~known, unknown).when(within(expected, i["line_total"], _tolerance(tolerance)), check("LINE_ITEM_MATH", "PASSED", at)).otherwise(bad)
+        return F.when(~known, unknown).when(ok, check("LINE_ITEM_MATH", "PASSED", at)).otherwise(bad)
 
     return F.transform("line_items", of)
 
 
+def _line_math(i: Column, tolerance: str) -> tuple[Column, Column, Column]:
+    """(whether the item's numbers are known, quantity times price, whether that is the line total)."""
+    expected = F.bround(i["quantity"] * i["unit_price"], 2)
+    return i["quantity"].isNotNull() & i["unit_price"].isNotNull() & i["line_total"].isNotNull(), expected, within(expected, i["line_total"], _tolerance(tolerance))
+
+
 def items_sum() -> Column:
     """Sum of the known line totals; null where none is known."""
     totals = F.filter(F.transform("line_items", lambda i: i["line_total"]), lambda t: t.isNotNull())
@@ -105,17 +110,30 @@ def subtotal_check(tolerance: str = TOLERANCE) -> Column:
 
 
 def grand_total_check(tolerance: str = TOLERANCE) -> Column:
-    printed, base, zero = F.col("grand_total"), F.coalesce(F.col("subtotal"), items_sum()), F.lit(0).cast("decimal(18,2)")
-    total = base + F.coalesce("tax_amount", zero) - F.coalesce("discount_amount", zero)
+    printed, base = F.col("grand_total"), F.coalesce(F.col("subtotal"), items_sum())
+    total = _grand_total(base)
     verdict = _pass_fail("GRAND_TOTAL_MATH", within(total, printed, _tolerance(tolerance)), "grand_total", "subtotal + tax − discount does not match the printed grand total.", total, printed)
     skip = lambda why: check("GRAND_TOTAL_MATH", "SKIPPED", "grand_total", why)
     return F.array(F.when(printed.isNull(), skip("No grand total to verify.")).when(base.isNull(), skip("No subtotal or line totals available to verify against.")).otherwise(verdict))
 
 
+def _grand_total(base: Column) -> Column:
+    zero = F.lit(0).cast("decimal(18,2)")
+    return base + F.coalesce("tax_amount", zero) - F.coalesce("discount_amount", zero)
+
+
+def _rates() -> Column:
+    return F.array_distinct(F.filter(F.transform("line_items", lambda i: i["tax_rate"]), lambda r: r.isNotNull()))
+
+
+def _tax(rate: Column) -> Column:
+    return F.bround(F.col("subtotal") * rate * F.lit("0.01").cast("decimal(2,2)"), 2)
+
+
 def tax_check(tolerance: str = TOLERANCE) -> Column:
-    rates = F.array_distinct(F.filter(F.transform("line_items", lambda i: i["tax_rate"]), lambda r: r.isNotNull()))
+    rates = _rates()
     rate = F.get(rates, F.lit(0))
-    expected = F.bround(F.col("subtotal") * rate * F.lit("0.01").cast("decimal(2,2)"), 2)
+    expected = _tax(rate)
     known = (F.size(rates) == 1) & F.col("subtotal").isNotNull() & F.col("tax_amount").isNotNull()
     message = F.concat(F.lit("Tax amount is inconsistent with a uniform "), rate.cast("string"), F.lit("% rate on the subtotal."))
     bad = check("TAX_CONSISTENT", "FAILED", "tax_amount", message, expected, F.col("tax_amount"))
@@ -136,13 +154,65 @@ def with_checks(silver: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
     return silver.withColumn("checks", numbered)
 
 
+def outcomes(tolerance: str = TOLERANCE) -> Column:
+    """Struct of passed, failed, warning and skipped: how many checks of each outcome ``with_checks`` would build.
+
+    No check is built for it: conditions give outcomes, those of items are counted in one pass over them.
+    """
+    verdict = lambda ok: F.when(ok, "PASSED").otherwise("FAILED")
+    dated = F.col("invoice_date").isNotNull()
+
+    def of_items(i: Column) -> Column:
+        known, _, ok = _line_math(i, tolerance)
+        derived = F.when(i["unit_price_derived"], "PASSED").when(i["line_total_derived"], "WARNING")
+        return F.struct(derived.alias("derived"), F.when(~known, "WARNING").when(ok, "PASSED").otherwise("FAILED").alias("math"))
+
+    def of_row(v: Column) -> Column:
+        base, rate = F.coalesce(F.col("subtotal"), v["total"]), F.get(v["rates"], F.lit(0))
+        tax_known = (F.size(v["rates"]) == 1) & F.col("subtotal").isNotNull() & F.col("tax_amount").isNotNull()
+        due = F.col("due_date").isNotNull()
+        header = F.array(
+            F.when(~dated, "FAILED").otherwise("PASSED"),
+            F.when(F.col("raw_due_date").isNotNull() & ~due, "WARNING"),
+            F.when(F.coalesce(known_currency(F.col("currency")), F.lit(False)), "PASSED").otherwise("WARNING"),
+            *[verdict(F.col(c).isNotNull()) for c in ("vendor_name", "invoice_number", "grand_total")],
+            verdict(F.size("line_items") > 0),
+            F.when(F.col("purchase_order").isNotNull(), "PASSED").otherwise("SKIPPED"),
+            F.when(F.col("subtotal").isNull() | v["total"].isNull(), "SKIPPED").otherwise(verdict(within(v["total"], F.col("subtotal"), _tolerance(tolerance)))),
+            F.when(F.col("grand_total").isNull() | base.isNull(), "SKIPPED").otherwise(verdict(within(_grand_total(base), F.col("grand_total"), _tolerance(tolerance)))),
+            F.when(~tax_known, "SKIPPED").otherwise(verdict(within(_tax(rate), F.col("tax_amount"), _tolerance(tolerance)))),
+            F.when(dated & due, verdict(F.col("due_date") >= F.col("invoice_date"))),
+        )
+        return bound(F.struct(header.alias("header"), v["items"].alias("items")), counted)
+
+    def counted(v: Column) -> Column:
+        n = lambda s: F.size(F.filter(v["header"], lambda x: x == s)) + F.size(F.filter(v["items"], lambda x: x["derived"] == s)) + F.size(F.filter(v["items"], lambda x: x["math"] == s))
+        return F.struct(n("PASSED").alias("passed"), n("FAILED").alias("failed"), n("WARNING").alias("warning"), F.size(F.filter(v["header"], lambda x: x == "SKIPPED")).alias("skipped"))
+
+    return bound(F.struct(items_sum().alias("total"), _rates().alias("rates"), F.transform("line_items", of_items).alias("items")), of_row)
+
+
+def decide(silver: DataFrame, tolerance: str = TOLERANCE, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
+    """Adds the counts, validation_score, confidence and decision of ``validate``, without checks and reasons."""
+    counted = silver.withColumn("_n", outcomes(tolerance))
+    for status in ("passed", "failed", "warning", "skipped"):
+        counted = counted.withColumn(f"n_{status}", F.col(f"_n.{status}"))
+    scored = _scored(counted.drop("_n"))
+    good = (F.col("n_failed") == 0) & ~(F.col("confidence.composite") < threshold)
+    return scored.withColumn("decision", F.when(good, "VALIDATED").otherwise("REVIEW_REQUIRED"))
+
+
+def _scored(counted: DataFrame) -> DataFrame:
+    ratio = F.coalesce(F.col("n_passed") / F.nullif(F.col("n_passed") + F.col("n_failed"), F.lit(0)), F.lit(0.0))
+    return counted.withColumn("validation_score", ratio).withColumn("confidence", composite(F.col("ocr_confidence"), F.col("ai_confidence"), F.col("validation_score")))
+
+
 def with_decision(checked: DataFrame, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
     """Adds counts of outcomes, the confidence breakdown, review reasons and the decision. Needs ``ocr_confidence``."""
     counted = checked
     for status in ("passed", "failed", "warning", "skipped"):
         counted = counted.withColumn(f"n_{status}", F.size(F.filter("checks", _has(status.upper()))))
-    ratio = F.coalesce(F.col("n_passed") / F.nullif(F.col("n_passed") + F.col("n_failed"), F.lit(0)), F.lit(0.0))
-    scored = counted.withColumn("validation_score", ratio).withColumn("confidence", composite(F.col("ocr_confidence"), F.col("ai_confidence"), F.col("validation_score")))
+    scored = _scored(counted)
     low = F.col("confidence.composite") < threshold
     reasons = F.transform(F.filter("checks", _has("FAILED")), lambda c: F.concat(c["name"], F.lit(": "), F.coalesce(F.nullif(c["message"], F.lit("")), F.lit("check failed"))))
     sentence = F.format_string(f"Composite confidence %.4f is below the {threshold} review threshold.", F.col("confidence.composite"))

@@ -300,7 +300,7 @@ def composite_confidence(spark, sf_dir):
 @query(f"""WITH {CHECKS_SQL} SELECT document_id, CAST(n_passed AS INTEGER) AS passed, CAST(n_failed AS INTEGER) AS failed, CAST(n_warning AS INTEGER) AS warnings, CAST(n_skipped AS INTEGER) AS skipped,
   round(ratio, 9) AS validation_score, composite, CASE WHEN n_failed = 0 AND composite >= 0.85 THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS decision FROM sc""")
 def quality_gate(spark, sf_dir):
-    v = _validated(spark, sf_dir)
+    v = rules.decide(_silver(spark, sf_dir))
     return v.select(
         "document_id", F.col("n_passed").alias("passed"), F.col("n_failed").alias("failed"), F.col("n_warning").alias("warnings"), F.col("n_skipped").alias("skipped"), F.round("validation_score", 9).alias("validation_score"), F.col("confidence.composite").alias("composite"), "decision"
     )

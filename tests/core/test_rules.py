@@ -157,3 +157,21 @@ def test_oversized_value_is_not_persistable(spark):
     rows = [invoice() | {"document_id": "ok"}, invoice([item(quantity=1e12)]) | {"document_id": "big"}, invoice([item(tax_rate=150.0)]) | {"document_id": "rate"}, invoice(invoice_number="x" * 101) | {"document_id": "long"}]
     got = {r["document_id"]: r["p"] for r in validated(spark, rows).withColumn("p", persistence.persistable()).select("document_id", "p").collect()}
     assert got == {"ok": True, "big": False, "rate": False, "long": False}
+
+
+def test_counts_without_checks_are_those_of_the_checks(spark):
+    import random
+
+    rng = random.Random(4)
+    pick = lambda *values: rng.choice(values)
+    rows = []
+    for k in range(150):
+        items = [item(quantity=pick(1.0, 2.0, None, 0.0), unit_price=pick(10.0, None), line_total=pick(10.0, 20.0, 10.02, None), tax_rate=pick(5.0, 5.0, 7.5, None)) for _ in range(rng.randrange(4))]
+        fields = {"subtotal": pick(10.0, 20.0, 30.0, None), "tax_amount": pick(0.5, 1.0, None), "discount_amount": pick(None, 1.0), "grand_total": pick(10.5, 21.0, 20.0, None), "currency": pick("USD", "zz", None), "purchase_order": pick("P", None)}
+        fields |= {"invoice_date": pick("2026-01-15", "15/01/2026", None, ""), "due_date": pick("2026-02-15", "2025-01-01", "x", None), "invoice_number": pick("1", None), "vendor": pick({"name": "A"}, {"name": None}), "confidence": pick(0.99, 0.2, None)}
+        rows.append(invoice(items, **fields) | {"document_id": str(k), "ocr_confidence": pick(1.0, None)})
+    rows.append(invoice() | {"document_id": "clean"})
+    silver = normalize_invoices(spark.createDataFrame(rows, SCHEMA), ("document_id", "ord", "ocr_confidence"))
+    columns = ["document_id", "n_passed", "n_failed", "n_warning", "n_skipped", "validation_score", "confidence.composite", "decision"]
+    full, light = (sorted(map(tuple, f(silver).select(*columns).collect())) for f in (rules.validate, rules.decide))
+    assert light == full and len({r[-1] for r in full}) == 2

@@ -81,16 +81,6 @@ def price_deviation(spark, sf_dir):
     return analytics.price_deviation(rows).groupBy("vendor", "product").agg(F.count("*").alias("lines"), F.count_if("alert").alias("alerts"), F.round(F.max("deviation"), 6).alias("worst"))
 
 
-@query("""WITH i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0),
-s AS (SELECT item_id, product_id, list_cosine_similarity(i.v, p.v) AS c FROM i CROSS JOIN p WHERE list_cosine_similarity(i.v, p.v) >= 0.92),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(c, 9) DESC, product_id) AS n FROM s) SELECT item_id, round(c, 6) AS cosine FROM r WHERE n = 1""")
-def sku_cosine_match(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings")
-    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
-    products = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("v"))
-    return analytics.nearest_products(items, products).select("item_id", F.round("cosine", 6).alias("cosine"))
-
-
 @query(f"""WITH {INVOICES_SQL}, {ITEMS_SQL}, l AS (SELECT invoice_id, count(*) AS n FROM it GROUP BY 1)
 SELECT vendor_name, round(avg(CAST(grand_total AS DOUBLE)), 6) AS avg_value, round(avg(coalesce(n, 0)), 6) AS avg_lines, CAST(count(*) AS BIGINT) AS invoices, CAST(sum(grand_total) AS DOUBLE) AS spend, CAST(count(DISTINCT date_trunc('month', invoice_date)) AS BIGINT) AS active_months
 FROM inv LEFT JOIN l ON l.invoice_id = inv.id GROUP BY 1""")
@@ -160,16 +150,6 @@ def storage_tiers(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT user_id AS d, event_id AS a, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'OK' END AS s FROM events), l AS (SELECT d, arg_max(s, a) AS s, count(*) AS n FROM s GROUP BY d)
-SELECT CAST(d AS VARCHAR) AS document_id, CAST(n AS BIGINT) AS attempts FROM l WHERE s = 'FAILED' AND n < 70""")
-def sync_retries(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events")
-    from pyspark.sql import Window as W
-
-    log = e.select(F.col("user_id").cast("string").alias("document_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("attempt"), F.when(F.col("event_type") == "error", "FAILED").otherwise("OK").alias("status"))
-    return analytics.due_retries(log, 70).withColumn("attempts", F.col("attempts").cast("long"))
-
-
 @query(f"""WITH {LOGS_SQL} SELECT CAST(created_at AS DATE) AS day, CAST(sum(CAST(json_extract_string(payload, '$.total_tokens') AS BIGINT)) AS BIGINT) AS tokens, round(sum(CAST(json_extract_string(payload, '$.estimated_cost_usd') AS DOUBLE)), 9) AS cost
 FROM logs WHERE stage = 'AI_STRUCTURING' GROUP BY 1""")
 def daily_cost(spark, sf_dir):

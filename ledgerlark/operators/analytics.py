@@ -77,6 +77,20 @@ def three_way_match(orders: DataFrame, receipts: DataFrame, invoiced: DataFrame,
     return rows.withColumn("state", state)
 
 
+def vendor_habits(invoices: DataFrame) -> DataFrame:
+    """vendor_name, invoices, first_day, last_day, gap_days, usual_terms: how often a vendor bills, and on which terms.
+
+    ``invoices(vendor_name, invoice_date, payment_terms)``. gap_days is the mean number of days from one invoice to the
+    next, null with a single dated one; usual_terms the commonest text, of equally common ones the first, null where none
+    is given. Terms are counted before they are compared, so a vendor of very many invoices is a row for each text.
+    """
+    texts = invoices.groupBy("vendor_name", "payment_terms").agg(F.count("*").alias("_n"), F.count("invoice_date").alias("_dated"), F.min("invoice_date").alias("_first"), F.max("invoice_date").alias("_last"))
+    usual = F.min(F.when(F.col("payment_terms").isNotNull(), F.struct((-F.col("_n")).alias("n"), "payment_terms"))).getField("payment_terms")
+    rows = texts.groupBy("vendor_name").agg(F.sum("_n").alias("invoices"), F.min("_first").alias("first_day"), F.max("_last").alias("last_day"), F.sum("_dated").alias("_dated"), usual.alias("usual_terms"))
+    gap = F.date_diff("last_day", "first_day") / F.nullif(F.col("_dated") - 1, F.lit(0))
+    return rows.select("vendor_name", "invoices", "first_day", "last_day", gap.alias("gap_days"), "usual_terms")
+
+
 def due_by_week(invoices: DataFrame) -> DataFrame:
     """Cash needed by week of the due date; without one, thirty days after the invoice date."""
     due = F.coalesce("due_date", F.date_add("invoice_date", 30))

@@ -35,6 +35,14 @@ def cost_report(calls: DataFrame) -> DataFrame:
     return rows.select("level", *DIMENSIONS, "calls", "invoices", "tokens", "cost", "saved", (F.col("saved").cast("double") / F.nullif(whole, F.lit(0.0))).alias("saved_share"))
 
 
+def cost_per_invoice(calls: DataFrame) -> DataFrame:
+    """month, invoices, cost, per_invoice of ``calls(day, invoice_id, tokens, price_per_1k)``; invoices are summed up first."""
+    money = (F.col("tokens").cast("decimal(18,0)") * F.col("price_per_1k").cast("decimal(12,6)") / 1000).cast("decimal(28,9)")
+    each = calls.groupBy(F.trunc("day", "month").alias("month"), "invoice_id").agg(F.sum(money).alias("cost"))
+    rows = each.groupBy("month").agg(F.count("*").alias("invoices"), F.sum("cost").cast("decimal(38,9)").alias("cost"))
+    return rows.withColumn("per_invoice", F.col("cost").cast("double") / F.col("invoices"))
+
+
 def tiered_cost(calls: DataFrame) -> DataFrame:
     """day, calls, retried, cost, blended: what a day's calls cost when failed ones are repeated with a larger model.
 

@@ -19,8 +19,10 @@ PRESETS = {"newest": ("created_at", True), "oldest": ("created_at", False), "tot
 def history(documents: DataFrame, invoices: DataFrame, search: str | None = None, status: str | None = None) -> DataFrame:
     """One row a document with its invoice, if any. ``search``: pattern within filename, number or vendor, any case.
 
-    ``%`` and ``_`` in the search keep their meaning; a blank search matches all.
+    ``%`` and ``_`` in the search keep their meaning; a blank search matches all, and one of over 200 characters is an error.
     """
+    if search and len(search) > 200:
+        raise ValueError("search has at most 200 characters")
     d, i = documents.alias("d"), invoices.alias("i")
     rows = d.join(i, F.col("i.document_id") == F.col("d.id"), "left")
     if status:
@@ -53,6 +55,13 @@ def history_page(rows: DataFrame, sort: str = "created_at", descending: bool = T
     return rows.orderBy(order, F.col("document_id").desc()).offset((page - 1) * size).limit(size)
 
 
+def recent(rows: DataFrame, limit: int = 8) -> DataFrame:
+    """The newest documents of the history, as the dashboard shows them."""
+    if not 1 <= limit <= 25:
+        raise ValueError("limit is 1 to 25")
+    return history_page(rows, size=limit)
+
+
 def total_pages(total: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size))
 

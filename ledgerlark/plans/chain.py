@@ -109,15 +109,18 @@ def ai_logs(rows: DataFrame, provider: str = "openai") -> DataFrame:
     return persistence.log_rows(rows, AI, F.to_json(call, {"ignoreNullFields": "false"}), F.concat(F.lit("Structured by "), "model", F.lit(".")), duration=F.col("latency_ms"))
 
 
-def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame], DataFrame], root: str, settings: Settings | None = None, stored: DataFrame | None = None, stored_vendors: DataFrame | None = None, start: str = UPLOAD) -> dict[str, DataFrame]:
+def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame], DataFrame], root: str, settings: Settings | None = None, stored: DataFrame | None = None, stored_vendors: DataFrame | None = None, start: str = UPLOAD, end: str = PERSISTENCE) -> dict[str, DataFrame]:
     """Tables of a batch: those of ``process`` with all logs and statuses, ``extractions`` (texts and raw responses), ``rejected``.
 
     ``uploads(document_id, ord, filename, content_type, file_size_bytes, file_hash)``; ``root``: a shared folder of this
-    batch. ``start`` is the stage to go on from: what stages before it left in ``root`` is read, not made again.
+    batch. ``start`` is the stage to go on from: what stages before it left in ``root`` is read, not made again. ``end`` is
+    the stage to stop after; good rows then have the status that the next stage begins with, and tables of later stages
+    are not there (validation and persistence go together).
     """
     s, spark = settings or Settings(), uploads.sparkSession
-    if start not in STAGES:
-        raise ValueError(f"no such stage: {start}")
+    if unknown := {start, end} - set(STAGES):
+        raise ValueError(f"no such stage: {sorted(unknown)}")
+    last = STAGES.index(end)
 
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{root}/{name.lower()}"
@@ -138,17 +141,25 @@ def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame]
         return rows.where(good)
 
     arrived = stage(UPLOAD, received)
-    accepted = arrived.where("accepted").drop("accepted", "error_code", "error_message", "duplicate_of")
-    with_text = split(TEXT, stage(TEXT, lambda: extract(accepted, texts)))
-    records = split(AI, stage(AI, lambda: structure(with_text, answer, s)))
-    bronze = records.withColumn("ocr_confidence", F.col("mean_confidence"))
-    tables = process(bronze, s, stored_vendors, f"{root}/{VALIDATION.lower()}")
-    logs += [upload_logs(accepted), text_logs(with_text), ai_logs(records), tables["processing_logs"]]
-    tables["processing_logs"] = _union(logs)
-    tables["status"] = _union([tables["status"], *ended])
-    tables["extractions"] = records.select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
-    tables["rejected"] = arrived.where("not accepted").select("document_id", "file_hash", "error_code", "error_message", "duplicate_of")
-    return tables
+    going = arrived.where("accepted").drop("accepted", "error_code", "error_message", "duplicate_of")
+    tables = {"rejected": arrived.where("not accepted").select("document_id", "file_hash", "error_code", "error_message", "duplicate_of")}
+    logs.append(upload_logs(going))
+    if last >= STAGES.index(TEXT):
+        accepted = going
+        going = split(TEXT, stage(TEXT, lambda: extract(accepted, texts)))
+        logs.append(text_logs(going))
+    if last >= STAGES.index(AI):
+        with_text = going
+        going = split(AI, stage(AI, lambda: structure(with_text, answer, s)))
+        logs.append(ai_logs(going))
+        tables["extractions"] = going.select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
+    if last >= STAGES.index(VALIDATION):
+        tables |= process(going.withColumn("ocr_confidence", F.col("mean_confidence")), s, stored_vendors, f"{root}/{VALIDATION.lower()}")
+        logs.append(tables["processing_logs"])
+        ended.append(tables["status"])
+    else:
+        ended.append(going.select("document_id", F.lit({UPLOAD: "UPLOADED", TEXT: "OCR_COMPLETED", AI: "AI_PROCESSING"}[end]).alias("status")))
+    return tables | {"processing_logs": _union(logs), "status": _union(ended)}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -171,6 +171,14 @@ def documents_after_retention(spark, sf_dir):
 # ---- money: costs at all levels, cash by terms; goods: stock by day, purchases by store ----
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "lineitem").join(views.table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    text = lambda prefix, n: F.concat(F.lit(prefix), (F.col("o_custkey") % n).cast("string"))
+    tokens = F.col("l_quantity").cast("long")
+    price = F.when(F.col("l_returnflag") == "A", "0.15").when(F.col("l_returnflag") == "N", "0.6").otherwise("2.5").cast("decimal(12,6)")
+    return rows.select(F.when(F.col("o_custkey") % 5 != 4, text("org", 5)).alias("organization_id"), F.col("o_orderdate").cast("date").alias("day"), text("V", 97).alias("vendor"), F.col("o_orderkey").cast("string").alias("invoice_id"), (tokens * 100).alias("tokens"), F.when(F.col("l_linenumber") % 4 == 0, tokens * 50).alias("cached_tokens"), price.alias("price_per_1k"))
+
+
 @query("""WITH c AS (SELECT CASE WHEN o_custkey % 5 <> 4 THEN 'org' || o_custkey % 5 END AS organization_id, CAST(o_orderdate AS DATE) AS day, 'V' || o_custkey % 97 AS vendor, CAST(o_orderkey AS VARCHAR) AS invoice_id,
   CAST(l_quantity AS BIGINT) * 100 AS tokens, CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_quantity AS BIGINT) * 50 ELSE 0 END AS cached_tokens,
   CAST(CASE l_returnflag WHEN 'A' THEN 0.15 WHEN 'N' THEN 0.6 ELSE 2.5 END AS DECIMAL(12,6)) AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -180,12 +188,13 @@ g AS (SELECT grouping(organization_id, day, vendor, invoice_id) AS g, organizati
 SELECT CASE g WHEN 15 THEN 'all' WHEN 7 THEN 'organization' WHEN 3 THEN 'day' WHEN 5 THEN 'vendor' WHEN 4 THEN 'invoice' END AS level, organization_id, day, vendor, invoice_id, calls, invoices, tokens,
   round(CAST(cost AS DOUBLE), 6) AS cost, round(CAST(saved AS DOUBLE), 6) AS saved, round(CAST(saved AS DOUBLE) / CAST(cost + saved AS DOUBLE), 9) AS saved_share FROM g""")
 def cost_report(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "lineitem").join(views.table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    text = lambda prefix, n: F.concat(F.lit(prefix), (F.col("o_custkey") % n).cast("string"))
-    tokens = F.col("l_quantity").cast("long")
-    price = F.when(F.col("l_returnflag") == "A", "0.15").when(F.col("l_returnflag") == "N", "0.6").otherwise("2.5").cast("decimal(12,6)")
-    calls = rows.select(F.when(F.col("o_custkey") % 5 != 4, text("org", 5)).alias("organization_id"), F.col("o_orderdate").cast("date").alias("day"), text("V", 97).alias("vendor"), F.col("o_orderkey").cast("string").alias("invoice_id"), (tokens * 100).alias("tokens"), F.when(F.col("l_linenumber") % 4 == 0, tokens * 50).alias("cached_tokens"), price.alias("price_per_1k"))
-    return costs.cost_report(calls).withColumns({"cost": F.round(F.col("cost").cast("double"), 6), "saved": F.round(F.col("saved").cast("double"), 6), "saved_share": F.round("saved_share", 9)})
+    return costs.cost_report(_calls(spark, sf_dir)).withColumns({"cost": F.round(F.col("cost").cast("double"), 6), "saved": F.round(F.col("saved").cast("double"), 6), "saved_share": F.round("saved_share", 9)})
+
+
+@query("""WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderkey, CAST(l_quantity AS BIGINT) * 100 * CAST(CASE l_returnflag WHEN 'A' THEN 0.15 WHEN 'N' THEN 0.6 ELSE 2.5 END AS DECIMAL(12,6)) * CAST(0.001 AS DECIMAL(4,3)) AS cost FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT month, count(DISTINCT o_orderkey) AS invoices, round(CAST(sum(cost) AS DOUBLE), 6) AS cost, round(CAST(sum(cost) AS DOUBLE) / count(DISTINCT o_orderkey), 9) AS per_invoice FROM c GROUP BY month""")
+def cost_per_invoice(spark, sf_dir):
+    return costs.cost_per_invoice(_calls(spark, sf_dir)).withColumns({"cost": F.round(F.col("cost").cast("double"), 6), "per_invoice": F.round("per_invoice", 9)})
 
 
 #: Fixed texts of terms by order, and what they mean: part, share up to and with it, kind of date, days, discount, days for it.
@@ -219,6 +228,16 @@ def cash_flow_paid_early(spark, sf_dir):
     return terms.cash_flow(_plan(spark, sf_dir), early=True).withColumn("due", F.col("due").cast("double"))
 
 
+@query("""WITH o AS (SELECT 'Vendor ' || o_custkey % 97 AS vendor_name, CAST(o_orderdate AS DATE) AS d, list_extract(['Net 30', '2/10 net 30', 'EOM', 'Net 15  E.O.M.', '50% in 30 days, 50% in 60 days', NULL, 'Net 30', NULL], CAST(o_orderkey % 8 + 1 AS INTEGER)) AS t FROM orders),
+n AS (SELECT vendor_name, t, count(*) AS n FROM o WHERE t IS NOT NULL GROUP BY vendor_name, t),
+t AS (SELECT vendor_name, t FROM n QUALIFY row_number() OVER (PARTITION BY vendor_name ORDER BY n DESC, t) = 1)
+SELECT vendor_name, count(*) AS invoices, min(d) AS first_day, max(d) AS last_day, round((max(d) - min(d)) / nullif(count(*) - 1, 0), 9) AS gap_days, any_value(t.t) AS usual_terms FROM o LEFT JOIN t USING (vendor_name) GROUP BY vendor_name""")
+def vendor_habits(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, [*_TERMS[:5], None, "Net 30", None])), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("Vendor "), F.col("o_custkey") % 97).alias("vendor_name"), F.col("o_orderdate").cast("date").alias("invoice_date"), said.alias("payment_terms"))
+    return analytics.vendor_habits(rows).withColumn("gap_days", F.round("gap_days", 9))
+
+
 @query("""WITH d AS (SELECT l_partkey % 50 AS product, CAST(l_shipdate AS DATE) AS day, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS moved FROM lineitem GROUP BY 1, 2),
 s AS (SELECT product, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY product)
 SELECT product, day, CAST(coalesce(moved, 0) AS BIGINT) AS moved, CAST(sum(coalesce(moved, 0)) OVER (PARTITION BY product ORDER BY day) AS BIGINT) AS stock FROM s LEFT JOIN d USING (product, day)""")
@@ -243,7 +262,7 @@ _FAULTS = [("o_orderkey % 71 = 0", 401, None), ("o_orderkey % 73 = 0", 429, None
 _MODELS = ("gpt-4o-mini", "gpt-4o-2024-08-06", "local")
 
 
-def _chain(spark: SparkSession, sf_dir: str, root: str | None = None, start: str = "UPLOAD") -> dict[str, DataFrame]:
+def _chain(spark: SparkSession, sf_dir: str, root: str | None = None, **stages: str) -> dict[str, DataFrame]:
     k = F.col("o_orderkey")
     o = views.table(spark, sf_dir, "orders").withColumn("document_id", k.cast("string"))
     key = F.when(k % 59 == 0, k - 32).otherwise(k).cast("string")  # some uploads have the contents of another
@@ -264,7 +283,7 @@ def _chain(spark: SparkSession, sf_dir: str, root: str | None = None, start: str
         rows = asked.join(o.where("o_orderkey % 97 <> 0").select("document_id", "o_orderkey"), "document_id").join(record, "document_id")
         return rows.select("document_id", response.alias("response"), F.concat(F.lit("r"), k).alias("request_id"), model.alias("model"), finish.alias("finish_reason"), F.length("prompt").alias("input_tokens"), (k % 700).cast("int").alias("output_tokens"), (k % 3000).cast("int").alias("latency_ms"), F.when(k % 23 == 0, "no").alias("refusal"), status.alias("http_status"), fault.alias("fault"))
 
-    return chain.run_chain(uploads, texts, answer, root or workspace(spark, "chain"), start=start)
+    return chain.run_chain(uploads, texts, answer, root or workspace(spark, "chain"), **stages)
 
 
 _CHAIN_SQL = f"""u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 59 = 0 THEN o_orderkey - 32 ELSE o_orderkey END AS h, o_orderkey % 53 = 0 OR o_orderkey % 61 = 0 AS refused FROM orders),
@@ -286,7 +305,7 @@ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'AI_STRUCTURING', CASE WHEN ai_err
   CASE WHEN ai_error IS NULL THEN CAST(tokens_in + tokens_out AS BIGINT) END, CASE WHEN ai_error IS NULL THEN round(CASE model WHEN 'gpt-4o-mini' THEN tokens_in * 0.15 + tokens_out * 0.6 WHEN 'gpt-4o-2024-08-06' THEN tokens_in * 2.5 + tokens_out * 10 END / 1e6, 9) END, CASE WHEN ai_error IS NULL THEN CAST(o_orderkey % 3000 AS INTEGER) END FROM e""")
 def chain_logs(spark, sf_dir):
     """Logs of the first three stages with what their payloads say."""
-    logs = _chain(spark, sf_dir)["processing_logs"].where("stage in ('UPLOAD', 'TEXT_EXTRACTION', 'AI_STRUCTURING')")
+    logs = _chain(spark, sf_dir, end="AI_STRUCTURING")["processing_logs"]
     read = lambda *paths: F.coalesce(*[variant.field(F.col("payload"), p, "string") for p in paths])
     what = read("$.error_code", "$.filename", "$.source_type", "$.ocr_text_truncated")
     n = read("$.file_size_bytes", "$.text_chars", "$.total_tokens").cast("long")
@@ -298,10 +317,10 @@ def chain_logs(spark, sf_dir):
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'FAILED' FROM t LEFT JOIN e USING (o_orderkey) WHERE t.text_error IS NOT NULL OR ai_error IS NOT NULL
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'STORED' FROM e WHERE ai_error IS NULL""")
 def chain_outcomes(spark, sf_dir):
-    """What became of each upload; the chain goes on from AI_STRUCTURING once, as after an interruption."""
+    """What became of each upload; the chain stops after its texts and goes on from what it left."""
     root = workspace(spark, "chain")
-    _chain(spark, sf_dir, root)
-    tables = _chain(spark, sf_dir, root, "AI_STRUCTURING")
+    _chain(spark, sf_dir, root, end="TEXT_EXTRACTION")
+    tables = _chain(spark, sf_dir, root, start="AI_STRUCTURING")
     stored = F.when(F.col("status") == "FAILED", "FAILED").otherwise("STORED").alias("outcome")
     return tables["rejected"].select("document_id", F.col("error_code").alias("outcome")).unionByName(tables["status"].select("document_id", stored))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import variant
-from ledgerlark.operators import costs, stock, terms
+from ledgerlark.operators import costs, readmodels, stock, terms
 from ledgerlark.plans import chain, guard, history
 
 from .test_rules import invoice
@@ -59,6 +59,17 @@ def test_payment_plan_adds_up(spark):
     assert weeks == {"2026-01-26": ("33.34", 2), "2026-02-09": ("33.34", 1), "2026-02-16": ("33.33", 1)}
 
 
+def test_ranges_of_what_callers_may_ask():
+    with pytest.raises(ValueError, match="200 characters"):
+        readmodels.history(None, None, search="x" * 201)
+    for limit in (0, 26):
+        with pytest.raises(ValueError, match="1 to 25"):
+            readmodels.recent(None, limit)
+    for page, size in ((0, 20), (1, 0), (1, 101)):
+        with pytest.raises(ValueError, match="page starts at 1"):
+            readmodels.history_page(None, page=page, size=size)
+
+
 def test_costs_by_level(spark):
     rows = [("o1", "v1", "i1", 1000, 0, "0.5"), ("o1", "v1", "i1", 1000, 500, "0.5"), ("o1", None, "i2", None, 1000, "2"), (None, "v1", "i3", 500, 0, None)]
     calls = spark.createDataFrame([(o, DAY, v, i, t, c, p) for o, v, i, t, c, p in rows], "organization_id string, day date, vendor string, invoice_id string, tokens long, cached_tokens long, price_per_1k string")
@@ -136,15 +147,16 @@ def test_chain_from_uploads_to_invoices(spark, tmp_path):
     assert all("parsed" not in json.loads(r["raw_extraction_json"])["choices"][0]["message"] for r in tables["extractions"].collect())
 
 
-@pytest.mark.parametrize("start", ["TEXT_EXTRACTION", "AI_STRUCTURING", "VALIDATION"])
-def test_chain_goes_on_from_a_stage(spark, tmp_path, start):
+def test_chain_goes_on_from_a_stage(spark, tmp_path):
     (uploads, texts), model, calls = chain_parts(spark)
     first = logged(chain.run_chain(uploads, texts, model, str(tmp_path / "run")))
-    begun = len(calls)
     nothing = uploads.limit(0)
-    again = chain.run_chain(nothing, texts if start == "TEXT_EXTRACTION" else texts.limit(0), model, str(tmp_path / "run"), start=start)
-    assert logged(again) == first
-    assert len(calls) == begun + (start != "VALIDATION")
+    for start, asked in (("AI_STRUCTURING", 2), ("VALIDATION", 2)):
+        again = chain.run_chain(nothing, texts.limit(0), model, str(tmp_path / "run"), start=start)
+        assert logged(again) == first and len(calls) == asked
+    early = chain.run_chain(uploads, texts, model, str(tmp_path / "early"), end="TEXT_EXTRACTION")
+    assert len(calls) == 2 and set(early) == {"rejected", "processing_logs", "status"}
+    assert {r["document_id"] for r in early["status"].where("status = 'OCR_COMPLETED'").collect()} == {"d0", "d1", "d5", "d6", "d7"}
     with pytest.raises(ValueError, match="no such stage"):
         chain.run_chain(uploads, texts, model, str(tmp_path / "run"), start="OCR")
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.streaming import retries, stage_times
 
+
+@pytest.fixture
+def one_partition(spark):
+    """Small streams keep their state in one partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SYNC = "document_id string, status string, at timestamp"
 
 
@@ -29,7 +40,7 @@ def test_retry_plan(spark):
     assert found.count() == len(EXPECTED) and shown(found) == EXPECTED
 
 
-def test_retry_stream_over_restarts(spark, tmp_path):
+def test_retry_stream_over_restarts(spark, tmp_path, one_partition):
     """Each run is a new query on the old checkpoint; timers of one run fire in a later one, late rows are dropped."""
     for k, rows in enumerate((FIRST, SECOND, THIRD, [("z", "OK", "14:00:00")])):
         sync_rows(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
@@ -70,7 +81,7 @@ def test_stage_times_of_a_batch(spark):
     assert [r["document_id"] for r in stage_times.over_budget(calls).collect()] == ["b"]
 
 
-def test_stage_times_of_streams(spark, tmp_path):
+def test_stage_times_of_streams(spark, tmp_path, one_partition):
     """Starts without an end come out once the watermarks have passed; rows later than the delay are dropped on both sides."""
     last = [("z", "AI", 1, "18:00:00")]
     late = [("late", "AI", 1, "10:00:00")]

@@ -64,29 +64,31 @@ class Block:
     def gram(self, at: np.ndarray | slice, salt: int = 0, plus: int = GRAM // 2) -> np.ndarray:
         """Identifiers of the q-grams that start at ``at``."""
         late = slice(at.start + plus, at.stop + plus) if isinstance(at, slice) else at + plus
-        x = tokens.mix(self.long[at].astype(np.uint64) * _SALT[salt] + U(GRAM + salt))
-        return tokens.mix((x ^ self.long[late]) * _SALT[salt])
+        x, y = self.long[at].astype(np.uint64) * _SALT[salt], self.long[late].astype(np.uint64) * _SALT[1 - salt]
+        x ^= y >> U(29) | y << U(35)
+        return tokens.mix(x)
 
     def _anchors(self) -> None:
         """place, first, last: each anchor and the first and last string that it owns."""
-        width, found = self.length - GRAM + 1, []
+        width, found, none = self.length - GRAM + 1, [], np.uint32(2**32 - 1)
         for lo in range(0, self.n - self.length + 1, _SPAN):
             hi = min(lo + _SPAN, self.n - self.length + 1)
             m = hi - lo + width - 1
-            pad = -(-m // width) * width
-            key = np.full(pad, U(2**64 - 1))
-            key[:m] = self.gram(slice(lo, lo + m)) >> U(32) << U(32) | np.arange(m, dtype=np.uint64)
-            grid = key.reshape(-1, width)
-            upto = np.minimum.accumulate(grid, axis=1).ravel()
-            after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-            owner = lo + (np.minimum(after[: hi - lo], upto[width - 1 : width - 1 + hi - lo]) & U(0xFFFFFFFF)).astype(np.int64)
-            a, b = np.searchsorted(self.at, lo, "right") - 1, np.searchsorted(self.at, hi, "left")
-            edge = np.clip(self.at[a : b + 1], lo, hi)
-            within = np.arange(lo, hi) + self.length <= np.repeat(self.at[a + 1 : b + 1], np.diff(edge))
-            start, owner = lo + np.flatnonzero(within), owner[within]
-            if len(start):
-                new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                found.append(np.stack((owner[new], start[new], start[np.append(new[1:], len(start)) - 1])))
+            low = self.gram(slice(lo, lo + m)) >> U(32) << U(32) | np.arange(m, dtype=np.uint64)
+            reach = 1
+            while 2 * reach <= width:
+                low = np.minimum(low[:-reach], low[reach:])
+                reach *= 2
+            low = np.minimum(low[: hi - lo], low[width - reach : width - reach + hi - lo])
+            owner = low.astype(np.uint32)
+            a, b = np.searchsorted(self.at, lo, "right"), np.searchsorted(self.at, hi + self.length, "left") + 1
+            end = self.at[a:b]
+            across = _ranges(np.clip(np.maximum(self.at[a - 1 : a - 1 + len(end)], end - self.length + 1), lo, hi), np.clip(end, lo, hi) - 1)
+            owner[across - lo] = none  # strings that would cross the end of a text
+            new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            last = np.append(new[1:], hi - lo) - 1
+            own = owner[new] != none
+            found.append(np.stack((owner[new[own]].astype(np.int64), new[own], last[own])) + lo)
         every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         new = np.flatnonzero(np.concatenate(([True], every[0, 1:] != every[0, :-1]))) if every.shape[1] else np.zeros(0, np.int64)
         self.place, self.first = every[0, new], every[1, new]

@@ -2,7 +2,8 @@
 
 Each stage gives its rows an ``error`` (code and detail, null for good rows). Good rows go on; others end with a failed
 status and a failure log, and cost later stages nothing. A stage's rows are written once under the chain's folder and read
-again by what follows, so a rerun from a stage reads what the stage before left, and gives the same ids.
+again by what follows, so a rerun from a stage reads what the stage before left, and gives the same ids. Texts are
+stored by their own stage alone: later stages read them there and store neither texts nor prompts again.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def extract(uploads: DataFrame, texts: DataFrame) -> DataFrame:
     rows = uploads.join(texts.withColumnRenamed("error", "_why").withColumn("_there", F.lit(True)), "document_id", "left")
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
     why = F.when(F.col("_there").isNull(), "No extraction result.").otherwise(F.coalesce("_why", F.when(empty, "No text found on the document.")))
-    return rows.withColumn("error", failed("ERR_OCR_FAILED", why)).drop("_why", "_there")
+    return rows.withColumn("error", failed("ERR_OCR_FAILED", why)).withColumn("text_chars", F.length("text")).drop("_why", "_there")
 
 
 def provider_error(status: Column, fault: Column, finish: Column, refusal: Column, parsed: Column) -> Column:
@@ -57,7 +58,7 @@ def provider_error(status: Column, fault: Column, finish: Column, refusal: Colum
 
 
 def structure(extracted: DataFrame, answer: Callable[[DataFrame], DataFrame], settings: Settings) -> DataFrame:
-    """Adds prompt, prompt_version, truncated, what the model answered and the columns of the extracted record.
+    """Prompt_version, truncated, what the model answered and the columns of the extracted record in place of the text.
 
     ``answer`` takes ``(document_id, prompt)`` and gives ``(document_id, response, request_id, model, finish_reason,
     input_tokens, output_tokens, latency_ms, refusal, http_status, fault)``: the whole response as JSON with the record in
@@ -66,7 +67,7 @@ def structure(extracted: DataFrame, answer: Callable[[DataFrame], DataFrame], se
     """
     asked = files.prompts(extracted.drop("error"))
     said = answer(asked.select("document_id", "prompt")).withColumn("_there", F.lit(True))
-    rows = asked.join(said, "document_id", "left").withColumn("content", F.get_json_object("response", "$.choices[0].message.content"))
+    rows = asked.drop("text", "prompt").join(said, "document_id", "left").withColumn("content", F.get_json_object("response", "$.choices[0].message.content"))
     rows = files.parse_extractions(rows, "content").withColumn("prompt_version", F.lit(settings.prompt_version)).withColumn("raw_extraction_json", without_parsed(F.col("response")))
     fault = F.when(F.col("_there").isNull(), "No answer.").otherwise(F.col("fault"))
     parsed = F.from_json("content", "map<string,string>").isNotNull()
@@ -97,7 +98,7 @@ def upload_logs(rows: DataFrame) -> DataFrame:
 
 
 def text_logs(rows: DataFrame) -> DataFrame:
-    payload = F.to_json(F.struct("source_type", "page_count", F.bround("mean_confidence", 4).alias("mean_confidence"), F.length("text").alias("text_chars")))
+    payload = F.to_json(F.struct("source_type", "page_count", F.bround("mean_confidence", 4).alias("mean_confidence"), "text_chars"))
     return persistence.log_rows(rows, TEXT, payload, F.concat(F.lit("Text extracted via "), "source_type", F.lit(".")), duration=F.col("duration_ms"))
 
 
@@ -125,7 +126,7 @@ def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame]
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{root}/{name.lower()}"
         if STAGES.index(name) >= STAGES.index(start):
-            make().write.mode("overwrite").parquet(path)
+            make().write.mode("overwrite").option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
     def received() -> DataFrame:
@@ -152,7 +153,7 @@ def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame]
         with_text = going
         going = split(AI, stage(AI, lambda: structure(with_text, answer, s)))
         logs.append(ai_logs(going))
-        tables["extractions"] = going.select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
+        tables["extractions"] = going.join(with_text.select("document_id", "text"), "document_id").select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
     if last >= STAGES.index(VALIDATION):
         tables |= process(going.withColumn("ocr_confidence", F.col("mean_confidence")), s, stored_vendors, f"{root}/{VALIDATION.lower()}")
         logs.append(tables["processing_logs"])

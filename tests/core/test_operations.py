@@ -147,6 +147,15 @@ def test_chain_from_uploads_to_invoices(spark, tmp_path):
     assert all("parsed" not in json.loads(r["raw_extraction_json"])["choices"][0]["message"] for r in tables["extractions"].collect())
 
 
+def test_chain_stores_texts_once(spark, tmp_path):
+    (uploads, texts), model, _ = chain_parts(spark)
+    tables = chain.run_chain(uploads, texts, model, str(tmp_path / "run"))
+    assert not {"text", "prompt"} & set(spark.read.parquet(str(tmp_path / "run" / "ai_structuring")).columns)
+    assert {(r["document_id"], r["text"]) for r in tables["extractions"].collect()} == {("d0", "text"), ("d1", "text")}
+    files_ = [f.name for f in (tmp_path / "run").rglob("*.parquet")]
+    assert files_ and all(".zstd." in f for f in files_)
+
+
 def test_chain_goes_on_from_a_stage(spark, tmp_path):
     (uploads, texts), model, calls = chain_parts(spark)
     first = logged(chain.run_chain(uploads, texts, model, str(tmp_path / "run")))

@@ -31,7 +31,7 @@ def process(extracted: DataFrame, settings: Settings | None = None, stored_vendo
     silver = validate(normalize_invoices(extracted, ("document_id", "ord", "ocr_confidence")), s.tolerance, s.review_threshold)
     silver = silver.withColumn("persistable", persistence.persistable())
     if saved:
-        silver.write.mode("overwrite").parquet(saved)
+        silver.write.mode("overwrite").option("compression", "zstd").parquet(saved)
         silver = silver.sparkSession.read.schema(silver.schema).parquet(saved)
     good, bad = silver.where("persistable"), silver.where("not persistable")
     keyed = vendors.new_vendor_rows(good)

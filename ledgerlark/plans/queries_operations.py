@@ -381,7 +381,7 @@ def saved_annotations(spark, sf_dir):
     second = F.struct(F.lit("end").alias("text"), page(F.array().cast("array<string>")).alias("pages"))
     rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("annotations"))
     path = workspace(spark, "annotations")
-    rows.write.json(path)
+    sinks.store_annotations(rows, path)
     return ocr.ocr_results(files.annotations(spark, path)).select("document_id", "page_count", F.size("tokens").cast("long").alias("tokens"), F.sha2("text", 256).alias("digest"), F.round("mean_confidence", 6).alias("confidence"))
 
 

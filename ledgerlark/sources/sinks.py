@@ -39,3 +39,8 @@ def store_files(files: DataFrame, base: str) -> None:
     """Raw contents by organisation, year and month."""
     dated = files.withColumn("year", F.date_format("created_at", "yyyy")).withColumn("month", F.date_format("created_at", "MM"))
     dated.write.mode("append").partitionBy("organization", "year", "month").parquet(base)
+
+
+def store_annotations(rows: DataFrame, path: str) -> None:
+    """Annotations as JSON lines, compressed: a word with its box takes some twenty times its letters as plain JSON."""
+    rows.write.option("compression", "gzip").json(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import variant
 from ledgerlark.operators import costs, readmodels, stock, terms
 from ledgerlark.plans import chain, guard, history
+from ledgerlark.sources import files, sinks
 
 from .test_rules import invoice
 
@@ -211,3 +212,10 @@ def test_history_of_queries(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert {"OK", "FAILED"} == {r["outcome"] for r in rows} and any("boom" in (r["detail"] or "") for r in rows)
     assert any("Filter" in r["plan"] and r["ms"] is not None for r in rows) and not any("ran" in r["plan"] and path in r["plan"] for r in rows)
+
+
+def test_annotations_are_stored_compressed(spark, tmp_path):
+    rows = spark.range(200).selectExpr("cast(id as string) as document_id", "array(named_struct('text', repeat('word ', 200))) as annotations")
+    sinks.store_annotations(rows, str(tmp_path / "a"))
+    assert sum(f.stat().st_size for f in (tmp_path / "a").glob("part-*")) < 200 * 1000 / 4
+    assert files.annotations(spark, str(tmp_path / "a")).where("annotations[0].text like 'word word%'").count() == 200

@@ -214,6 +214,13 @@ def test_history_of_queries(spark, tmp_path):
     assert any("Filter" in r["plan"] and r["ms"] is not None for r in rows) and not any("ran" in r["plan"] and path in r["plan"] for r in rows)
 
 
+def test_terms_are_read_once(spark):
+    rows = spark.createDataFrame([("a", datetime.date(2026, 1, 31), "50% in 30 days, 50% in 60 days", Decimal("10.01")), ("b", None, "Net 30", Decimal("1.00"))], "id string, invoice_date date, payment_terms string, grand_total decimal(14,2)")
+    plan = terms.payment_plan(rows)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r["part"], str(r["due"]), str(r["amount"])) for r in plan.orderBy("part").collect()] == [(1, "2026-03-02", "5.01"), (2, "2026-04-01", "5.00")]
+
+
 def test_annotations_are_stored_compressed(spark, tmp_path):
     rows = spark.range(200).selectExpr("cast(id as string) as document_id", "array(named_struct('text', repeat('word ', 200))) as annotations")
     sinks.store_annotations(rows, str(tmp_path / "a"))

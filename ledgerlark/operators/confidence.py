@@ -21,14 +21,13 @@ def composite(ocr: Column, ai: Column, validation: Column) -> Column:
         share = [F.when(p[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()]
         terms = [F.coalesce(F.lit(w) * clamp(p[k]), F.lit(0.0)) for k, w in WEIGHTS.items()]
         values = {"sum": terms[0] + terms[1] + terms[2], "total": share[0] + share[1] + share[2]}
-        return F.struct(*[c.alias(n) for n, c in values.items()], *[c.alias(f"w_{k}") for k, c in zip(WEIGHTS, share, strict=True)], *[clamp(p[k]).alias(k) for k in WEIGHTS])
-
-    def scored(v: Column) -> Column:
-        share = lambda c: v[c] / F.nullif(v["total"], F.lit(0.0))
-        return F.struct(
-            round4(clamp(F.coalesce(share("sum"), F.lit(0.0)))).alias("composite"),
-            *[round4(v[k]).alias(k) for k in WEIGHTS],
-            F.struct(*[round4(F.coalesce(share(f"w_{k}"), F.lit(0.0))).alias(k) for k in WEIGHTS]).alias("weights"),
-        )
-
-    return bound(bound(parts, weighed), scored)
+        return F.struct(*[c.alias(n) for n, c in values.items()], *[c.alias(f"w_{k}") for k, c in zip(WEIGHTS, share, strict=True)])
+
+    share = lambda v, c: round4(F.coalesce(v[c] / F.nullif(v["total"], F.lit(0.0)), F.lit(0.0)))
+    total = bound(parts, weighed)
+    # Fields stand side by side, so that a query that takes the composite alone computes nothing else.
+    return F.struct(
+        bound(total, lambda v: round4(clamp(F.coalesce(v["sum"] / F.nullif(v["total"], F.lit(0.0)), F.lit(0.0))))).alias("composite"),
+        *[round4(clamp(known(c))).alias(k) for k, c in zip(WEIGHTS, (ocr, ai, validation), strict=True)],
+        bound(total, lambda v: F.struct(*[share(v, f"w_{k}").alias(k) for k in WEIGHTS])).alias("weights"),
+    )

@@ -6,28 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import to_decimal
-from ..functions.text import clean_text, currency_code, parse_iso_date
+from ..functions.text import clean_text, currency_code, parse_iso_date, strip
 from ..schemas import NORMALIZED_ITEM
 
 
-def normalize_item(item: Column, index: Column) -> Column:
-    """Decimals and cleaned text of a line item; a missing unit price or line total is derived from the other two."""
-    quantity, price, total = to_decimal(item["quantity"], 4), to_decimal(item["unit_price"], 4), to_decimal(item["line_total"], 2)
-    price_derived = price.isNull() & (quantity != 0) & total.isNotNull()
-    total_derived = ~F.coalesce(price_derived, F.lit(False)) & total.isNull() & quantity.isNotNull() & price.isNotNull()
-    new_price = F.round(total / F.when(quantity != 0, quantity), 4).try_cast("decimal(18,4)")
-    new_total = F.round(quantity * price, 2).try_cast("decimal(18,2)")
-    return F.struct(
-        clean_text(item["description"]).alias("description"),
-        quantity.alias("quantity"),
-        F.when(price_derived, new_price).otherwise(price).alias("unit_price"),
-        F.when(total_derived, new_total).otherwise(total).alias("line_total"),
-        to_decimal(item["tax_rate"], 4).try_cast("decimal(14,4)").alias("tax_rate"),
-        item["confidence"].alias("confidence"),
-        index.cast("int").alias("sort_order"),
-        F.coalesce(price_derived, F.lit(False)).alias("unit_price_derived"),
-        F.coalesce(total_derived, F.lit(False)).alias("line_total_derived"),
-    )
+def normalize_items(items: Column) -> Column:
+    """Decimals and cleaned text of line items; a missing unit price or line total is derived from the other two.
+
+    Each number is read once, in a first pass; the second takes it as often as it needs.
+    """
+
+    def read(i: Column) -> Column:
+        number = lambda f, scale: to_decimal(i[f], scale).alias(f)
+        return F.struct(strip(i["description"]).alias("description"), number("quantity", 4), number("unit_price", 4), number("line_total", 2), number("tax_rate", 4), i["confidence"].alias("confidence"))
+
+    def derive(i: Column, index: Column) -> Column:
+        quantity, price, total = i["quantity"], i["unit_price"], i["line_total"]
+        price_derived = F.coalesce(price.isNull() & (quantity != 0) & total.isNotNull(), F.lit(False))
+        total_derived = total.isNull() & quantity.isNotNull() & price.isNotNull()
+        new_price = F.round(total / F.when(quantity != 0, quantity), 4).try_cast("decimal(18,4)")
+        new_total = F.round(quantity * price, 2).try_cast("decimal(18,2)")
+        return F.struct(
+            F.nullif(i["description"], F.lit("")).alias("description"),
+            quantity.alias("quantity"),
+            F.when(price_derived, new_price).otherwise(price).alias("unit_price"),
+            F.when(total_derived, new_total).otherwise(total).alias("line_total"),
+            i["tax_rate"].try_cast("decimal(14,4)").alias("tax_rate"),
+            i["confidence"].alias("confidence"),
+            index.cast("int").alias("sort_order"),
+            price_derived.alias("unit_price_derived"),
+            total_derived.alias("line_total_derived"),
+        )
+
+    return F.transform(F.transform(items, read), derive)
 
 
 def normalize_invoices(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +62,7 @@ def normalize_invoices(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         clean_text(F.col("purchase_order")).alias("purchase_order"),
         clean_text(F.col("payment_terms")).alias("payment_terms"),
         *[to_decimal(F.col(c), 2).alias(c) for c in ("subtotal", "tax_amount", "discount_amount", "grand_total")],
-        F.coalesce(F.transform("line_items", normalize_item), F.array().cast(f"array<{NORMALIZED_ITEM}>")).alias("line_items"),
+        F.coalesce(normalize_items(F.col("line_items")), F.array().cast(f"array<{NORMALIZED_ITEM}>")).alias("line_items"),
         F.coalesce("confidence", mean).alias("ai_confidence"),
         clean_text(F.col("currency")).alias("raw_currency"),
         F.nullif(F.col("invoice_date"), F.lit("")).alias("raw_invoice_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import REVIEW_THRESHOLD, TOLERANCE
-from ..functions.numbers import bound, within
+from ..functions.numbers import within
 from ..functions.text import known_currency
 from ..schemas import CHECK
 from .confidence import composite
@@ -49,30 +49,40 @@ def currency_check() -> Column:
 
 
 def derivation_checks() -> Column:
-    def of(i: Column) -> Column:
-        at = F.concat(F.lit("line_items["), i["sort_order"].cast("string"), F.lit("]"))
-        price, total = i["unit_price"].cast("string"), i["line_total"].cast("string")
-        from_total = check("UNIT_PRICE_DERIVED", "PASSED", F.concat(at, F.lit(".unit_price")), F.concat(F.lit("Unit price not printed; derived as line_total / quantity = "), price, F.lit(".")), actual=price)
-        text = F.concat(F.lit("Line total not printed; derived as quantity × unit_price = "), total, F.lit(". Derived totals should be verified in review."))
-        from_price = check("LINE_TOTAL_DERIVED", "WARNING", F.concat(at, F.lit(".line_total")), text, actual=total)
-        return F.when(i["unit_price_derived"], F.array(from_total)).when(i["line_total_derived"], F.array(from_price)).otherwise(_none())
+    return F.flatten(F.transform(F.filter("line_items", lambda i: i["unit_price_derived"] | i["line_total_derived"]), _derivations))
 
-    return F.flatten(F.transform("line_items", of))
+
+def _derivations(i: Column) -> Column:
+    at = F.concat(F.lit("line_items["), i["sort_order"].cast("string"), F.lit("]"))
+    price, total = i["unit_price"].cast("string"), i["line_total"].cast("string")
+    from_total = check("UNIT_PRICE_DERIVED", "PASSED", F.concat(at, F.lit(".unit_price")), F.concat(F.lit("Unit price not printed; derived as line_total / quantity = "), price, F.lit(".")), actual=price)
+    text = F.concat(F.lit("Line total not printed; derived as quantity × unit_price = "), total, F.lit(". Derived totals should be verified in review."))
+    from_price = check("LINE_TOTAL_DERIVED", "WARNING", F.concat(at, F.lit(".line_total")), text, actual=total)
+    return F.when(i["unit_price_derived"], F.array(from_total)).when(i["line_total_derived"], F.array(from_price)).otherwise(_none())
 
 
 def presence_checks() -> Column:
+    dated, missing = date_presence_checks()
+    return F.concat(field_checks(), dated, content_checks(), missing)
+
+
+def field_checks() -> Column:
     required = (("VENDOR_NAME_PRESENT", "vendor_name", "Vendor name"), ("INVOICE_NUMBER_PRESENT", "invoice_number", "Invoice number"), ("GRAND_TOTAL_PRESENT", "grand_total", "Grand total"))
-    fields = [_pass_fail(name, F.col(f).isNotNull(), f, f"{label} was not found on the document.") for name, f, label in required]
-    items = _pass_fail("LINE_ITEMS_PRESENT", F.size("line_items") > 0, "line_items", "No line items were extracted.")
-    order = F.when(F.col("purchase_order").isNotNull(), check("PURCHASE_ORDER_PRESENT", "PASSED", "purchase_order")).otherwise(check("PURCHASE_ORDER_PRESENT", "SKIPPED", "purchase_order", "No purchase order on document."))
+    return F.array(*[_pass_fail(name, F.col(f).isNotNull(), f, f"{label} was not found on the document.") for name, f, label in required])
+
+
+def date_presence_checks() -> tuple[Column, Column]:
+    """The check of an invoice date that is there, and of one that is missing; either array may be empty."""
     dated = F.col("invoice_date")
     nothing = dated.isNull() & F.col("raw_invoice_date").isNull()
-    return F.concat(
-        F.array(*fields),
-        _if(dated.isNotNull(), check("INVOICE_DATE_VALID", "PASSED", "invoice_date")),
-        F.array(items, order),
-        _if(nothing, check("INVOICE_DATE_VALID", "FAILED", "invoice_date", "Invoice date was not found on the document.")),
-    )
+    good = check("INVOICE_DATE_VALID", "PASSED", "invoice_date")
+    return _if(dated.isNotNull(), good), _if(nothing, check("INVOICE_DATE_VALID", "FAILED", "invoice_date", "Invoice date was not found on the document."))
+
+
+def content_checks() -> Column:
+    items = _pass_fail("LINE_ITEMS_PRESENT", F.size("line_items") > 0, "line_items", "No line items were extracted.")
+    order = F.when(F.col("purchase_order").isNotNull(), check("PURCHASE_ORDER_PRESENT", "PASSED", "purchase_order")).otherwise(check("PURCHASE_ORDER_PRESENT", "SKIPPED", "purchase_order", "No purchase order on document."))
+    return F.array(items, order)
 
 
 def _tolerance(tolerance: str) -> Column:
@@ -80,14 +90,15 @@ def _tolerance(tolerance: str) -> Column:
 
 
 def line_math_checks(tolerance: str = TOLERANCE) -> Column:
-    def of(i: Column) -> Column:
-        at = F.concat(F.lit("line_items["), i["sort_order"].cast("string"), F.lit("]"))
-        known, expected, ok = _line_math(i, tolerance)
-        unknown = check("LINE_ITEM_MATH", "WARNING", at, "Item is missing quantity, unit price, or line total; math not verifiable.")
-        bad = check("LINE_ITEM_MATH", "FAILED", F.concat(at, F.lit(".line_total")), "quantity × unit_price does not match the printed line total.", expected, i["line_total"])
-        return F.when(~known, unknown).when(ok, check("LINE_ITEM_MATH", "PASSED", at)).otherwise(bad)
+    return F.transform("line_items", lambda i: _line_check(i, tolerance))
+
 
-    return F.transform("line_items", of)
+def _line_check(i: Column, tolerance: str) -> Column:
+    at = F.concat(F.lit("line_items["), i["sort_order"].cast("string"), F.lit("]"))
+    known, expected, ok = _line_math(i, tolerance)
+    unknown = check("LINE_ITEM_MATH", "WARNING", at, "Item is missing quantity, unit price, or line total; math not verifiable.")
+    bad = check("LINE_ITEM_MATH", "FAILED", F.concat(at, F.lit(".line_total")), "quantity × unit_price does not match the printed line total.", expected, i["line_total"])
+    return F.when(~known, unknown).when(ok, check("LINE_ITEM_MATH", "PASSED", at)).otherwise(bad)
 
 
 def _line_math(i: Column, tolerance: str) -> tuple[Column, Column, Column]:
@@ -98,23 +109,26 @@ def _line_math(i: Column, tolerance: str) -> tuple[Column, Column, Column]:
 
 def items_sum() -> Column:
     """Sum of the known line totals; null where none is known."""
-    totals = F.filter(F.transform("line_items", lambda i: i["line_total"]), lambda t: t.isNotNull())
-    return F.when(F.size(totals) > 0, F.aggregate(totals, F.lit(0).cast("decimal(20,2)"), lambda a, t: (a + t).cast("decimal(20,2)")))
+    return F.aggregate("line_items", F.lit(None).cast("decimal(20,2)"), lambda a, i: F.coalesce((a + i["line_total"]).cast("decimal(20,2)"), a, i["line_total"].cast("decimal(20,2)")))
 
 
 def subtotal_check(tolerance: str = TOLERANCE) -> Column:
-    total, printed = items_sum(), F.col("subtotal")
+    printed = F.col("subtotal")
     skipped = check("SUBTOTAL_MATCHES_ITEMS", "SKIPPED", "subtotal", "Subtotal or line totals unavailable.")
-    verdict = _pass_fail("SUBTOTAL_MATCHES_ITEMS", within(total, printed, _tolerance(tolerance)), "subtotal", "Sum of line totals does not match the printed subtotal.", total, printed)
-    return F.array(F.when(printed.isNull() | total.isNull(), skipped).otherwise(verdict))
+    verdict = lambda total: _pass_fail("SUBTOTAL_MATCHES_ITEMS", within(total, printed, _tolerance(tolerance)), "subtotal", "Sum of line totals does not match the printed subtotal.", total, printed)
+    return F.transform(F.array(items_sum()), lambda total: F.when(printed.isNull() | total.isNull(), skipped).otherwise(verdict(total)))
 
 
 def grand_total_check(tolerance: str = TOLERANCE) -> Column:
-    printed, base = F.col("grand_total"), F.coalesce(F.col("subtotal"), items_sum())
-    total = _grand_total(base)
-    verdict = _pass_fail("GRAND_TOTAL_MATH", within(total, printed, _tolerance(tolerance)), "grand_total", "subtotal + tax − discount does not match the printed grand total.", total, printed)
+    printed = F.col("grand_total")
     skip = lambda why: check("GRAND_TOTAL_MATH", "SKIPPED", "grand_total", why)
-    return F.array(F.when(printed.isNull(), skip("No grand total to verify.")).when(base.isNull(), skip("No subtotal or line totals available to verify against.")).otherwise(verdict))
+
+    def of(base: Column) -> Column:
+        total = _grand_total(base)
+        verdict = _pass_fail("GRAND_TOTAL_MATH", within(total, printed, _tolerance(tolerance)), "grand_total", "subtotal + tax − discount does not match the printed grand total.", total, printed)
+        return F.when(printed.isNull(), skip("No grand total to verify.")).when(base.isNull(), skip("No subtotal or line totals available to verify against.")).otherwise(verdict)
+
+    return F.transform(F.array(F.coalesce(F.col("subtotal"), items_sum())), of)
 
 
 def _grand_total(base: Column) -> Column:
@@ -131,14 +145,16 @@ def _tax(rate: Column) -> Column:
 
 
 def tax_check(tolerance: str = TOLERANCE) -> Column:
-    rates = _rates()
-    rate = F.get(rates, F.lit(0))
-    expected = _tax(rate)
-    known = (F.size(rates) == 1) & F.col("subtotal").isNotNull() & F.col("tax_amount").isNotNull()
-    message = F.concat(F.lit("Tax amount is inconsistent with a uniform "), rate.cast("string"), F.lit("% rate on the subtotal."))
-    bad = check("TAX_CONSISTENT", "FAILED", "tax_amount", message, expected, F.col("tax_amount"))
-    skipped = check("TAX_CONSISTENT", "SKIPPED", "tax_amount", "Uniform tax rate, subtotal, or tax amount unavailable.")
-    return F.array(F.when(~known, skipped).when(within(expected, F.col("tax_amount"), _tolerance(tolerance)), check("TAX_CONSISTENT", "PASSED", "tax_amount")).otherwise(bad))
+    def of(rates: Column) -> Column:
+        rate = F.get(rates, F.lit(0))
+        expected = _tax(rate)
+        known = (F.size(rates) == 1) & F.col("subtotal").isNotNull() & F.col("tax_amount").isNotNull()
+        message = F.concat(F.lit("Tax amount is inconsistent with a uniform "), rate.cast("string"), F.lit("% rate on the subtotal."))
+        bad = check("TAX_CONSISTENT", "FAILED", "tax_amount", message, expected, F.col("tax_amount"))
+        skipped = check("TAX_CONSISTENT", "SKIPPED", "tax_amount", "Uniform tax rate, subtotal, or tax amount unavailable.")
+        return F.when(~known, skipped).when(within(expected, F.col("tax_amount"), _tolerance(tolerance)), check("TAX_CONSISTENT", "PASSED", "tax_amount")).otherwise(bad)
+
+    return F.transform(F.array(_rates()), of)
 
 
 def date_order_check() -> Column:
@@ -147,57 +163,83 @@ def date_order_check() -> Column:
     return _if(start.isNotNull() & due.isNotNull(), verdict)
 
 
+def _parts(tolerance: str) -> list[tuple[set[str], Column]]:
+    """The rules in their fixed order: the names that a part's checks may have, and the part."""
+    dates, (dated, missing) = {"INVOICE_DATE_VALID"}, date_presence_checks()
+    return [
+        (dates | {"DUE_DATE_VALID"}, date_format_checks()),
+        ({"CURRENCY_VALID"}, currency_check()),
+        ({"UNIT_PRICE_DERIVED", "LINE_TOTAL_DERIVED"}, derivation_checks()),
+        ({"VENDOR_NAME_PRESENT", "INVOICE_NUMBER_PRESENT", "GRAND_TOTAL_PRESENT"}, field_checks()),
+        (dates, dated),
+        ({"LINE_ITEMS_PRESENT", "PURCHASE_ORDER_PRESENT"}, content_checks()),
+        (dates, missing),
+        ({"LINE_ITEM_MATH"}, line_math_checks(tolerance)),
+        ({"SUBTOTAL_MATCHES_ITEMS"}, subtotal_check(tolerance)),
+        ({"GRAND_TOTAL_MATH"}, grand_total_check(tolerance)),
+        ({"TAX_CONSISTENT"}, tax_check(tolerance)),
+        ({"DATE_ORDER"}, date_order_check()),
+    ]
+
+
 def with_checks(silver: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
     """Adds ``checks``: all rules in their fixed order, without stopping at a failure."""
-    parts = (date_format_checks(), currency_check(), derivation_checks(), presence_checks(), line_math_checks(tolerance), subtotal_check(tolerance), grand_total_check(tolerance), tax_check(tolerance), date_order_check())
+    parts = [part for _, part in _parts(tolerance)]
     numbered = F.transform(F.concat(*parts), lambda c, i: F.struct(i.cast("int").alias("seq"), *[c[f].alias(f) for f in ("name", "status", "field", "message", "expected", "actual")]))
     return silver.withColumn("checks", numbered)
 
 
-def outcomes(tolerance: str = TOLERANCE) -> Column:
-    """Struct of passed, failed, warning and skipped: how many checks of each outcome ``with_checks`` would build.
+def checks_named(silver: DataFrame, names: tuple[str, ...], *keys: str, tolerance: str = TOLERANCE) -> DataFrame:
+    """One row a check of these names, as ``checks_long`` has them but for seq; no other rule is built or its columns read."""
+    parts = [part for own, part in _parts(tolerance) if own & set(names)]
+    rows = silver.select(*keys, F.explode_outer(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select(*keys, "c.*")
+    return rows.where(F.col("name").isin(*names))
+
 
-    No check is built for it: conditions give outcomes, those of items are counted in one pass over them.
+def with_outcomes(silver: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
+    """Adds n_passed, n_failed, n_warning and n_skipped: how many checks of each outcome ``with_checks`` would build.
+
+    No check is built for it: each item becomes a number for its outcomes in one pass, those of the header are summed.
     """
-    verdict = lambda ok: F.when(ok, "PASSED").otherwise("FAILED")
-    dated = F.col("invoice_date").isNotNull()
 
-    def of_items(i: Column) -> Column:
+    def code(i: Column) -> Column:
+        """Tens for the derivation, ones for the math: 1 passed, 2 failed, 3 warning."""
         known, _, ok = _line_math(i, tolerance)
-        derived = F.when(i["unit_price_derived"], "PASSED").when(i["line_total_derived"], "WARNING")
-        return F.struct(derived.alias("derived"), F.when(~known, "WARNING").when(ok, "PASSED").otherwise("FAILED").alias("math"))
-
-    def of_row(v: Column) -> Column:
-        base, rate = F.coalesce(F.col("subtotal"), v["total"]), F.get(v["rates"], F.lit(0))
-        tax_known = (F.size(v["rates"]) == 1) & F.col("subtotal").isNotNull() & F.col("tax_amount").isNotNull()
-        due = F.col("due_date").isNotNull()
-        header = F.array(
-            F.when(~dated, "FAILED").otherwise("PASSED"),
-            F.when(F.col("raw_due_date").isNotNull() & ~due, "WARNING"),
-            F.when(F.coalesce(known_currency(F.col("currency")), F.lit(False)), "PASSED").otherwise("WARNING"),
-            *[verdict(F.col(c).isNotNull()) for c in ("vendor_name", "invoice_number", "grand_total")],
-            verdict(F.size("line_items") > 0),
-            F.when(F.col("purchase_order").isNotNull(), "PASSED").otherwise("SKIPPED"),
-            F.when(F.col("subtotal").isNull() | v["total"].isNull(), "SKIPPED").otherwise(verdict(within(v["total"], F.col("subtotal"), _tolerance(tolerance)))),
-            F.when(F.col("grand_total").isNull() | base.isNull(), "SKIPPED").otherwise(verdict(within(_grand_total(base), F.col("grand_total"), _tolerance(tolerance)))),
-            F.when(~tax_known, "SKIPPED").otherwise(verdict(within(_tax(rate), F.col("tax_amount"), _tolerance(tolerance)))),
-            F.when(dated & due, verdict(F.col("due_date") >= F.col("invoice_date"))),
-        )
-        return bound(F.struct(header.alias("header"), v["items"].alias("items")), counted)
-
-    def counted(v: Column) -> Column:
-        n = lambda s: F.size(F.filter(v["header"], lambda x: x == s)) + F.size(F.filter(v["items"], lambda x: x["derived"] == s)) + F.size(F.filter(v["items"], lambda x: x["math"] == s))
-        return F.struct(n("PASSED").alias("passed"), n("FAILED").alias("failed"), n("WARNING").alias("warning"), F.size(F.filter(v["header"], lambda x: x == "SKIPPED")).alias("skipped"))
-
-    return bound(F.struct(items_sum().alias("total"), _rates().alias("rates"), F.transform("line_items", of_items).alias("items")), of_row)
+        return F.when(i["unit_price_derived"], 10).when(i["line_total_derived"], 30).otherwise(0) + F.when(~known, 3).when(ok, 1).otherwise(2)
+
+    rows = silver.withColumns({"_total": items_sum(), "_rates": _rates(), "_codes": F.transform("line_items", code)})
+    verdict = lambda ok: F.when(ok, 1).otherwise(2)
+    skipped = lambda missing, ok: F.when(missing, 4).otherwise(verdict(ok))
+    dated, due, total = F.col("invoice_date").isNotNull(), F.col("due_date").isNotNull(), F.col("_total")
+    base, subtotal, tax = F.coalesce("subtotal", total), F.col("subtotal"), F.col("tax_amount")
+    near = lambda a, b: within(a, b, _tolerance(tolerance))
+    header = {
+        "_dated": verdict(dated),
+        "_due": F.when(F.col("raw_due_date").isNotNull() & ~due, 3).otherwise(0),
+        "_currency": F.when(F.coalesce(known_currency(F.col("currency")), F.lit(False)), 1).otherwise(3),
+        **{f"_{c}": verdict(F.col(c).isNotNull()) for c in ("vendor_name", "invoice_number", "grand_total")},
+        "_items": verdict(F.size("line_items") > 0),
+        "_order": F.when(F.col("purchase_order").isNotNull(), 1).otherwise(4),
+        "_sum": skipped(subtotal.isNull() | total.isNull(), near(total, subtotal)),
+        "_grand": skipped(F.col("grand_total").isNull() | base.isNull(), near(_grand_total(base), F.col("grand_total"))),
+        "_tax": skipped((F.size("_rates") != 1) | subtotal.isNull() | tax.isNull(), near(_tax(F.get("_rates", F.lit(0))), tax)),
+        "_between": F.when(dated & due, verdict(F.col("due_date") >= F.col("invoice_date"))).otherwise(0),
+    }
+    rows = rows.withColumns(header)
+
+    def n(outcome: int) -> Column:
+        own = F.size(F.filter("_codes", lambda c: c % 10 == outcome)) + F.size(F.filter("_codes", lambda c: c >= 10 * outcome)) - F.size(F.filter("_codes", lambda c: c >= 10 * outcome + 10))
+        out = own if outcome != 4 else F.lit(0)
+        for c in header:
+            out = out + (F.col(c) == outcome).cast("int")
+        return out
+
+    return rows.withColumns({f"n_{name}": n(k) for k, name in enumerate(("passed", "failed", "warning", "skipped"), 1)}).drop("_total", "_rates", "_codes", *header)
 
 
 def decide(silver: DataFrame, tolerance: str = TOLERANCE, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
     """Adds the counts, validation_score, confidence and decision of ``validate``, without checks and reasons."""
-    counted = silver.withColumn("_n", outcomes(tolerance))
-    for status in ("passed", "failed", "warning", "skipped"):
-        counted = counted.withColumn(f"n_{status}", F.col(f"_n.{status}"))
-    scored = _scored(counted.drop("_n"))
+    scored = _scored(with_outcomes(silver, tolerance))
     good = (F.col("n_failed") == 0) & ~(F.col("confidence.composite") < threshold)
     return scored.withColumn("decision", F.when(good, "VALIDATED").otherwise("REVIEW_REQUIRED"))
 

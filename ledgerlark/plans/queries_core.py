@@ -260,8 +260,9 @@ def normalize_headers(spark, sf_dir):
 
 
 def _checks(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    rows = rules.checks_long(rules.with_checks(_silver(spark, sf_dir)), "document_id")
-    return (rows.where(F.col("name").isin(*names)) if names else rows).select("document_id", "name", "status", "field")
+    silver = _silver(spark, sf_dir)
+    rows = rules.checks_named(silver, names, "document_id") if names else rules.checks_long(rules.with_checks(silver), "document_id")
+    return rows.select("document_id", "name", "status", "field")
 
 
 def _checks_sql(*names: str) -> str:
@@ -294,7 +295,7 @@ def validation_score(spark, sf_dir):
 
 @query(f"WITH {CHECKS_SQL} SELECT document_id, composite FROM sc")
 def composite_confidence(spark, sf_dir):
-    return _validated(spark, sf_dir).select("document_id", F.col("confidence.composite").alias("composite"))
+    return rules.decide(_silver(spark, sf_dir)).select("document_id", F.col("confidence.composite").alias("composite"))
 
 
 @query(f"""WITH {CHECKS_SQL} SELECT document_id, CAST(n_passed AS INTEGER) AS passed, CAST(n_failed AS INTEGER) AS failed, CAST(n_warning AS INTEGER) AS warnings, CAST(n_skipped AS INTEGER) AS skipped,
@@ -327,7 +328,7 @@ def confidence_renormalized(spark, sf_dir):
 @query(f"""WITH {CHECKS_SQL} SELECT document_id, coalesce(currency, 'USD') AS currency, CAST(coalesce(discount, 0) AS DOUBLE) AS discount_amount, CASE WHEN n_failed = 0 AND composite >= 0.85 THEN 'VALIDATED' ELSE 'REVIEW_REQUIRED' END AS status,
   vendor_name IS NOT NULL AS has_vendor, CAST(composite AS DOUBLE) AS composite_confidence FROM sc""")
 def persist_defaults(spark, sf_dir):
-    rows = persistence.invoice_rows(_validated(spark, sf_dir))
+    rows = persistence.invoice_rows(rules.decide(_silver(spark, sf_dir)))
     return rows.select("document_id", "currency", F.col("discount_amount").cast("double").alias("discount_amount"), "status", F.col("vendor_id").isNotNull().alias("has_vendor"), F.col("composite_confidence").cast("double").alias("composite_confidence"))
 
 

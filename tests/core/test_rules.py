@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import numbers, text
 from ledgerlark.operators import persistence, rules
+from ledgerlark.operators.confidence import composite
 from ledgerlark.operators.normalization import normalize_invoices
 from ledgerlark.schemas import EXTRACTED
 
@@ -175,3 +176,31 @@ def test_counts_without_checks_are_those_of_the_checks(spark):
     columns = ["document_id", "n_passed", "n_failed", "n_warning", "n_skipped", "validation_score", "confidence.composite", "decision"]
     full, light = (sorted(map(tuple, f(silver).select(*columns).collect())) for f in (rules.validate, rules.decide))
     assert light == full and len({r[-1] for r in full}) == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_named_checks_build_and_read_nothing_else(spark):
+    rows = spark.createDataFrame([c[1] | {"document_id": str(k)} for k, c in enumerate(CASES)], SCHEMA)
+    silver = normalize_invoices(rows, ("document_id", "ocr_confidence"))
+    columns = ["document_id", "name", "status", "field", "message", "expected", "actual"]
+    every = rules.checks_long(rules.with_checks(silver), "document_id").select(*columns).collect()
+    for name in {r["name"] for r in every}:
+        got = rules.checks_named(silver, (name,), "document_id").select(*columns).collect()
+        assert sorted(map(str, got)) == sorted(str(r) for r in every if r["name"] == name)
+    plan = plan_of(rules.checks_named(silver, ("CURRENCY_VALID",), "document_id").select("document_id", "status"))
+    assert "LINE_ITEM_MATH" not in plan and "transform(" not in plan
+
+
+def test_numbers_of_an_item_are_read_once(spark):
+    silver = normalize_invoices(spark.createDataFrame([invoice()], SCHEMA), ("document_id",))
+    assert plan_of(silver.select("line_items")).count("isnan(") == 4
+
+
+def test_composite_alone_computes_no_breakdown(spark):
+    df = spark.createDataFrame([(0.5, 0.5, 0.5)], "o double, a double, v double")
+    c = composite(F.col("o"), F.col("a"), F.col("v"))
+    alone, whole = (plan_of(df.select(x.alias("c"))) for x in (c["composite"], c))
+    assert len(alone) < len(whole) / 2

@@ -11,6 +11,7 @@ from ..constants import CHECK_STATUSES
 from ..operators import analytics, exports, intake, ocr, persistence, readmodels, rules
 from ..operators.normalization import normalize_invoices
 from ..sources import files
+from ..sources.workspace import workspace
 from . import views
 from .pipeline import process
 from .queries_core import _detail, _fixed, _silver, _uploads
@@ -194,7 +195,7 @@ UNION ALL SELECT document_id, 'PERSISTENCE', 'SUCCESS', 'Invoice persisted; docu
   CASE WHEN vk IS NOT NULL AND row_number() OVER (PARTITION BY vk ORDER BY k) = 1 THEN 'true' ELSE 'false' END FROM vk""")
 def process_logs(spark, sf_dir):
     """Log rows of validation and persistence with what their payloads say."""
-    logs = process(views.extracted(spark, sf_dir))["processing_logs"]
+    logs = process(views.extracted(spark, sf_dir), saved=workspace(spark, "process"))["processing_logs"]
     read = lambda a, b: F.coalesce(F.get_json_object("payload", a), F.get_json_object("payload", b))
     return logs.select(
         "document_id", "stage", "status", "message", read("$.decision", "$.final_status").alias("outcome"), read("$.summary.passed", "$.line_item_count").cast("bigint").alias("n"), F.get_json_object("payload", "$.vendor_created").alias("created")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..constants import DIGITAL_PROBE_PAGES
 from ..functions.text import fit_budget
 from ..schemas import ANNOTATION, EXTRACTED, LLM_RESPONSE
 
+#: Files whose contents and texts a task holds as Python objects at once.
+FILES_AT_ONCE = 64
 CATALOGUE = "sku string, description string, category string, unit_price double, embedding string"
 
 
@@ -37,24 +40,28 @@ def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def read_text_layers(files: DataFrame, make_reader: Callable[[], PageReader]) -> DataFrame:
     """path, text, page_count, digital, error: non-empty stripped pages with an empty line between.
 
-    ``make_reader`` runs once a task. digital: any text in the first three pages. A file without text is an error, and
+    ``make_reader`` runs once a task, which reads ``FILES_AT_ONCE`` files and gives their texts on before the next. digital: any text in the first three pages. A file without text is an error, and
     one that can't be read as well; neither stops the job.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "text", "page_count", "digital", "error"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make_reader()
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    pages = [(p or "").strip() for p in reader(bytes(content))]
-                    text = "\n\n".join(p for p in pages if p)
-                    rows.append((path, text, len(pages), any(pages[:DIGITAL_PROBE_PAGES]), None if text else "no text layer"))
-                except Exception as e:  # whatever a reader raises becomes the file's error
-                    rows.append((path, None, 0, False, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=["path", "text", "page_count", "digital", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string, page_count int, digital boolean, error string")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FILES_AT_ONCE):
+                rows, few = [], batch.slice(lo, FILES_AT_ONCE)
+                for path, content in zip(few.column("path"), few.column("content"), strict=True):
+                    try:
+                        pages = [(p or "").strip() for p in reader(bytes(content.as_py()))]
+                        text = "\n\n".join(p for p in pages if p)
+                        rows.append((path.as_py(), text, len(pages), any(pages[:DIGITAL_PROBE_PAGES]), None if text else "no text layer"))
+                    except Exception as e:  # whatever a reader raises becomes the file's error
+                        rows.append((path.as_py(), None, 0, False, str(e)[:500]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, page_count int, digital boolean, error string")
 
 
 def structure_texts(texts: DataFrame, make_model: Callable[[], Model], system: str) -> DataFrame:

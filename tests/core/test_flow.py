@@ -249,3 +249,19 @@ def test_stream_keeps_known_vendors(spark, tmp_path):
     assert [(len(v), v[0]["created"], v[0]["phone"]) for v in got] == [(1, True, "1"), (1, False, "1"), (1, False, "1")]
     assert len({v[0]["id"] for v in got}) == 1
     assert sinks.read_latest(spark, str(tmp_path / "none"), "vendors") is None
+
+
+def test_text_layers_hold_few_files_at_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def make_reader():
+        def read(content):
+            with open(log, "a") as f:
+                f.write("x")
+            return [content.decode()]
+
+        return read
+
+    rows = spark.range(5000).selectExpr("cast(id as string) as path", "encode(repeat('y', 20000), 'UTF-8') as content").coalesce(1)
+    assert files.read_text_layers(rows, make_reader).limit(1).count() == 1
+    assert log.stat().st_size < 5000

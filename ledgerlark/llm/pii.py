@@ -4,11 +4,11 @@ Base patterns give spans of four kinds, checked by rule (parts of addresses, dig
 Beside them, generators of high recall propose overlapping spans: written-out mail addresses, dotted and colon-separated
 numbers, any formatted number of eight digits or more, however long, and runs of twenty letters and digits or more,
 which may be secrets (keys, tokens, passwords), a fifth kind without a base pattern. Boosted trees of depth two, fitted
-on a bounded sample of ``SAMPLE`` proposals to tell those that a rule confirms from the rest, score every proposal by its
+on one half of all proposals, counted by format, to tell those that a rule confirms from the rest, score every proposal by its
 format and context without seeing the rule itself (a card number with a typing error looks like a card number; a
 telephone number stays one where a rule took it with the digits that follow it; a token stays one where no name stands
 before it). The rule of a secret is that it is assigned to a name that says so; of others, that the base pattern takes
-them, read on their own. Thresholds for each kind are calibrated on the part of the sample not fitted on: the lowest score
+them, read on their own. Thresholds for each kind are calibrated on the other half: the lowest score
 from which ``PRECISION`` of proposals are confirmed; a kind that never gets there adds none by score. Spans at or above
 the threshold, and secrets that their names confirm, are added.
 
@@ -27,7 +27,7 @@ from .common import Scratch
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 SECRET = len(KINDS)
-SAMPLE, TREES, RATE, PRECISION, BLOCK = 20000, 10, 0.4, 0.9, 256
+TREES, RATE, PRECISION, BLOCK = 10, 0.4, 0.9, 256
 
 #: Leftmost, non-overlapping; the look-behind states what leftmost implies, and so spares the retries within a run.
 BASE = {
@@ -196,7 +196,7 @@ def _best_split(rows: DataFrame, trees: list, nodes: list[list]) -> list[tuple |
     node = F.lit(-1)
     for k, tests in enumerate(nodes):
         node = F.when(_path(F.col("x"), tests), k).otherwise(node)
-    flat = rows.select(node.alias("node"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"), F.posexplode("x").alias("f", "v")).where("node >= 0")
+    flat = rows.select(node.alias("node"), (F.col("n") * (F.col("y") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), F.posexplode("x").alias("f", "v")).where("node >= 0")
     sums: dict = {}
     for r in flat.groupBy("node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).orderBy("node", "f", "v").collect():  # at most nodes x features x 128
         sums.setdefault((r["node"], r["f"]), []).append((r["v"], r["g"], r["h"]))
@@ -239,7 +239,7 @@ def _thresholds(rows: DataFrame, trees: list) -> list[float]:
     """
     bins: dict[int, list] = {k: [] for k in range(len(ALL_KINDS))}
     step = F.floor(_margin(F.col("x"), trees) * 10).cast("int")
-    for r in rows.groupBy(F.col("x")[0].alias("kind"), step.alias("bin")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect():  # kinds x score steps
+    for r in rows.groupBy(F.col("x")[0].alias("kind"), step.alias("bin")).agg(F.sum(F.col("y") * F.col("n")).alias("y"), F.sum("n").alias("n")).collect():  # kinds x score steps
         bins[r["kind"]].append((r["bin"], r["y"], r["n"]))
     out = []
     for k in range(len(ALL_KINDS)):
@@ -252,6 +252,14 @@ def _thresholds(rows: DataFrame, trees: list) -> list[float]:
     return out
 
 
+def _formats(found: DataFrame) -> DataFrame:
+    """x, y, fit, n: how often proposals of each format occur, confirmed (y) or not, in either half of all proposals."""
+    each = found.select("doc_id", F.explode_outer("proposed").alias("p")).where("p is not null")
+    sure = (F.col("p.sure") | _confirmed(F.col("p.kind"), F.col("p.m"))).cast("int")
+    fit = F.xxhash64("doc_id", "p.start", "p.m") % 2 == 0
+    return each.groupBy(F.col("p.x").alias("x"), sure.alias("y"), fit.alias("fit")).agg(F.count("*").alias("n"))
+
+
 def find_personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, base and all: arrays of (start, kind, end) in code points, by start and kind, for every row of ``docs``.
 
@@ -262,13 +270,9 @@ def find_personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = text.select(*keep, _spans(F.col("text")).alias("base"), _proposals(F.col("text")).alias("proposed"))
     found = scratch.save(found, "found")
-    each = found.where("size(proposed) > 0").select("doc_id", F.explode("proposed").alias("p")).select(F.xxhash64("doc_id", "p.start", "p.m").alias("u"), "p.kind", "p.m", "p.x", "p.sure")
-    total = found.agg(F.sum(F.greatest(F.size("proposed"), F.lit(0)))).first()[0] or 0
-    if total > 2 * SAMPLE:  # only so many rows of low hash reach the one task that takes the lowest
-        each = each.where(F.col("u") < int(2**64 * (2 * SAMPLE / total)) - 2**63)
-    sample = scratch.save(each.orderBy("u", "x", "m").limit(SAMPLE).select("u", "x", (F.col("sure") | _confirmed(F.col("kind"), F.col("m"))).cast("int").alias("y")), "sample")
-    trees = _boost(sample.where("u % 2 = 0"))
-    limits = _thresholds(sample.where("u % 2 <> 0"), trees)
+    rows = scratch.save(_formats(found), "formats")
+    trees = _boost(rows.where("fit"))
+    limits = _thresholds(rows.where("not fit"), trees)
 
     def wanted(p: Column) -> Column:
         score = _margin(p["x"], trees)

@@ -656,3 +656,11 @@ def test_classifier_without_labels(spark):
     docs = frame(spark, [(1, "some text"), (2, None)])
     assert {r["score"] for r in quality.quality_scores(docs, none, F.lit(False)).collect()} == {0.5}
     assert all(r["score"] < 1e-6 for r in toxicity.toxicity_scores(docs, none, F.lit(False)).collect())
+
+
+def test_every_proposal_counts_for_trees_and_thresholds(spark):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('call 555 0', 100 + id % 800, ' ', 1000 + id % 9000) as text")
+    found = docs.select("doc_id", pii._proposals(F.col("text")).alias("proposed"))
+    proposed = found.agg(F.sum(F.size("proposed"))).first()[0]
+    rows = pii._formats(found).agg(F.sum("n"), F.count("*")).first()
+    assert proposed >= 30_000 and rows[0] == proposed and rows[1] < 1000

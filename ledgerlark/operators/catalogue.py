@@ -1,8 +1,10 @@
-"""Products for items by cosine: a stored index of inverted lists, joined to the items and checked exactly.
+"""Products for items by cosine: a stored index of inverted lists, compared with the items by blocks and checked exactly.
 
 ``build_index`` divides the unit vectors of a catalogue into lists around centres and writes two tables: ``products``
-(sorted by list) and ``lists`` (centre, size, and the widest angle between the centre and a product of the list).
-``match_items`` sends an item to lists, joins both sides by list in numpy blocks, and keeps the best product of each item.
+(blocks of vectors in the order of their lists) and ``lists`` (centre, size, and the widest angle between the centre and
+a product of the list). ``match_items`` stores the items as blocks too and takes all pairs of an item block and a product
+block: both are read from their tables, so a vector is shuffled and written once, whatever it is compared with. In a
+pair, each list meets the items within reach in numpy, and the best product of each item stays.
 
 Vectors that are null, empty, zero or not finite, or whose length is not the catalogue's commonest one, match nothing
 and are not indexed.
@@ -10,6 +12,7 @@ and are not indexed.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.workspace import workspace
+
 LEAST = 0.92
 #: Bounds of what passes through the driver: the sample that centres are trained on, and the centres.
 SAMPLE_BYTES, CENTRE_BYTES = 64 << 20, 32 << 20
-#: Rows of a list that meet in one matrix product, of each side.
-PRODUCT_BLOCK, ITEM_BLOCK = 4096, 8192
+#: Rows of a stored block of each side, bounded in bytes of vectors as well.
+PRODUCT_BLOCK, ITEM_BLOCK, BLOCK_BYTES = 4096, 8192, 4 << 20
+#: Bytes of vectors in a stored partition: at most the first, and at least the second while there are fewer than SPREAD.
+PART_BYTES, LEAST_BYTES, SPREAD = 32 << 20, 2 << 20, 16
 
 
 def _unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +50,8 @@ def _vectors(unit: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(unit).ravel()))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def train_centres(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -59,6 +66,43 @@ def train_centres(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarra
     return centres
 
 
+def _store(rows: DataFrame, key: str, centres: np.ndarray, n: int, most: int, path: str, rank: int = 1) -> None:
+    """Writes about ``n`` rows (``key``, v) as blocks of at most ``most`` rows to ``path``: ids, lists, cosines, v.
+
+    Each partition is in the order of the nearest lists and the ids. ``cosines`` are those with the centre that is
+    ``rank``-th near; ``v`` has the unit rows as bytes.
+    """
+    kind, width = rows.schema[key].dataType.simpleString(), centres.shape[1]
+    shape = f"ids array<{kind}>, lists array<int>, cosines array<double>, v binary"
+    most, size = max(1, min(most, BLOCK_BYTES // (8 * max(1, width)))), 8 * n * width
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, unit = _unit_rows(batch.column("v"), width)
+            for lo in range(0, len(keep), 1024):
+                own = unit[lo : lo + 1024]
+                cosine = own @ centres.T
+                near, last = cosine.argmax(axis=1), np.partition(cosine, -rank, axis=1)[:, -rank]
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(key).take(pa.array(keep[lo : lo + 1024])), pa.array(last), _vectors(own)], ["list", "id", "cosine", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = np.linspace(0, len(batch), -(-len(batch) // most) + 1).astype(int).tolist()
+            for lo, hi in itertools.pairwise(cuts):
+                own = batch.slice(lo, hi - lo)
+                columns = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), own.column(c)) for c in ("id", "list", "cosine")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([_matrix(own.column("v"), width).tobytes()], pa.binary())], ["ids", "lists", "cosines", "v"])
+
+    if len(centres):
+        parts = max(1, -(-size // PART_BYTES), min(SPREAD, -(-size // LEAST_BYTES)))
+        assigned = rows.select(key, "v").mapInArrow(assign, f"list int, id {kind}, cosine double, v array<double>")
+        blocks = assigned.repartitionByRange(parts, "list", "id").sortWithinPartitions("list", "id").mapInArrow(pack, shape)
+    else:
+        blocks = rows.sparkSession.createDataFrame([], shape)
+    # as large in the file as in memory, so that the bytes of a partition that is read bound its memory
+    blocks.write.mode("overwrite").option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+
+
 def build_index(products: DataFrame, path: str, lists: int | None = None) -> None:
     """Writes the index of ``products(product_id, v)`` to ``path``.
 
@@ -74,21 +118,9 @@ def build_index(products: DataFrame, path: str, lists: int | None = None) -> Non
     rows = vectors.where(F.size("v") == width).orderBy(F.xxhash64("product_id"), "product_id").limit(max(1, SAMPLE_BYTES // (8 * max(1, width))))
     _, sample = _unit_rows(rows.toArrow().column("v").combine_chunks(), width) if n else (None, np.zeros((0, 0)))
     centres = train_centres(sample, min(lists, len(sample))) if len(sample) else sample
-    kind = products.schema["product_id"].dataType.simpleString()
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, unit = _unit_rows(batch.column("v"), width)
-            if len(keep):
-                cosine = unit @ centres.T
-                near = cosine.argmax(axis=1)
-                angle = np.arccos(np.clip(cosine[np.arange(len(near)), near], -1, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column("product_id").take(pa.array(keep)), _vectors(unit), pa.array(angle)], ["list", "product_id", "v", "angle"])
-
-    assigned = vectors.mapInArrow(assign, f"list int, product_id {kind}, v array<double>, angle double") if len(centres) else vectors.limit(0).select(F.lit(0).alias("list"), "product_id", F.col("v").cast("array<double>").alias("v"), F.lit(0.0).alias("angle"))
-    assigned.repartitionByRange("list", "product_id").sortWithinPartitions("list").write.mode("overwrite").parquet(f"{path}/products")
-    stored = products.sparkSession.read.parquet(f"{path}/products")
-    sizes = stored.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("angle"))
+    _store(vectors, "product_id", centres, n, PRODUCT_BLOCK, f"{path}/products")
+    stored = products.sparkSession.read.parquet(f"{path}/products").select(F.explode(F.arrays_zip("lists", "cosines")).alias("p"))
+    sizes = stored.groupBy(F.col("p.lists").alias("list")).agg(F.count("*").alias("n"), F.acos(F.least(F.min("p.cosines"), F.lit(1.0))).alias("angle"))
     shape = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("centre", T.ArrayType(T.DoubleType()))])
     centre = products.sparkSession.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], shape)
     sizes.join(centre, "list").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
@@ -100,58 +132,58 @@ def match_items(items: DataFrame, path: str, least: float = LEAST, probes: int |
     With ``probes`` an item is compared with that many lists, those of the nearest centres; without, with every list
     that can hold a match, as the angle to its centre is at most the widest angle in the list and that of ``least``: no
     match is missed then. A product whose id is the item's own is no match. Of equal cosines (to nine places) the smallest
-    id wins. A list of very many products or items is cut into blocks of both.
+    id wins. The items' blocks are written once, to a new table in the shared folder.
     """
     spark: SparkSession = items.sparkSession
     lists = spark.read.parquet(f"{path}/lists").orderBy("list").toArrow()  # bounded by CENTRE_BYTES
-    ids, sizes = lists.column("list").to_numpy(), lists.column("n").to_numpy()
-    width = len(lists.column("centre")[0]) if len(ids) else 0
-    centres = _matrix(lists.column("centre"), width) if len(ids) else np.zeros((0, 0))
-    reach = lists.column("angle").to_numpy() + np.arccos(least) + 1e-9
-    kinds = {"item_id": items.schema["item_id"].dataType.simpleString(), "product_id": spark.read.parquet(f"{path}/products").schema["product_id"].dataType.simpleString()}
+    ids = lists.column("list").to_numpy()
+    known = spark.read.parquet(f"{path}/products").select(F.col("ids").alias("product_ids"), "lists", F.col("v").alias("products"))
+    kinds = {"item_id": items.schema["item_id"].dataType.simpleString(), "product_id": known.schema["product_ids"].dataType.elementType.simpleString()}
     out = f"item_id {kinds['item_id']}, product_id {kinds['product_id']}, cosine double"
     if not len(ids):
         return spark.createDataFrame([], out)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = len(lists.column("centre")[0])
+    centres = _matrix(lists.column("centre").combine_chunks(), width)
+    # the least cosine between a centre and an item that can match in its list, a little less as acos is inexact near 1
+    reach = np.cos(np.minimum(np.pi, lists.column("angle").to_numpy() + np.arccos(least) + 1e-6))
+
+    def best(row: dict[str, pa.Scalar]) -> pa.RecordBatch:
+        products, unit = (np.frombuffer(row[c].as_buffer()).reshape(-1, width) for c in ("products", "items"))
+        held = row["lists"].values.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
+        place = np.searchsorted(ids, held[cuts[:-1]])
+        near = unit @ centres[place].T
+        meets = near >= (reach[place] if probes is None else row["cosines"].values.to_numpy()[:, None] - 1e-12)
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+            within, names = np.flatnonzero(meets[:, k]), {}
+            for at in range(0, len(within), 1024):
+                own = within[at : at + 1024]
+                cosine = unit[own] @ products[lo:hi].T
+                some = np.flatnonzero(cosine.max(axis=1) >= least - 1e-9)
+                if not len(some):
+                    continue
+                own, cosine = own[some], np.round(cosine[some], 9)
+                codes = np.array([names.setdefault(x, len(names)) for x in row["product_ids"].values[lo:hi].to_pylist()])
+                same = np.array([names.get(x, -1) for x in row["item_ids"].values.take(pa.array(own)).to_pylist()])
+                cosine[codes[None, :] == same[:, None]] = -2.0
+                top = cosine.argmax(axis=1)  # of equal ones the first, which has the smallest id
+                value = cosine[np.arange(len(top)), top]
+                hit = np.flatnonzero(value >= least)
+                found.append((own[hit], lo + top[hit], value[hit]))
+        item, product, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([row["item_ids"].values.take(pa.array(item)), row["product_ids"].values.take(pa.array(product)), pa.array(value)], ["item_id", "product_id", "cosine"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, unit = _unit_rows(batch.column("v"), width)
-            cosine = unit @ centres.T
-            if probes is None:
-                item, near = np.nonzero(np.arccos(np.clip(cosine, -1, 1)) <= reach)
-            else:
-                near = np.argsort(-cosine, axis=1, kind="stable")[:, :probes]
-                item, near = np.repeat(np.arange(len(unit)), near.shape[1]), near.ravel()
-            for lo in range(0, len(item), ITEM_BLOCK):
-                own = slice(lo, lo + ITEM_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[near[own]], pa.int32()), batch.column("item_id").take(pa.array(keep[item[own]])), _vectors(unit[item[own]])], ["list", "item_id", "v"])
-
-    def best(products: pa.Table, wanted: pa.Table) -> pa.Table:
-        empty = pa.table({"item_id": wanted.column("item_id").slice(0, 0), "product_id": products.column("product_id").slice(0, 0), "cosine": pa.array([], pa.float64())})
-        if not (len(products) and len(wanted)):
-            return empty
-        products = products.sort_by("product_id").combine_chunks()
-        known, (matrix, unit) = products.column("product_id"), (_matrix(t.column("v"), width) for t in (products, wanted))
-        parts, names = [empty], np.array(known.to_pylist(), object)
-        for lo in range(0, len(unit), 1024):
-            own = wanted.column("item_id").slice(lo, 1024)
-            cosine = np.round(unit[lo : lo + 1024] @ matrix.T, 9)
-            cosine[names[None, :] == np.array(own.to_pylist(), object)[:, None]] = -2.0
-            top = cosine.argmax(axis=1)
-            value = cosine[np.arange(len(top)), top]
-            hit = np.flatnonzero(value >= least)
-            parts.append(pa.table({"item_id": own.take(pa.array(hit)), "product_id": known.take(pa.array(top[hit])), "cosine": pa.array(value[hit])}))
-        return pa.concat_tables(parts)
-
-    routed = items.select("item_id", "v").mapInArrow(route, f"list int, item_id {kinds['item_id']}, v array<double>")
-    shares = routed.groupBy("list").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("items"))
-    cuts = {r["list"]: r["items"] for r in shares.collect()}  # a row a list
-    cut = spark.createDataFrame([(int(k), int(-(-n // PRODUCT_BLOCK)), cuts.get(int(k), 0)) for k, n in zip(ids, sizes, strict=True)], "list int, products int, items int").where("items > 0")
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = spark.read.parquet(f"{path}/products").join(F.broadcast(cut), "list").withColumn("p", part("product_id", "products")).withColumn("i", every("items")).select("list", "p", "i", "product_id", "v")
-    right = routed.join(F.broadcast(cut), "list").withColumn("i", part("item_id", "items")).withColumn("p", every("products")).select("list", "p", "i", "item_id", "v")
-    found = left.groupBy("list", "p", "i").cogroup(right.groupBy("list", "p", "i")).applyInArrow(best, out)
+            for k in range(len(batch)):
+                yield best({c: batch.column(c)[k] for c in batch.schema.names})
+
+    n, own = items.where(F.size("v") == width).count(), workspace(spark, "items")
+    _store(items, "item_id", centres, n, ITEM_BLOCK, own, min(probes or 1, len(ids)))
+    wanted = spark.read.parquet(own).select(F.col("ids").alias("item_ids"), "cosines", F.col("v").alias("items"))
+    # a product of partitions as they are stored: a task reads one of each side, and nothing is shuffled or broadcast
+    found = wanted.crossJoin(known.hint("shuffle_replicate_nl")).mapInArrow(compare, out)
     top = found.groupBy("item_id").agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "product_id")).alias("b"))
     return top.select("item_id", "b.product_id", (-F.col("b.neg")).alias("cosine"))
 

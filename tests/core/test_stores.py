@@ -159,6 +159,40 @@ def test_equal_products_and_own_id(spark, tmp_path):
     assert [tuple(r) for r in catalogue.match_items(items, str(tmp_path / "index")).collect()] == [("i1", "p1", 1.0)]
 
 
+def shuffled(spark):
+    """Bytes that the stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_matching_shuffles_no_more_than_the_input_grows(spark, tmp_path):
+    """Each vector is shuffled once, however many lists are within reach."""
+    rng, moved = np.random.default_rng(5), []
+    for n in (1500, 6000):
+        path, v = str(tmp_path / f"v{n}"), rng.normal(size=(n, 32))
+        spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "item_id long, v array<double>").write.parquet(path)
+        items, before = spark.read.parquet(path), shuffled(spark)
+        catalogue.build_index(items.select((-F.col("item_id") - 1).alias("product_id"), "v"), f"{path}-index")
+        assert catalogue.match_items(items, f"{path}-index").where("product_id = -item_id - 1").count() == n
+        moved.append(shuffled(spark) - before)
+        assert moved[-1] < 4 * v.nbytes
+    assert moved[1] < 4.5 * moved[0]
+
+
+def test_copies_in_many_blocks_and_matches_at_the_limit(spark, tmp_path, monkeypatch):
+    """Equal products fill several blocks of one list: the smallest other id wins. A cosine that rounds to the limit counts."""
+    monkeypatch.setattr(catalogue, "PRODUCT_BLOCK", 64)
+    monkeypatch.setattr(catalogue, "ITEM_BLOCK", 50)
+    products = spark.createDataFrame([(k, [3.0, 4.0]) for k in range(500)] + [(900, [0.0, -1.0])], "product_id long, v array<double>").repartition(4)
+    edge = [float(0.92 - 4e-10), float(np.sqrt(1 - (0.92 - 4e-10) ** 2))]
+    items = spark.createDataFrame([(k, [6.0, 8.0]) for k in range(300)] + [(901, [edge[1], -edge[0]]), (902, [1.0, 0.0])], "item_id long, v array<double>")
+    catalogue.build_index(products, str(tmp_path / "index"), lists=2)
+    found = {r["item_id"]: (r["product_id"], r["cosine"]) for r in catalogue.match_items(items, str(tmp_path / "index")).collect()}
+    assert found == {0: (1, 1.0), **{k: (0, 1.0) for k in range(1, 300)}, 901: (900, 0.92)}
+
+
 def landed(rows, *names):
     return sorted(tuple(bytes(r[c]) if c == "content" else r[c] for c in names) for r in rows)
 

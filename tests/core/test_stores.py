@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerlark.operators import catalogue, documents, ocr
 from ledgerlark.sources import files, landing
 from ledgerlark.sources.versioned import VersionedTable
@@ -181,6 +182,15 @@ def test_matching_shuffles_no_more_than_the_input_grows(spark, tmp_path):
     assert moved[1] < 4.5 * moved[0]
 
 
+@pytest.mark.parametrize("name", ["sku_match_rate"])
+def test_queries_of_the_index_shuffle_vectors_once(spark, tmp_path, name):
+    v = np.random.default_rng(6).normal(size=(2400, 64))
+    spark.createDataFrame([(k, x, k % 3) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled(spark)
+    assert entry.queries()[name](spark, str(tmp_path)).collect()
+    assert shuffled(spark) - before < 4 * v.nbytes
+
+
 def test_copies_in_many_blocks_and_matches_at_the_limit(spark, tmp_path, monkeypatch):
     """Equal products fill several blocks of one list: the smallest other id wins. A cosine that rounds to the limit counts."""
     monkeypatch.setattr(catalogue, "PRODUCT_BLOCK", 64)

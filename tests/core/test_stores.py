@@ -182,7 +182,7 @@ def test_matching_shuffles_no_more_than_the_input_grows(spark, tmp_path):
     assert moved[1] < 4.5 * moved[0]
 
 
-@pytest.mark.parametrize("name", ["sku_match_rate"])
+@pytest.mark.parametrize("name", ["sku_match_rate", "unmatched_items"])
 def test_queries_of_the_index_shuffle_vectors_once(spark, tmp_path, name):
     v = np.random.default_rng(6).normal(size=(2400, 64))
     spark.createDataFrame([(k, x, k % 3) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,34 @@ def test_queries_of_the_index_shuffle_vectors_once(spark, tmp_path, name):
     assert shuffled(spark) - before < 4 * v.nbytes
 
 
+def moved(spark):
+    """Bytes that the stages so far have shuffled, spilled and written."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in map(stages.apply, range(stages.size())))
+
+
+@pytest.mark.parametrize("name", ["sku_match_rate"])
+def test_queries_of_the_index_move_in_proportion_to_the_input(spark, tmp_path, name):
+    """A third of the vectors are copies of one; results are those of SQL."""
+    rng, bytes_ = np.random.default_rng(7), []
+    for n in (800, 3200):
+        v = rng.normal(size=(n, 64))
+        v[::3] = v[0]
+        path = f"{tmp_path}/{n}/embeddings.parquet"
+        spark.createDataFrame([(k, x, k % 3) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(path)
+        before = moved(spark)
+        got = entry.queries()[name](spark, f"{tmp_path}/{n}")
+        rows = sorted(map(tuple, got.collect()))
+        bytes_.append(moved(spark) - before)
+        if n == 800:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+            assert rows == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+    assert bytes_[1] < 4.5 * bytes_[0]
+
+
 def test_copies_in_many_blocks_and_matches_at_the_limit(spark, tmp_path, monkeypatch):
     """Equal products fill several blocks of one list: the smallest other id wins. A cosine that rounds to the limit counts."""
     monkeypatch.setattr(catalogue, "PRODUCT_BLOCK", 64)

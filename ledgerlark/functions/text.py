@@ -48,11 +48,27 @@ def known_currency(code: Column) -> Column:
     return code.isin(*CURRENCIES)
 
 
-def fit_budget(c: Column, tokens: int = TEXT_BUDGET_TOKENS) -> Column:
-    """Struct of the text cut to the budget with a mark at its end, and whether it was cut."""
+def char_count(c: Column) -> Column:
+    """What ``F.length`` gives, without its walk from character to character where all are ASCII and bytes are as many.
+
+    Latin-1 reads every byte as a character and each but ASCII takes two bytes again, so only ASCII keeps its size.
+    """
+    octets = F.octet_length(c)
+    ascii_only = F.octet_length(F.decode(c.cast("binary"), "ISO-8859-1")) == octets
+    return F.when(ascii_only, octets).otherwise(F.length(c))
+
+
+def first_chars(c: Column, n: int, chars: Column) -> Column:
+    """The first n characters of a text of ``chars`` characters: cut by bytes where these are as many."""
+    return F.when(F.octet_length(c) == chars, F.substring(c.cast("binary"), 1, n).cast("string")).otherwise(F.substring(c, 1, n))
+
+
+def fit_budget(c: Column, tokens: int = TEXT_BUDGET_TOKENS, chars: Column | None = None) -> Column:
+    """Struct of the text cut to the budget with a mark at its end, and whether it was cut; ``chars``: its length, where known."""
     limit = tokens * CHARS_PER_TOKEN
-    over = F.length(c) > limit
-    cut = F.concat(F.substring(c, 1, limit - len(TRUNCATION_MARK)), F.lit(TRUNCATION_MARK))
+    known = char_count(c) if chars is None else chars
+    over = known > limit
+    cut = F.concat(first_chars(c, limit - len(TRUNCATION_MARK), known), F.lit(TRUNCATION_MARK))
     return F.struct(F.when(over, cut).otherwise(c).alias("text"), F.coalesce(over, F.lit(False)).alias("truncated"))
 
 

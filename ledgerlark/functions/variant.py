@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CHOICES = "array<variant>"
+from .numbers import bound
+
+_CHOICES, _FIELDS = "array<variant>", "map<string,variant>"
 
 
 def without_parsed(response: Column) -> Column:
@@ -14,20 +16,29 @@ def without_parsed(response: Column) -> Column:
     Everything else stays whatever its shape: other keys come in the order of their names. Null where the text is no
     JSON object; a response without choices, or with messages that are no objects, is only written anew.
     """
-    v = F.try_parse_json(response)
-    fields = F.try_variant_get(v, "$", "map<string,variant>")
-    choices = F.transform(F.try_variant_get(v, "$.choices", _CHOICES), _stripped_choice)
-    kept = F.map_filter(fields, lambda k, _: k != "choices")
-    whole = F.when(choices.isNull(), fields).otherwise(F.map_concat(kept, F.map_from_arrays(F.array(F.lit("choices")), F.array(F.to_variant_object(choices)))))
-    return F.when(fields.isNotNull(), F.to_json(F.to_variant_object(_sorted(whole))))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    parts = lambda v: F.struct(get(v, "$", _FIELDS).alias("fields"), get(v, "$.choices", _CHOICES).alias("choices"))
+
+    def written(p: Column) -> Column:
+        choices = F.transform(p["choices"], _stripped_choice)
+        kept = F.map_filter(p["fields"], lambda k, _: k != "choices")
+        less = F.map_concat(kept, F.map_from_arrays(F.array(F.lit("choices")), F.array(F.to_variant_object(choices))))
+        whole = F.when(p["choices"].isNull(), p["fields"]).otherwise(less)
+        return F.when(p["fields"].isNotNull(), F.to_json(F.to_variant_object(_sorted(whole))))
+
+    # Bound: a text is parsed, and its parts are taken, once for all that ask for them.
+    return bound(F.try_parse_json(response), lambda v: bound(parts(v), written))
 
 
 def _stripped_choice(choice: Column) -> Column:
-    fields = F.try_variant_get(choice, "$", "map<string,variant>")
-    message = F.try_variant_get(choice, "$.message", "map<string,variant>")
-    less = F.to_variant_object(F.map_filter(message, lambda k, _: k != "parsed"))
-    rest = F.map_filter(fields, lambda k, _: k != "message")
-    return F.when(message.isNull(), choice).otherwise(F.to_variant_object(F.map_concat(rest, F.map_from_arrays(F.array(F.lit("message")), F.array(less)))))
+    message = F.try_variant_get(choice, "$.message", _FIELDS)
+
+    def less(m: Column) -> Column:
+        rest = F.map_filter(F.try_variant_get(choice, "$", _FIELDS), lambda k, _: k != "message")
+        own = F.to_variant_object(F.map_filter(m, lambda k, _: k != "parsed"))
+        return F.when(m.isNull(), choice).otherwise(F.to_variant_object(F.map_concat(rest, F.map_from_arrays(F.array(F.lit("message")), F.array(own)))))
+
+    return bound(message, less)
 
 
 def _sorted(fields: Column) -> Column:

@@ -254,12 +254,16 @@ def with_decision(checked: DataFrame, threshold: float = REVIEW_THRESHOLD) -> Da
     counted = checked
     for status in ("passed", "failed", "warning", "skipped"):
         counted = counted.withColumn(f"n_{status}", F.size(F.filter("checks", _has(status.upper()))))
-    scored = _scored(counted)
+    return with_reasons(_scored(counted), threshold).withColumn("decision", F.when(F.size("review_reasons") == 0, "VALIDATED").otherwise("REVIEW_REQUIRED"))
+
+
+def with_reasons(scored: DataFrame, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
+    """Adds review reasons to rows that have checks and confidence."""
     low = F.col("confidence.composite") < threshold
     reasons = F.transform(F.filter("checks", _has("FAILED")), lambda c: F.concat(c["name"], F.lit(": "), F.coalesce(F.nullif(c["message"], F.lit("")), F.lit("check failed"))))
     sentence = F.format_string(f"Composite confidence %.4f is below the {threshold} review threshold.", F.col("confidence.composite"))
     reasons = F.when(low, F.array_append(reasons, sentence)).otherwise(reasons)
-    return scored.withColumn("review_reasons", reasons).withColumn("decision", F.when(F.size("review_reasons") == 0, "VALIDATED").otherwise("REVIEW_REQUIRED"))
+    return scored.withColumn("review_reasons", reasons)
 
 
 def _has(status: str):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STAGES
 from ..functions.numbers import estimated_cost
+from ..functions.text import char_count
 from ..functions.variant import without_parsed
 from ..operators import persistence
 from ..settings import Settings
@@ -34,10 +35,11 @@ def extract(uploads: DataFrame, texts: DataFrame) -> DataFrame:
 
     No row of texts, or an empty text, is an error like one that the reader met.
     """
-    rows = uploads.join(texts.withColumnRenamed("error", "_why").withColumn("_there", F.lit(True)), "document_id", "left")
+    # Uploads are hashed: to merge them, texts would be sorted, and a table of long texts looks small enough to broadcast.
+    rows = uploads.hint("shuffle_hash").join(texts.withColumnRenamed("error", "_why").withColumn("_there", F.lit(True)), "document_id", "left")
     empty = F.coalesce(F.trim("text"), F.lit("")) == ""
     why = F.when(F.col("_there").isNull(), "No extraction result.").otherwise(F.coalesce("_why", F.when(empty, "No text found on the document.")))
-    return rows.withColumn("error", failed("ERR_OCR_FAILED", why)).withColumn("text_chars", F.length("text")).drop("_why", "_there")
+    return rows.withColumn("error", failed("ERR_OCR_FAILED", why)).withColumn("text_chars", char_count(F.col("text"))).drop("_why", "_there")
 
 
 def provider_error(status: Column, fault: Column, finish: Column, refusal: Column, parsed: Column) -> Column:
@@ -65,7 +67,7 @@ def structure(extracted: DataFrame, answer: Callable[[DataFrame], DataFrame], se
     its first message's content; fault is "timeout" or what broke the connection. A document without an answer is one
     that the provider could not be reached for.
     """
-    asked = files.prompts(extracted.drop("error"))
+    asked = files.prompts(extracted.drop("error"), chars="text_chars")
     said = answer(asked.select("document_id", "prompt")).withColumn("_there", F.lit(True))
     rows = asked.drop("text", "prompt").join(said, "document_id", "left").withColumn("content", F.get_json_object("response", "$.choices[0].message.content"))
     rows = files.parse_extractions(rows, "content").withColumn("prompt_version", F.lit(settings.prompt_version)).withColumn("raw_extraction_json", without_parsed(F.col("response")))
@@ -153,7 +155,7 @@ def run_chain(uploads: DataFrame, texts: DataFrame, answer: Callable[[DataFrame]
         with_text = going
         going = split(AI, stage(AI, lambda: structure(with_text, answer, s)))
         logs.append(ai_logs(going))
-        tables["extractions"] = going.join(with_text.select("document_id", "text"), "document_id").select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
+        tables["extractions"] = going.hint("shuffle_hash").join(with_text.select("document_id", "text"), "document_id").select("document_id", "text", "source_type", "raw_extraction_json", "model", "prompt_version")
     if last >= STAGES.index(VALIDATION):
         tables |= process(going.withColumn("ocr_confidence", F.col("mean_confidence")), s, stored_vendors, f"{root}/{VALIDATION.lower()}")
         logs.append(tables["processing_logs"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intake, persistence, vendors
 from ..operators.normalization import normalize_invoices
-from ..operators.rules import decide, validate
+from ..operators.rules import decide, validate, with_checks, with_reasons
 from ..settings import Settings
 
 
@@ -25,16 +25,18 @@ def process(extracted: DataFrame, settings: Settings | None = None, stored_vendo
 
     Rows whose values don't fit the stored columns leave nothing but a failed status and a failure log, and create no
     vendor. Nothing is collected; the vendor key is the only shuffle besides the writes. Every frame returned reads the
-    validated rows: with ``saved``, a shared folder, they are written there once and not computed for each frame anew;
-    without, only the logs build the checks, as the other frames need no more than the decision.
+    decided rows: with ``saved``, a shared folder, they are written there once and not computed for each frame anew. Only
+    the logs build the checks, as the other frames need no more than the decision.
     """
     s = settings or Settings()
     normal = normalize_invoices(extracted, ("document_id", "ord", "ocr_confidence")).withColumn("persistable", persistence.persistable())
-    checked = validate(normal, s.tolerance, s.review_threshold)
     silver = decide(normal, s.tolerance, s.review_threshold)
     if saved:
-        checked.write.mode("overwrite").option("compression", "zstd").parquet(saved)
-        silver = checked = checked.sparkSession.read.schema(checked.schema).parquet(saved)
+        silver.write.mode("overwrite").option("compression", "zstd").parquet(saved)
+        silver = silver.sparkSession.read.schema(silver.schema).parquet(saved)
+        checked = with_reasons(with_checks(silver, s.tolerance), s.review_threshold)
+    else:
+        checked = validate(normal, s.tolerance, s.review_threshold)
     good, bad = silver.where("persistable"), silver.where("not persistable")
     keyed = vendors.new_vendor_rows(good)
     status = good.select("document_id", persistence.final_status(F.col("decision")).alias("status"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers, variant
+from ..functions.text import char_count
 from ..operators import analytics, catalogue, costs, documents, ocr, stock, terms
 from ..sources import files, sinks
 from ..sources.workspace import workspace
@@ -280,7 +281,7 @@ def _chain(spark: SparkSession, sf_dir: str, root: str | None = None, **stages:
         model = F.element_at(F.array(*map(F.lit, _MODELS)), (k % 3 + 1).cast("int"))
         message = F.struct(F.when(k % 29 != 0, F.col("content")).alias("content"), F.struct(F.lit(1).alias("twice")).alias("parsed"))
         response = F.to_json(F.struct(F.concat(F.lit("r"), k).alias("id"), F.array(F.struct(finish.alias("finish_reason"), message.alias("message"))).alias("choices")))
-        sized = asked.select("document_id", F.length("prompt").alias("input_tokens"))  # before the joins, which would move the prompts
+        sized = asked.select("document_id", char_count(F.col("prompt")).alias("input_tokens"))  # before the joins, which would move the prompts
         rows = sized.join(o.where("o_orderkey % 97 <> 0").select("document_id", "o_orderkey"), "document_id").join(record, "document_id")
         return rows.select("document_id", response.alias("response"), F.concat(F.lit("r"), k).alias("request_id"), model.alias("model"), finish.alias("finish_reason"), "input_tokens", (k % 700).cast("int").alias("output_tokens"), (k % 3000).cast("int").alias("latency_ms"), F.when(k % 23 == 0, "no").alias("refusal"), status.alias("http_status"), fault.alias("fault"))
 

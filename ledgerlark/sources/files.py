@@ -97,10 +97,10 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("embedding", F.from_json("embedding", "array<float>"))
 
 
-def prompts(texts: DataFrame, source_type: str = "source_type") -> DataFrame:
-    """Adds prompt and truncated to ``texts(text, source_type)``."""
+def prompts(texts: DataFrame, source_type: str = "source_type", chars: str | None = None) -> DataFrame:
+    """Adds prompt and truncated to ``texts(text, source_type)``; with ``chars``, a column of the texts' lengths, truncated reads no text."""
     note = F.when(F.coalesce(source_type, F.lit("")) != "", F.concat(F.lit(" (extraction method: "), F.col(source_type), F.lit(")"))).otherwise("")
-    fitted = texts.withColumn("_fit", fit_budget(F.col("text")))
+    fitted = texts.withColumn("_fit", fit_budget(F.col("text"), chars=None if chars is None else F.col(chars)))
     body = F.concat(F.lit("Extract structured invoice data from the following document text"), note, F.lit(".\n\n<document>\n"), F.col("_fit.text"), F.lit("\n</document>"))
     return fitted.withColumn("prompt", body).withColumn("truncated", F.col("_fit.truncated")).drop("_fit")
 

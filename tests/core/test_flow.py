@@ -125,6 +125,19 @@ def test_text_budget(spark):
     assert [(len(r["f"]["text"] or ""), r["f"]["truncated"]) for r in got] == [(24000, False), (24000, True), (0, False)]
 
 
+def test_characters_are_counted_by_bytes_only_where_they_are_as_many(spark):
+    texts = ["", "plain " * 9, "é" * 12, "tail é", "\U0001f600 and more, é", "x" * 30 + "é", " ", "\n" * 20]
+    raw = [bytearray(t.encode()) for t in texts] + [bytearray(b"\xff\x80 not valid \xe2\x82"), None]
+    rows = spark.createDataFrame([(r,) for r in raw], "b binary").select(F.col("b").cast("string").alias("t"))
+    n = text.char_count(F.col("t"))
+    assert rows.where(~n.eqNullSafe(F.length("t"))).count() == 0
+    cut = text.first_chars(F.col("t"), 5, n)
+    assert rows.where(F.length("t") > 5).where(~cut.cast("binary").eqNullSafe(F.substring("t", 1, 5).cast("binary"))).count() == 0
+    long = spark.createDataFrame([("é" * 24001,), ("x" * 24000 + "é",)], "t string").withColumn("n", F.length("t"))
+    fitted = long.select(text.fit_budget(F.col("t")).alias("a"), text.fit_budget(F.col("t"), chars=F.col("n")).alias("b")).collect()
+    assert [r["a"] for r in fitted] == [r["b"] for r in fitted] and {len(r["a"]["text"]) for r in fitted} == {24000}
+
+
 def _word(w, conf, vertices):
     return {"symbols": [{"text": c} for c in w], "confidence": conf, "boundingBox": None if vertices is None else {"vertices": vertices}}
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import variant
 from ledgerlark.operators import costs, readmodels, stock, terms
 from ledgerlark.plans import chain, guard, history
+from ledgerlark.plans.pipeline import process
+from ledgerlark.settings import Settings
 from ledgerlark.sources import files, sinks
 
 from .test_rules import invoice
@@ -157,6 +159,45 @@ def test_chain_stores_texts_once(spark, tmp_path):
     assert files_ and all(".zstd." in f for f in files_)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chain_reads_texts_for_the_prompts_alone(spark, tmp_path):
+    (uploads, texts), model, _ = chain_parts(spark)
+    chain.run_chain(uploads, texts, model, str(tmp_path / "run"), end="TEXT_EXTRACTION")
+    stored = spark.read.parquet(str(tmp_path / "run" / "text_extraction")).where("error is null")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], ANSWERS).schema if f.name not in ("document_id", "input_tokens")]
+    rows = chain.structure(stored, lambda asked: asked.select("document_id", F.length("prompt").alias("input_tokens"), *empty), Settings())
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
+    try:
+        read = [x.split(">")[0] for x in plan_of(rows).split("ReadSchema: struct<")[1:]]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert sorted("text:string" in x for x in read) == [False, True]
+    got = {r["document_id"]: (r["truncated"], r["input_tokens"]) for r in rows.collect()}
+    assert {d: t for d, (t, _) in got.items()} == {"d0": False, "d1": False, "d5": True, "d6": True, "d7": True}
+    assert got["d5"][1] - got["d0"][1] == 24000 - len("text")
+
+
+def test_chain_neither_sorts_nor_broadcasts_texts(spark):
+    (uploads, texts), _, _ = chain_parts(spark)
+    plan = plan_of(chain.extract(uploads, texts))
+    assert "ShuffledHashJoin" in plan and "BuildLeft" in plan
+    assert "SortMergeJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_chain_builds_checks_for_the_logs_alone(spark, tmp_path):
+    (uploads, texts), model, _ = chain_parts(spark)
+    tables = chain.run_chain(uploads, texts, model, str(tmp_path / "run"))
+    stored = spark.read.parquet(str(tmp_path / "run" / "validation"))
+    assert {"decision", "confidence", "line_items"} <= set(stored.columns) and not {"checks", "review_reasons"} & set(stored.columns)
+    good = spark.read.parquet(str(tmp_path / "run" / "ai_structuring")).where("error is null").withColumn("ocr_confidence", F.col("mean_confidence"))
+    plain = logged(process(good))
+    assert plain and {k: v for k, v in logged(tables).items() if k[1] in ("VALIDATION", "PERSISTENCE")} == plain
+    assert all(v[1]["checks"] for k, v in plain.items() if k[1] == "VALIDATION")
+
+
 def test_chain_goes_on_from_a_stage(spark, tmp_path):
     (uploads, texts), model, calls = chain_parts(spark)
     first = logged(chain.run_chain(uploads, texts, model, str(tmp_path / "run")))

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import bound
-
-_CHOICES, _FIELDS = "array<variant>", "map<string,variant>"
+_FIELDS = "map<string,variant>"
 
 
 def without_parsed(response: Column) -> Column:
@@ -16,33 +14,19 @@ def without_parsed(response: Column) -> Column:
     Everything else stays whatever its shape: other keys come in the order of their names. Null where the text is no
     JSON object; a response without choices, or with messages that are no objects, is only written anew.
     """
-    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
-    parts = lambda v: F.struct(get(v, "$", _FIELDS).alias("fields"), get(v, "$.choices", _CHOICES).alias("choices"))
-
-    def written(p: Column) -> Column:
-        choices = F.transform(p["choices"], _stripped_choice)
-        kept = F.map_filter(p["fields"], lambda k, _: k != "choices")
-        less = F.map_concat(kept, F.map_from_arrays(F.array(F.lit("choices")), F.array(F.to_variant_object(choices))))
-        whole = F.when(p["choices"].isNull(), p["fields"]).otherwise(less)
-        return F.when(p["fields"].isNotNull(), F.to_json(F.to_variant_object(_sorted(whole))))
-
-    # Bound: a text is parsed, and its parts are taken, once for all that ask for them.
-    return bound(F.try_parse_json(response), lambda v: bound(parts(v), written))
+    fields = F.try_variant_get(F.try_parse_json(response), "$", _FIELDS)
+    choices = lambda v: F.to_variant_object(F.transform(F.try_variant_get(v, "$", "array<variant>"), _stripped_choice))
+    return F.to_json(F.to_variant_object(_changed(fields, "choices", choices)))
 
 
 def _stripped_choice(choice: Column) -> Column:
-    message = F.try_variant_get(choice, "$.message", _FIELDS)
-
-    def less(m: Column) -> Column:
-        rest = F.map_filter(F.try_variant_get(choice, "$", _FIELDS), lambda k, _: k != "message")
-        own = F.to_variant_object(F.map_filter(m, lambda k, _: k != "parsed"))
-        return F.when(m.isNull(), choice).otherwise(F.to_variant_object(F.map_concat(rest, F.map_from_arrays(F.array(F.lit("message")), F.array(own)))))
-
-    return bound(message, less)
+    less = lambda v: F.to_variant_object(F.map_filter(F.try_variant_get(v, "$", _FIELDS), lambda k, _: k != "parsed"))
+    return F.coalesce(F.to_variant_object(_changed(F.try_variant_get(choice, "$", _FIELDS), "message", less)), choice)
 
 
-def _sorted(fields: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(fields), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+def _changed(fields: Column, key: str, change) -> Column:
+    """Fields with ``change`` made to the value of one key, where that gives a value. VARIANT puts keys in order itself."""
+    return F.transform_values(fields, lambda k, v: F.when(k == key, F.coalesce(change(v), v)).otherwise(v))
 
 
 def field(json: Column, path: str, kind: str) -> Column:
